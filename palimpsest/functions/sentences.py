@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import STRIP_EDGES, WS, _col, is_blank
@@ -50,12 +50,41 @@ def sentence_windows(sentences: Column, chunk_size: int) -> Column:
     return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
 
 
-def chunk_texts(text: Column | str, sentences: Column, chunk_size: int,
-                whole_text: Column | None = None) -> Column:
-    """Chunks of ``chunk_size`` sentences; if none but the text is not blank,
-    the whole (rewritten) text is the only chunk; blank text gives no chunks."""
-    windows = F.filter(sentence_windows(sentences, chunk_size), lambda c: ~is_blank(c))
-    fallback_text = _col(text) if whole_text is None else whole_text
-    return (F.when(F.size(windows) > 0, windows)
-            .when(~is_blank(fallback_text), F.array(fallback_text))
-            .otherwise(F.array().cast("array<string>")))
+def with_chunks(df: DataFrame, text: str, mode: str = "tfidf", chunk_size: int | None = None,
+                out: str = "chunks") -> DataFrame:
+    """Add array column ``out`` with the chunks of column ``text``.
+
+    ``tfidf`` mode splits with T10 (default 5 sentences per chunk), ``dense``
+    mode with T11 (default 1). If there are no chunks but the text is not
+    blank, the whole text is the only chunk (T10 passes its ``!?``-rewritten
+    text, as the reference does); blank text gives no chunks.
+
+    Intermediate arrays are separate columns that the next step reads more
+    than once, so the optimizer keeps each one computed once per row.
+    """
+    raw = F.coalesce(F.col(text), F.lit(""))
+    if mode == "tfidf":
+        k = 5 if chunk_size is None else chunk_size
+        sentences, whole = split_sentences_period(raw), F.translate(raw, "!?", "..")
+    elif mode == "dense":
+        k = 1 if chunk_size is None else chunk_size
+        sentences, whole = split_sentences_newline(raw), raw
+    else:
+        raise ValueError(f"unknown chunk mode {mode!r}")
+    staged = (df.withColumn("_sent", sentences)
+              .withColumn("_win", F.filter(sentence_windows(F.col("_sent"), k), lambda c: ~is_blank(c)))
+              .withColumn("_whole", F.when(~is_blank(whole), F.array(whole))
+                          .otherwise(F.array().cast("array<string>"))))
+    return (staged.withColumn(out, F.when(F.size("_win") > 0, F.col("_win")).otherwise(F.col("_whole")))
+            .drop("_sent", "_win", "_whole"))
+
+
+def explode_chunks(df: DataFrame, chunks: str = "chunks", idx: str = "chunk_idx",
+                   text: str = "chunk_text") -> DataFrame:
+    """One row per chunk with its 0-based position. ``posexplode_outer`` +
+    null filter: plain ``posexplode`` lets the optimizer infer
+    ``size(chunks) > 0`` and push that (with the whole chunking expression
+    inlined) below earlier shuffles."""
+    cols = [c for c in df.columns if c != chunks]
+    return (df.select(*cols, F.posexplode_outer(chunks).alias(idx, text))
+            .filter(F.col(text).isNotNull()))

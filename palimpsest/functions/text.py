@@ -25,6 +25,9 @@ WS_RUN = f"[{WS}]+"
 # Anything that is neither a Python word character nor whitespace.
 NON_WORD_NON_SPACE = rf"[^\p{{L}}\p{{N}}_{WS}]"
 DIGIT_RUN = r"\p{Nd}+"
+# A maximal run of word characters that are not decimal digits: exactly the
+# tokens left by punctuation -> space, digit runs -> space, whitespace split.
+WORD_RUN = r"[\p{L}\p{Nl}\p{No}_]+"
 # Leading or trailing whitespace (Python str.strip()).
 STRIP_EDGES = rf"^[{WS}]+|[{WS}]+\z"
 
@@ -85,15 +88,39 @@ def strip_html(text: Column | str) -> Column:
     return t
 
 
+def maybe_strip_html(text: Column) -> Column:
+    """``strip_html`` applied only to rows that can hold markup or entities
+    (containing ``<`` or ``&``); other rows pass through unchanged."""
+    return F.when(F.contains(text, F.lit("<")) | F.contains(text, F.lit("&")),
+                  strip_html(text)).otherwise(text)
+
+
 def normalize(text: Column | str, html: bool = True) -> Column:
     """Lower-case, strip markup, punctuation -> space, digit runs -> space."""
     t = F.lower(F.coalesce(_col(text), F.lit("")))
     if html:
-        t = strip_html(t)
+        t = maybe_strip_html(t)
     t = F.regexp_replace(t, NON_WORD_NON_SPACE, " ")
     return F.regexp_replace(t, DIGIT_RUN, " ")
 
 
+def lower_html_text(html: Column | str) -> Column:
+    """T1 + T2: the lower-cased visible text of an HTML string."""
+    return maybe_strip_html(F.lower(F.coalesce(_col(html), F.lit(""))))
+
+
+def word_tokens(text: Column | str, html: bool = True) -> Column:
+    """T1-T5 in one regex pass: lower-case, strip markup, then every maximal
+    run of non-digit word characters. Same tokens as
+    ``tokenize(normalize(text))`` (which replaces punctuation and digit runs
+    by spaces and splits at whitespace), without building the rewritten
+    string."""
+    t = F.lower(F.coalesce(_col(text), F.lit("")))
+    if html:
+        t = maybe_strip_html(t)
+    return F.regexp_extract_all(t, F.lit(WORD_RUN), 0)
+
+
 def tokenize(normalized: Column | str) -> Column:
     """T5: whitespace split (Python ``str.split()``), empty pieces dropped."""
     return F.filter(F.split(_col(normalized), WS_RUN), lambda x: x != F.lit(""))

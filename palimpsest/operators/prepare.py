@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import (MINIMAL_STOPWORDS, join_tokens, normalize,
-                                        remove_stopwords, tokenize)
+from palimpsest.functions.text import (MINIMAL_STOPWORDS, join_tokens, remove_stopwords,
+                                        word_tokens)
 
 
 def prepare_documents(documents: DataFrame, text_col: str = "raw_text", *, key: str = "id",
@@ -18,7 +18,7 @@ def prepare_documents(documents: DataFrame, text_col: str = "raw_text", *, key:
     digit runs to spaces, whitespace split, stop words out, stem, join.
     ``stem=True`` runs the vocabulary stemming job (see ``stemming``).
     """
-    tokens = remove_stopwords(tokenize(normalize(F.col(text_col), html=html)), stopwords)
+    tokens = remove_stopwords(word_tokens(F.col(text_col), html=html), stopwords)
     out = documents.withColumn("tokens", tokens)
     if stem:
         from palimpsest.operators.stemming import stem_token_arrays

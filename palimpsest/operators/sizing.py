@@ -29,3 +29,14 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> tuple[Da
     if n <= limit:
         return F.broadcast(df), True
     return df, False
+
+
+def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition ``df`` by ``key`` when its input has fewer partitions
+    than the cluster has cores (e.g. one large row group), so per-row text
+    work is not serialised; inputs that already split well are left as they
+    are and cost no shuffle."""
+    spark = df.sparkSession
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        return df.repartition(key)
+    return df

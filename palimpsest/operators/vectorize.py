@@ -20,8 +20,15 @@ _ONE_GROUP = "_fit_scope"
 
 
 def term_counts(units: DataFrame, keys: list[str], terms: Column) -> DataFrame:
-    """V2: raw term frequency ``(keys..., term, tf)`` of each unit's term bag."""
-    return (units.select(*keys, F.explode(terms).alias("term"))
+    """V2: raw term frequency ``(keys..., term, tf)`` of each unit's term bag.
+
+    ``explode_outer`` + a null filter instead of ``explode``: for ``explode``
+    the optimizer infers ``size(terms) > 0`` and pushes it below an earlier
+    repartition into the scan, which inlines (and so repeats) the whole
+    tokenizer there.
+    """
+    return (units.select(*keys, F.explode_outer(terms).alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy(*keys, "term")
             .agg(F.count(F.lit(1)).alias("tf")))
 

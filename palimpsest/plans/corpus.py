@@ -19,10 +19,11 @@ With a large source side the term join becomes a salted shuffle join (see
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ngrams import vectorizer_tokens, word_ngrams
+from palimpsest.operators.prepare import prepare_documents
 from palimpsest.operators.simjoin import cosine_pairs
 from palimpsest.operators.sizing import broadcast_if_bounded
 from palimpsest.operators.truth import attach_truth, truth_cases
@@ -31,43 +32,60 @@ from palimpsest.operators.vectorize import fit_idf, term_counts, tfidf_weights
 VECTORIZER_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
-def vectorizer_terms(df: DataFrame, ngram_range=(1, 2)) -> Column:
-    """The vectorizer's term bag: from ``tokens`` when the frame was prepared
-    here, else re-tokenised from ``processed_text`` (two or more word
-    characters, lower-cased) - both give the same terms for prepared text."""
+def with_terms(df: DataFrame, ngram_range=(1, 2)) -> DataFrame:
+    """Add the vectorizer's term bag ``terms``: from ``tokens`` when the frame
+    was prepared here, else re-tokenised from ``processed_text`` (runs of two
+    or more word characters, lower-cased) - both give the same terms for
+    prepared text. The token array is its own column so the n-gram
+    expression reads it instead of re-running the tokenizer per reference."""
     if "tokens" in df.columns:
         toks = vectorizer_tokens(F.col("tokens"))
     else:
         toks = F.regexp_extract_all(F.lower(F.col("processed_text")), F.lit(VECTORIZER_TOKEN), 0)
-    return word_ngrams(toks, ngram_range)
+    return (df.withColumn("_vt", toks)
+            .withColumn("terms", word_ngrams(F.col("_vt"), ngram_range))
+            .drop("_vt"))
+
+
+def _side(documents: DataFrame, kind: str, key: str, prep: dict | None) -> DataFrame:
+    """One side hash-partitioned by ``key``; raw documents are prepared after
+    the shuffle so the text work runs at full parallelism."""
+    side = documents.filter(F.col("type") == kind).repartition(key)
+    if "tokens" not in side.columns and "processed_text" not in side.columns:
+        side = prepare_documents(side, key=key, **(prep or {}))
+    return side
 
 
 def corpus_weights(documents: DataFrame, ngram_range=(1, 2), *, key: str = "id",
-                   max_broadcast_rows: int | None = None):
+                   prep: dict | None = None, max_broadcast_rows: int | None = None):
     """Fit IDF on the source documents, weight both sides.
 
+    ``documents`` may be prepared (``tokens``/``processed_text``) or raw
+    (``raw_text``; prepared here with ``prep`` options).
     Returns ``(sus_w, src_w)`` with columns ``(<key>, term, w)``.
     """
-    src = documents.filter(F.col("type") == "source").repartition(key)
-    sus = documents.filter(F.col("type") == "suspicious").repartition(key)
-    src_tf = term_counts(src, [key], vectorizer_terms(src, ngram_range))
+    src = _side(documents, "source", key, prep)
+    sus = _side(documents, "suspicious", key, prep)
+    src_tf = term_counts(with_terms(src, ngram_range), [key], F.col("terms"))
     idf, _ = broadcast_if_bounded(fit_idf(src_tf, src.select(key), []), max_broadcast_rows)
     src_w = tfidf_weights(src_tf, idf, [key], [])
-    sus_tf = term_counts(sus, [key], vectorizer_terms(sus, ngram_range))
+    sus_tf = term_counts(with_terms(sus, ngram_range), [key], F.col("terms"))
     sus_w = tfidf_weights(sus_tf, idf, [key], [])
     return sus_w, src_w
 
 
 def detect_reuse(documents: DataFrame, threshold: float = 0.3, ngram_range=(1, 2), *,
-                 match: str = "contains", strategy: str = "auto",
+                 match: str = "contains", strategy: str = "auto", prep: dict | None = None,
                  max_broadcast_rows: int | None = None) -> DataFrame:
     """All (suspicious, source) document pairs with cosine >= threshold.
 
-    ``documents`` needs ``id, type, processed_text`` (or ``tokens``) and
-    optionally ``metadata`` with truth annotations. Output:
+    ``documents`` needs ``id, type`` and ``processed_text``/``tokens`` or
+    ``raw_text`` (prepared with ``prep`` options), optionally ``metadata``
+    with truth annotations. Output:
     ``suspicious_id, source_id, similarity_score, ground_truth, source_reference``.
     """
-    sus_w, src_w = corpus_weights(documents, ngram_range, max_broadcast_rows=max_broadcast_rows)
+    sus_w, src_w = corpus_weights(documents, ngram_range, prep=prep,
+                                  max_broadcast_rows=max_broadcast_rows)
     pairs = cosine_pairs(sus_w.withColumnRenamed("id", "suspicious_id"),
                          src_w.withColumnRenamed("id", "source_id"),
                          sus_key="suspicious_id", src_key="source_id",

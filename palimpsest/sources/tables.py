@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WS_RUN
-from palimpsest.operators.sizing import broadcast_if_bounded, measured
+from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel, measured
 from palimpsest.schemas import ANNOTATION_TYPE, METADATA_TYPE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -74,7 +74,7 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
     anchors, _ = broadcast_if_bounded(p.filter(F.col("anchor").isNotNull()).select("_pk", "anchor"))
     need_unigrams = p.filter(F.col("k") == 1).limit(1).count() > 0
 
-    d = docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt"))
+    d = ensure_parallel(docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt")), "_dk")
     tokens = F.split(F.coalesce(F.col("_dt"), F.lit("")), WS_RUN)
     grams = _grams(tokens, 3)
     if need_unigrams:
