@@ -2,28 +2,40 @@
 
 A side is broadcast only after its row count has been measured and found
 under the limit (``palimpsest.broadcast.maxRows``); above it the caller takes
-the shuffle path. The measured frame is persisted first so the count and the
-later join read the same materialised rows.
+the shuffle path. The measured frame is materialised first so the count and the
+later join read the same materialised rows (checkpointed, see ``reused``).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import broadcast_row_limit
+from palimpsest.session import broadcast_row_limit, ensure_checkpoint_dir
+
+
+def reused(df: DataFrame) -> DataFrame:
+    """Materialise a frame that several branches of later plans read.
+
+    ``checkpoint()`` writes it to the shared folder named by
+    ``spark.checkpoint.dir`` and returns a frame whose plan is just that
+    data: later plans stay small (adaptive execution re-optimises the whole
+    logical plan after every stage, so long lineages cost seconds per
+    stage), and lost executors re-read the files instead of recomputing
+    the lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Persist ``df`` (memory, spilling to disk) and return it with its row count."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    """Materialise ``df`` (see ``reused``) and return it with its row count."""
+    df = reused(df)
     return df, df.count()
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows,
-    else ``(df, False)``. ``df`` comes back persisted either way."""
+    else ``(df, False)``. ``df`` comes back materialised either way."""
     limit = broadcast_row_limit(df.sparkSession) if max_rows is None else max_rows
     df, n = measured(df)
     if n <= limit:

@@ -107,3 +107,66 @@ hits AS (SELECT p.suspicious_id, p.source_id,
 matches AS (SELECT p.suspicious_id, p.source_id, p.sim AS similarity_score,
                    h.ref IS NOT NULL AS ground_truth, coalesce(h.ref, '') AS source_reference
             FROM pairs p LEFT JOIN hits h USING (suspicious_id, source_id))"""
+
+
+def chunk_ctes(threshold: float = 0.3, k: int = 5) -> str:
+    """CTEs for chunk mode over the truth pairs: ``matches`` (best source
+    chunk per valid suspicious chunk, full texts) and ``summary`` per pair."""
+    whole = "translate(coalesce(text, ''), '!?', '..')"
+
+    def chunk_rows(table: str, key: str, ids: str) -> str:
+        return f"""(SELECT {key} AS doc, unnest(range(0, len(ch)))::INT AS idx, unnest(ch) AS txt
+  FROM (SELECT {key}, {chunks_sql('sent', k, whole)} AS ch
+        FROM (SELECT {key}, text, {sentences_period_sql('text')} AS sent FROM {table}
+              WHERE {key} IN (SELECT {ids} FROM pairs))))"""
+
+    return f"""
+truth AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+pairs AS (SELECT DISTINCT printf({q(SUSPICIOUS_ID_FORMAT)}, doc_id) AS suspicious_id,
+                 printf({q(SOURCE_ID_FORMAT)}, item_id) AS source_id, doc_id, item_id FROM truth),
+sus_c AS (SELECT doc, idx, txt, {tokens_sql('txt')} AS all_tok FROM {chunk_rows('documents', 'doc_id', 'doc_id')}),
+src_c AS (SELECT doc, idx, txt, {tokens_sql('txt')} AS all_tok FROM {chunk_rows('benchmark', 'item_id', 'item_id')}),
+units AS (SELECT p.suspicious_id, p.source_id, 'sus' AS side, c.idx,
+                 list_filter(c.all_tok, lambda x: length(x) >= 2) AS tok
+          FROM pairs p JOIN sus_c c ON c.doc = p.doc_id WHERE len(c.all_tok) > 0
+          UNION ALL
+          SELECT p.suspicious_id, p.source_id, 'src' AS side, c.idx,
+                 list_filter(c.all_tok, lambda x: length(x) >= 2) AS tok
+          FROM pairs p JOIN src_c c ON c.doc = p.item_id WHERE len(c.all_tok) > 0),
+n AS (SELECT suspicious_id, source_id, count(*) AS n FROM units GROUP BY suspicious_id, source_id),
+tf AS (SELECT suspicious_id, source_id, side, idx, term, count(*) AS tf
+       FROM (SELECT suspicious_id, source_id, side, idx, unnest({terms_sql('tok')}) AS term FROM units)
+       GROUP BY suspicious_id, source_id, side, idx, term),
+idf AS (SELECT suspicious_id, source_id, term, ln((1 + n) / (1 + count(*))) + 1 AS idf
+        FROM tf JOIN n USING (suspicious_id, source_id) GROUP BY suspicious_id, source_id, term, n),
+w0 AS (SELECT suspicious_id, source_id, side, idx, term, tf * idf AS w
+       FROM tf JOIN idf USING (suspicious_id, source_id, term)),
+w AS (SELECT suspicious_id, source_id, side, idx, term,
+             w / sqrt(sum(w * w) OVER (PARTITION BY suspicious_id, source_id, side, idx)) AS w FROM w0),
+sims AS (SELECT a.suspicious_id, a.source_id, a.idx AS sus_idx, b.idx AS src_idx, sum(a.w * b.w) AS sim
+         FROM w a JOIN w b ON a.suspicious_id = b.suspicious_id AND a.source_id = b.source_id
+              AND a.term = b.term AND a.side = 'sus' AND b.side = 'src'
+         GROUP BY a.suspicious_id, a.source_id, a.idx, b.idx),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suspicious_id, source_id, sus_idx
+                                                   ORDER BY round(sim, 10) DESC, src_idx) AS rn FROM sims)
+         WHERE rn = 1),
+first_src AS (SELECT suspicious_id, source_id, min(idx) AS first_src FROM units WHERE side = 'src'
+              GROUP BY suspicious_id, source_id),
+bm AS (SELECT u.suspicious_id, u.source_id, u.idx AS suspicious_chunk_idx,
+              coalesce(b.src_idx, f.first_src) AS source_chunk_idx, coalesce(b.sim, 0.0) AS similarity
+       FROM units u JOIN first_src f USING (suspicious_id, source_id)
+       LEFT JOIN best b ON b.suspicious_id = u.suspicious_id AND b.source_id = u.source_id AND b.sus_idx = u.idx
+       WHERE u.side = 'sus'),
+matches AS (SELECT bm.*, bm.similarity >= {threshold} AS is_flagged, s.txt AS suspicious_chunk_text,
+                   r.txt AS source_chunk_text
+            FROM bm JOIN pairs p USING (suspicious_id, source_id)
+            JOIN sus_c s ON s.doc = p.doc_id AND s.idx = bm.suspicious_chunk_idx
+            JOIN src_c r ON r.doc = p.item_id AND r.idx = bm.source_chunk_idx),
+summary AS (SELECT p.suspicious_id, p.source_id,
+                   coalesce(avg(m.similarity), 0.0) AS overall_similarity,
+                   coalesce(max(m.similarity), 0.0) AS max_chunk_similarity,
+                   count(*) FILTER (WHERE m.similarity >= {threshold})::BIGINT AS flagged_chunks,
+                   count(m.similarity)::BIGINT AS compared_chunks
+            FROM (SELECT DISTINCT suspicious_id, source_id FROM pairs) p
+            LEFT JOIN bm m USING (suspicious_id, source_id)
+            GROUP BY p.suspicious_id, p.source_id)"""

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WS_RUN
-from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel, measured
+from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel, measured, reused
 from palimpsest.schemas import ANNOTATION_TYPE, METADATA_TYPE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -144,4 +144,4 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, with_truth: bool = True
                             F.lit("suspicious").alias("type"), F.col("text").alias("raw_text"),
                             meta.alias("metadata"),
                             meta.getField("plagiarism").isNotNull().alias("has_plagiarism"))
-    return sources.unionByName(suspicious)
+    return reused(sources.unionByName(suspicious))
