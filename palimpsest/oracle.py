@@ -97,7 +97,7 @@ pairs AS (SELECT a.id AS suspicious_id, b.id AS source_id, sum(a.w * b.w) AS sim
           HAVING sum(a.w * b.w) >= {threshold}),
 truth AS (SELECT printf({q(SUSPICIOUS_ID_FORMAT)}, d.doc_id) AS suspicious_id,
                  printf({q(REFERENCE_FORMAT)}, b.item_id) AS source_reference,
-                 instr(d.text, b.text) - 1 AS off, b.item_id
+                 instr(d.text, b.text) - 1 AS off, length(b.text) AS len, b.item_id
           FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 hits AS (SELECT p.suspicious_id, p.source_id,
                 first(t.source_reference ORDER BY t.off, t.item_id) AS ref
@@ -170,3 +170,53 @@ summary AS (SELECT p.suspicious_id, p.source_id,
             FROM (SELECT DISTINCT suspicious_id, source_id FROM pairs) p
             LEFT JOIN bm m USING (suspicious_id, source_id)
             GROUP BY p.suspicious_id, p.source_id)"""
+
+
+def metrics_sql() -> str:
+    """C6 over the corpus-mode matches: precision, recall, F1 and counts."""
+    return "WITH " + corpus_ctes() + """,
+cases AS (SELECT DISTINCT suspicious_id, source_reference FROM truth),
+hit_cases AS (SELECT DISTINCT suspicious_id, source_reference FROM matches WHERE ground_truth),
+c AS (SELECT count(*) FILTER (WHERE ground_truth) AS tp, count(*) FILTER (WHERE NOT ground_truth) AS fp
+      FROM matches),
+k AS (SELECT count(*) AS n_case, count(*) FILTER (WHERE h.suspicious_id IS NULL) AS missed
+      FROM cases LEFT JOIN hit_cases h USING (suspicious_id, source_reference)),
+s AS (SELECT tp, fp, n_case - tp AS fn, missed FROM c, k),
+p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr,
+             CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS re FROM s)
+SELECT round(pr, 6) AS precision, round(re, 6) AS recall,
+       round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1_score,
+       tp::BIGINT AS true_positives, fp::BIGINT AS false_positives, fn::BIGINT AS false_negatives,
+       missed::BIGINT AS false_negatives_strict FROM p"""
+
+
+def corpus_counts_sql() -> str:
+    return "WITH " + corpus_ctes() + """
+SELECT ((SELECT count(*) FROM src) + (SELECT count(*) FROM sus))::BIGINT AS documents,
+       (SELECT count(*) FROM src)::BIGINT AS source_documents,
+       (SELECT count(*) FROM sus)::BIGINT AS suspicious_documents,
+       (SELECT count(*) FROM matches)::BIGINT AS matches,
+       (SELECT count(*) FILTER (WHERE ground_truth) FROM matches)::BIGINT AS confirmed_matches"""
+
+
+def truth_sql() -> str:
+    return "WITH " + corpus_ctes() + """
+SELECT suspicious_id,
+       (row_number() OVER (PARTITION BY suspicious_id ORDER BY off, item_id) - 1)::INT AS ordinal,
+       source_reference, off::INT AS "offset", len::INT AS "length", 'unknown' AS "type",
+       'none' AS obfuscation
+FROM truth"""
+
+
+def dense_ctes(threshold: float = 0.8) -> str:
+    """Nearest other vector with the same label (ties to the lower id)."""
+    return f"""
+e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v,
+             sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS nv
+      FROM embeddings),
+s AS (SELECT a.label, a.vec_id AS sus, b.vec_id AS src,
+             CASE WHEN a.nv > 0 AND b.nv > 0 THEN list_dot_product(a.v, b.v) / (a.nv * b.nv) ELSE 0.0 END AS sim
+      FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id),
+best AS (SELECT label, sus, src, sim FROM (
+           SELECT *, row_number() OVER (PARTITION BY label, sus ORDER BY round(sim, 10) DESC, src) AS rn FROM s)
+         WHERE rn = 1)"""

@@ -58,3 +58,25 @@ def broadcast_row_limit(spark: SparkSession, default: int = 2_000_000) -> int:
     """Largest row count we are willing to broadcast (``palimpsest.broadcast.maxRows``)."""
     value = spark.conf.get("palimpsest.broadcast.maxRows", None)
     return int(value) if value else default
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers (for the pandas
+    operators), as ``--py-files`` would: zip it once and ``addPyFile`` it.
+    Skipped when workers can already import it (``PALIMPSEST_INSTALLED=1``)."""
+    if os.environ.get("PALIMPSEST_INSTALLED") == "1":
+        return
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="palimpsest-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "palimpsest"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="palimpsest")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)

@@ -96,7 +96,7 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
                 .join(p.select("_pk", "_pt"), "_pk")
                 .filter(F.contains("_dt", "_pt"))
                 .select(F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key),
-                        (F.instr("_dt", "_pt") - 1).cast("int").alias("offset"),
+                        (F.expr("instr(_dt, _pt)") - 1).cast("int").alias("offset"),
                         F.length("_pt").cast("int").alias("length")))
     return verified
 
