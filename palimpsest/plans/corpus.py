@@ -27,7 +27,8 @@ from palimpsest.operators.prepare import prepare_documents
 from palimpsest.operators.simjoin import cosine_pairs
 from palimpsest.operators.sizing import broadcast_if_bounded
 from palimpsest.operators.truth import attach_truth, truth_cases
-from palimpsest.operators.vectorize import fit_idf, term_counts, tfidf_weights
+from palimpsest.operators.vectorize import (fit_idf, term_counts, tfidf_weights,
+                                            vocabulary_weights)
 
 VECTORIZER_TOKEN = r"[\p{L}\p{N}_]{2,}"
 
@@ -67,10 +68,14 @@ def corpus_weights(documents: DataFrame, ngram_range=(1, 2), *, key: str = "id",
     src = _side(documents, "source", key, prep)
     sus = _side(documents, "suspicious", key, prep)
     src_tf = term_counts(with_terms(src, ngram_range), [key], F.col("terms"))
-    idf, _ = broadcast_if_bounded(fit_idf(src_tf, src.select(key), []), max_broadcast_rows)
+    idf, small_vocab = broadcast_if_bounded(fit_idf(src_tf, src.select(key), []), max_broadcast_rows)
     src_w = tfidf_weights(src_tf, idf, [key], [])
-    sus_tf = term_counts(with_terms(sus, ngram_range), [key], F.col("terms"))
-    sus_w = tfidf_weights(sus_tf, idf, [key], [])
+    if small_vocab:
+        # count only in-vocabulary occurrences; stays inside the id partitioning
+        sus_w = vocabulary_weights(with_terms(sus, ngram_range), [key], F.col("terms"), idf)
+    else:
+        sus_tf = term_counts(with_terms(sus, ngram_range), [key], F.col("terms"))
+        sus_w = tfidf_weights(sus_tf, idf, [key], [])
     return sus_w, src_w
 
 

@@ -27,9 +27,8 @@ SUSPICIOUS_ID_FORMAT = "suspicious-document%05d"
 REFERENCE_FORMAT = "source-document%05d.txt"
 
 # Passages with fewer whitespace-separated pieces than this have no interior
-# 3-token anchor; 3 or 4 pieces use a single interior token.
-_ANCHOR3_MIN_PIECES = 5
-_ANCHOR1_MIN_PIECES = 3
+# piece to anchor on.
+_ANCHOR_MIN_PIECES = 3
 # Passages too short for any anchor are matched by a nested-loop contains();
 # refuse to do that for more than this many of them.
 _MAX_UNANCHORED_PASSAGES = 10_000
@@ -39,14 +38,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _grams(tokens, n: int):
-    size = F.size(tokens)
-    gram = tokens
-    for i in range(2, n + 1):
-        gram = F.zip_with(gram, F.slice(tokens, i, size), lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(gram, lambda x: x.isNotNull())
-
-
 def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str = "doc_id",
                         doc_text: str = "text", passage_key: str = "item_id",
                         passage_text: str = "text") -> DataFrame:
@@ -55,31 +46,28 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
     Output ``(doc_key, passage_key, offset, length)``: ``offset`` is the 0-based
     character position of the first occurrence.
 
-    Exact without a nested loop: split the passage at whitespace runs; its
-    pieces 2..4 are bounded by whitespace inside the passage, so any
-    document containing the passage has them as three consecutive whole
-    tokens. Documents' token 3-grams are equi-joined with that anchor and
-    each candidate is verified with ``contains``. Passages of 3-4 pieces
-    anchor on their second piece; passages of 1-2 pieces have no interior
-    and fall back to a size-checked nested-loop ``contains``.
+    Exact without a nested loop: split the passage at whitespace runs; a
+    piece that is neither the first nor the last is bounded by whitespace
+    inside the passage, so every document containing the passage has it as
+    a whole whitespace-separated token. Documents' distinct tokens are
+    equi-joined with each passage's longest interior piece (the most
+    selective one) and every candidate is verified with ``contains``.
+    Passages of one or two pieces have no interior and fall back to a
+    size-checked nested-loop ``contains``.
     """
     pieces = F.split(F.coalesce(F.col(passage_text), F.lit("")), WS_RUN)
     n = F.size(pieces)
+    interior = F.slice(pieces, 2, n - 2)
+    longest = F.array_max(F.transform(interior, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))
     p = passages.select(F.col(passage_key).alias("_pk"), F.col(passage_text).alias("_pt"),
-                        F.when(n >= _ANCHOR3_MIN_PIECES, F.array_join(F.slice(pieces, 2, 3), " "))
-                        .when(n >= _ANCHOR1_MIN_PIECES, F.element_at(pieces, 2)).alias("anchor"),
-                        F.when(n >= _ANCHOR3_MIN_PIECES, F.lit(3))
-                        .when(n >= _ANCHOR1_MIN_PIECES, F.lit(1)).alias("k"))
+                        F.when(n >= _ANCHOR_MIN_PIECES, longest["x"]).alias("anchor"))
     p, _ = measured(p)
     anchors, _ = broadcast_if_bounded(p.filter(F.col("anchor").isNotNull()).select("_pk", "anchor"))
-    need_unigrams = p.filter(F.col("k") == 1).limit(1).count() > 0
 
     d = ensure_parallel(docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt")), "_dk")
     tokens = F.split(F.coalesce(F.col("_dt"), F.lit("")), WS_RUN)
-    grams = _grams(tokens, 3)
-    if need_unigrams:
-        grams = F.concat(grams, tokens)
-    keyed = d.select("_dk", F.explode(F.array_distinct(grams)).alias("anchor"))
+    keyed = (d.select("_dk", F.explode_outer(F.array_distinct(tokens)).alias("anchor"))
+             .filter(F.col("anchor").isNotNull()))
     candidates = keyed.join(anchors, "anchor").select("_dk", "_pk")
 
     short = p.filter(F.col("anchor").isNull() & (F.col("_pt").isNotNull()))
