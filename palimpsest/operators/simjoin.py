@@ -53,6 +53,8 @@ def salted_term_join(sus_w: DataFrame, src_w: DataFrame, group: list[str], sus_k
     hot = (_salts(sus_w, group, rows_per_salt, max_salt, "a")
            .join(_salts(src_w, group, rows_per_salt, max_salt, "b"), keys, "full_outer")
            .select(*keys, F.coalesce("a", F.lit(1)).alias("a"), F.coalesce("b", F.lit(1)).alias("b")))
+    # at most (postings / rows_per_salt) hot terms per side: normally tiny
+    hot, _ = broadcast_if_bounded(hot)
 
     def spread(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
         own_n = F.coalesce(F.col(own), F.lit(1))

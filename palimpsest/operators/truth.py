@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.sizing import broadcast_if_bounded
+from palimpsest.operators.sizing import broadcast_if_bounded, reused
 
 
 def truth_cases(documents: DataFrame, id_col: str = "id") -> DataFrame:
@@ -64,6 +64,7 @@ def detection_metrics(results: DataFrame, truth: DataFrame) -> DataFrame:
     """
     keys = ["suspicious_id", "source_reference"]
     gt = F.col("ground_truth")
+    results = reused(results.select(*keys, "ground_truth"))  # read by two branches below
     result_rows = results.select(gt.cast("long").alias("tp"), (~gt).cast("long").alias("fp"),
                                  F.lit(0).cast("long").alias("n_case"),
                                  F.lit(0).cast("long").alias("n_missed"))
