@@ -51,7 +51,7 @@ def sentence_windows(sentences: Column, chunk_size: int) -> Column:
 
 
 def with_chunks(df: DataFrame, text: str, mode: str = "tfidf", chunk_size: int | None = None,
-                out: str = "chunks") -> DataFrame:
+                out: str = "chunks", sentence_fn=None) -> DataFrame:
     """Add array column ``out`` with the chunks of column ``text``.
 
     ``tfidf`` mode splits with T10 (default 5 sentences per chunk), ``dense``
@@ -59,6 +59,10 @@ def with_chunks(df: DataFrame, text: str, mode: str = "tfidf", chunk_size: int |
     blank, the whole text is the only chunk (T10 passes its ``!?``-rewritten
     text, as the reference does); blank text gives no chunks.
 
+    ``sentence_fn`` (T12) replaces the mode's splitter: any function from a
+    string Column to an array<string> Column (e.g. a trained sentence
+    tokenizer wrapped in a pandas UDF); its pieces are used as sentences.
+
     Intermediate arrays are separate columns that the next step reads more
     than once, so the optimizer keeps each one computed once per row.
     """
@@ -71,6 +75,8 @@ def with_chunks(df: DataFrame, text: str, mode: str = "tfidf", chunk_size: int |
         sentences, whole = split_sentences_newline(raw), raw
     else:
         raise ValueError(f"unknown chunk mode {mode!r}")
+    if sentence_fn is not None:
+        sentences = sentence_fn(raw)
     staged = (df.withColumn("_sent", sentences)
               .withColumn("_win", F.filter(sentence_windows(F.col("_sent"), k), lambda c: ~is_blank(c)))
               .withColumn("_whole", F.when(~is_blank(whole), F.array(whole))

@@ -101,3 +101,9 @@ def test_chunk_size_zero_rejected(spark):
     df = spark.createDataFrame([("a. b.",)], "text string")
     with pytest.raises(ValueError):
         with_chunks(df, "text", "tfidf", 0)
+
+
+def test_pluggable_sentence_fn(spark):
+    df = spark.createDataFrame([("a b|c d|e",)], "text string")
+    out = with_chunks(df, "text", "tfidf", 2, sentence_fn=lambda c: F.split(c, "[|]")).first().chunks
+    assert out == ["a b c d", "e"]
