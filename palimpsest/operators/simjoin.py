@@ -5,7 +5,7 @@ product of their weights, so the all-pairs comparison becomes an equi-join
 of the two weight tables on ``term`` followed by a sum per unit pair. Pairs
 that share no term never appear (their cosine is 0).
 
-Two physical shapes, picked by a measured size:
+Physical shapes, picked by a measured size:
 
 * **broadcast** - the source weights fit under the broadcast row limit. The
   suspicious side streams through a broadcast hash join in whatever
@@ -17,16 +17,19 @@ Two physical shapes, picked by a measured size:
   postings of the term are copied to each bucket (a grid when both sides
   are hot), so no task receives a whole hot posting list. Other terms join
   as usual. The per-pair sum is partially aggregated before its shuffle.
+* **prefix filter** - large sides with a threshold (the ``auto`` choice
+  when the source side is too big to broadcast): exact L2 prefix filtering
+  keeps hot terms out of the join altogether (see ``prefix_filtered_pairs``).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.sizing import broadcast_if_bounded
+from palimpsest.operators.sizing import broadcast_if_bounded, reused
 
 
 def _salts(postings: DataFrame, group: list[str], rows_per_salt: int, max_salt: int,
@@ -69,6 +72,60 @@ def salted_term_join(sus_w: DataFrame, src_w: DataFrame, group: list[str], sus_k
     return sus.join(src, [*keys, "salt_a", "salt_b"]).drop("salt_a", "salt_b")
 
 
+# Slack on the pruning bounds so rounding never drops a qualifying pair: we
+# index and keep slightly more than the exact bounds require.
+_BOUND_SLACK = 1e-9
+
+
+def prefix_filtered_pairs(sus_w: DataFrame, src_w: DataFrame, *, sus_key: str, src_key: str,
+                          group: list[str], threshold: float, rows_per_salt: int = 200_000,
+                          max_broadcast_rows: int | None = None) -> DataFrame:
+    """Exact ``similarity >= threshold`` pairs without the hot-term product.
+
+    L2 prefix filtering (All-Pairs, Bayardo et al. 2007): order each source
+    vector's terms hottest first (by source document frequency); the longest
+    hot prefix whose L2 norm stays below ``threshold`` is left out of the
+    index. A pair sharing no indexed term has cosine <= that norm <
+    threshold (Cauchy-Schwarz), so candidates are the pairs sharing an
+    indexed term; a candidate whose indexed partial sum plus the unindexed
+    norm cannot reach the threshold is pruned; the rest is verified by adding
+    the exact contribution of the unindexed terms. Hot terms therefore never
+    meet hot terms in a join, which is what makes the plain product
+    quadratic at scale. Same output as ``cosine_pairs(..., threshold)``.
+    """
+    t = float(threshold)
+    src_df = src_w.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("_df"))
+    hot_first = Window.partitionBy(*group, src_key).orderBy(F.col("_df").desc(), F.col("term")) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (src_w.join(src_df, [*group, "term"])
+              .withColumn("_cum", F.sqrt(F.sum(F.col("w_src") * F.col("w_src")).over(hot_first)))
+              .withColumn("_indexed", F.col("_cum") >= F.lit(t - _BOUND_SLACK)))
+    ranked = reused(ranked.select(*group, src_key, "term", "w_src", "_cum", "_indexed"))
+    indexed = ranked.filter("_indexed").select(*group, src_key, "term", "w_src")
+    unindexed = ranked.filter(~F.col("_indexed")).select(*group, src_key, "term", "w_src")
+    u_norm = (ranked.groupBy(*group, src_key)
+              .agg(F.coalesce(F.max(F.when(~F.col("_indexed"), F.col("_cum"))), F.lit(0.0))
+                   .alias("_u_norm")))
+    u_norm, _ = broadcast_if_bounded(u_norm, max_broadcast_rows)
+
+    partial = (salted_term_join(sus_w, indexed, group, sus_key, src_key, rows_per_salt)
+               .groupBy(*group, sus_key, src_key)
+               .agg(F.sum(F.col("w_sus") * F.col("w_src")).alias("_partial")))
+    candidates = (partial.join(u_norm, [*group, src_key])
+                  .filter(F.col("_partial") + F.col("_u_norm") >= F.lit(t - _BOUND_SLACK)))
+    candidates = reused(candidates.select(*group, sus_key, src_key, "_partial"))
+
+    rest = (candidates.select(*group, sus_key, src_key)
+            .join(unindexed, [*group, src_key])
+            .join(sus_w, [*group, sus_key, "term"])
+            .groupBy(*group, sus_key, src_key)
+            .agg(F.sum(F.col("w_sus") * F.col("w_src")).alias("_rest")))
+    return (candidates.join(rest, [*group, sus_key, src_key], "left")
+            .select(*group, sus_key, src_key,
+                    (F.col("_partial") + F.coalesce(F.col("_rest"), F.lit(0.0))).alias("similarity"))
+            .filter(F.col("similarity") >= F.lit(t)))
+
+
 def cosine_pairs(sus_w: DataFrame, src_w: DataFrame, *, sus_key: str, src_key: str,
                  group: list[str] | None = None, threshold: float | None = None,
                  strategy: str = "auto", max_broadcast_rows: int | None = None,
@@ -89,12 +146,22 @@ def cosine_pairs(sus_w: DataFrame, src_w: DataFrame, *, sus_key: str, src_key: s
                          "full cross product of both sides, which is not built")
     sus = sus_w.withColumnRenamed("w", "w_sus")
     src = src_w.withColumnRenamed("w", "w_src")
+    if strategy == "prefix":
+        if threshold is None:
+            raise ValueError("the prefix strategy needs a threshold")
+        return prefix_filtered_pairs(sus, src, sus_key=sus_key, src_key=src_key, group=group,
+                                     threshold=threshold, rows_per_salt=rows_per_salt,
+                                     max_broadcast_rows=max_broadcast_rows)
     if strategy == "broadcast":
         joined = sus.join(F.broadcast(src), [*group, "term"])
     elif strategy == "shuffle":
         joined = salted_term_join(sus, src, group, sus_key, src_key, rows_per_salt)
     elif strategy == "auto":
         src, small = broadcast_if_bounded(src, max_broadcast_rows)
+        if not small and threshold is not None:
+            return prefix_filtered_pairs(sus, src, sus_key=sus_key, src_key=src_key, group=group,
+                                         threshold=threshold, rows_per_salt=rows_per_salt,
+                                         max_broadcast_rows=max_broadcast_rows)
         joined = (sus.join(src, [*group, "term"]) if small
                   else salted_term_join(sus, src, group, sus_key, src_key, rows_per_salt))
     else:

@@ -39,7 +39,7 @@ def _expected(src, sus, threshold):
     return out
 
 
-@pytest.mark.parametrize("strategy", ["auto", "broadcast", "shuffle"])
+@pytest.mark.parametrize("strategy", ["auto", "broadcast", "shuffle", "prefix"])
 def test_detect_reuse_matches_brute_force(spark, strategy):
     src, sus = _docs(12, 1), _docs(15, 2) + ["", "a the"]
     sus[3] = src[4]  # a verbatim copy
@@ -126,3 +126,27 @@ def test_corpus_counts(spark):
     res = detect_reuse(corpus)
     c = corpus_counts(corpus, res).first()
     assert (c.documents, c.source_documents, c.suspicious_documents, c.matches) == (3, 1, 2, 1)
+
+
+@pytest.mark.parametrize("threshold", [0.05, 0.3, 0.6, 0.95])
+def test_prefix_filter_equals_plain_join(spark, threshold):
+    rnd = random.Random(threshold)
+    def vectors(prefix, n):
+        rows = []
+        for i in range(n):
+            terms = {"hot": rnd.random() * 3, "warm%d" % rnd.randint(0, 2): rnd.random()}
+            for _ in range(rnd.randint(0, 6)):
+                terms["r%d" % rnd.randint(0, 30)] = rnd.random()
+            norm = sum(v * v for v in terms.values()) ** 0.5
+            rows += [(f"{prefix}{i}", t, v / norm) for t, v in terms.items()]
+        return rows
+    sus = spark.createDataFrame(vectors("u", 40), "sus string, term string, w double")
+    src = spark.createDataFrame(vectors("s", 30), "src string, term string, w double")
+    plain = {(r.sus, r.src): r.similarity for r in cosine_pairs(
+        sus, src, sus_key="sus", src_key="src", threshold=threshold, strategy="broadcast").collect()}
+    pref = {(r.sus, r.src): r.similarity for r in cosine_pairs(
+        sus, src, sus_key="sus", src_key="src", threshold=threshold, strategy="prefix",
+        rows_per_salt=5).collect()}
+    assert plain.keys() == pref.keys() and len(plain) > 0
+    for k in plain:
+        assert pref[k] == pytest.approx(plain[k], abs=1e-12)
