@@ -67,10 +67,10 @@ def compare_chunked(documents: DataFrame, pairs: DataFrame, threshold: float = 0
     chunks = reused(document_chunk_units(docs, key=key, text=text, chunk_size=chunk_size,
                                          html=html, stopwords=stopwords))
 
-    units = reused(_pair_units(pairs, chunks, "sus", key)
-                   .unionByName(_pair_units(pairs, chunks, "src", key)))
+    units = (_pair_units(pairs, chunks, "sus", key)
+             .unionByName(_pair_units(pairs, chunks, "src", key)))
     unit_keys = ["side", "chunk_idx"]
-    tf = reused(term_counts(with_terms(units, ngram_range), [*PAIR, *unit_keys], F.col("terms")))
+    tf = term_counts(with_terms(units, ngram_range), [*PAIR, *unit_keys], F.col("terms"))
     idf = fit_idf(tf, units.select(*PAIR, *unit_keys), PAIR)
     w = reused(tfidf_weights(tf, idf, unit_keys, PAIR))
 
