@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WS_RUN
 from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel, measured
+from palimpsest.session import broadcast_row_limit
 from palimpsest.schemas import ANNOTATION_TYPE, METADATA_TYPE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -61,8 +62,11 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
     longest = F.array_max(F.transform(interior, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))
     p = passages.select(F.col(passage_key).alias("_pk"), F.col(passage_text).alias("_pt"),
                         F.when(n >= _ANCHOR_MIN_PIECES, longest["x"]).alias("anchor"))
-    p, _ = measured(p)
-    anchors, _ = broadcast_if_bounded(p.filter(F.col("anchor").isNotNull()).select("_pk", "anchor"))
+    p, n_passages = measured(p)
+    limit = broadcast_row_limit(passages.sparkSession)
+    anchors = p.filter(F.col("anchor").isNotNull()).select("_pk", "anchor")
+    if n_passages <= limit:  # at most one anchor per passage
+        anchors = F.broadcast(anchors)
 
     d = ensure_parallel(docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt")), "_dk")
     tokens = F.split(F.coalesce(F.col("_dt"), F.lit("")), WS_RUN)
@@ -79,7 +83,9 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
             d.join(F.broadcast(short.select("_pk", "_pt")), F.contains("_dt", "_pt"))
             .select("_dk", "_pk"))
 
-    candidates, _ = broadcast_if_bounded(candidates.distinct())
+    candidates, n_candidates = measured(candidates.distinct())
+    if n_candidates <= limit:
+        candidates = F.broadcast(candidates)
     verified = (d.join(candidates, "_dk")
                 .join(p.select("_pk", "_pt"), "_pk")
                 .filter(F.contains("_dt", "_pt"))
@@ -119,7 +125,7 @@ def corpus_from_tables(spark: SparkSession, sf_dir: str, with_truth: bool = True
                            empty_meta.alias("metadata"),
                            F.lit(None).cast("boolean").alias("has_plagiarism"))
     if with_truth:
-        truth, _ = broadcast_if_bounded(truth_metadata(passage_containment(docs, bench)))
+        truth, _ = broadcast_if_bounded(truth_metadata(passage_containment(docs, bench)))  # <= candidates
         sus = docs.join(truth, "doc_id", "left")
         meta = F.when(F.col("plagiarism").isNotNull(),
                       F.struct(F.lit(None).cast("string").alias("authors"),
