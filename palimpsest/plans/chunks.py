@@ -67,8 +67,13 @@ def compare_chunked(documents: DataFrame, pairs: DataFrame, threshold: float = 0
     chunks = reused(document_chunk_units(docs, key=key, text=text, chunk_size=chunk_size,
                                          html=html, stopwords=stopwords))
 
+    # Everything below is keyed by pair first (term counts, per-pair IDF, the
+    # L2 window, the cosine join, the top-1): one hash partitioning by pair
+    # serves all of it. A pair holds two documents' chunks, so no pair key
+    # can be much larger than its two documents.
     units = (_pair_units(pairs, chunks, "sus", key)
-             .unionByName(_pair_units(pairs, chunks, "src", key)))
+             .unionByName(_pair_units(pairs, chunks, "src", key))
+             .repartition(*PAIR))
     unit_keys = ["side", "chunk_idx"]
     tf = term_counts(with_terms(units, ngram_range), [*PAIR, *unit_keys], F.col("terms"))
     idf = fit_idf(tf, units.select(*PAIR, *unit_keys), PAIR)
