@@ -1,12 +1,10 @@
-import itertools
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from palimpsest.operators.dense import dense_top1
 from palimpsest.plans.chunks import compare_chunked
-from palimpsest.plans.dense import compare_dense, vector_nearest
+from palimpsest.plans.dense import compare_dense
 
 from tests import pyref
 

@@ -2,9 +2,7 @@ import itertools
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
-from palimpsest.functions import text as TX
 from palimpsest.operators.bestmatch import best_matches
 from palimpsest.operators.simjoin import cosine_pairs
 from palimpsest.operators.truth import attach_truth, detection_metrics
