@@ -139,7 +139,7 @@ def q_stemmed_similarity_join(spark, sf_dir):
 
 def q_sampled_corpus(spark, sf_dir):
     """The reference's default cap of 100 suspicious documents, filled
-    source by source in a seeded hash order (a sampling operator; rows-only)."""
+    source by source in a seeded hash order (a sampling operator)."""
     listing = read_table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sample_cap(listing, 100, part="source", key="doc_id")
 
@@ -278,4 +278,6 @@ def oracle_sql() -> dict[str, str]:
         "pair_summary": _sql_pair_summary(),
         "dense_best_match": _sql_dense_best_match(),
         "dense_summary": _sql_dense_summary(),
+        "sampled_corpus": ("SELECT doc_id, source, n_chars FROM documents "
+                           "ORDER BY source, md5('42|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100"),
     }

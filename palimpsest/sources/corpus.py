@@ -76,10 +76,12 @@ def sample_cap(listing: DataFrame, n: int | None, *, part: str = "part", key: st
                seed: int = 42) -> DataFrame:
     """At most ``n`` rows, filled part by part (parts in name order) and
     in a seeded hash order inside a part - deterministic, unlike a random
-    pick, so recomputation after a lost executor selects the same rows."""
+    pick, so recomputation after a lost executor selects the same rows. The
+    hash is ``md5('<seed>|<key>')``, which plain SQL engines compute alike."""
     if n is None:
         return listing
-    order = [F.col(part), F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
+    order = [F.col(part), hashed, F.col(key)]
     return listing.orderBy(*order).limit(int(n))
 
 
