@@ -260,6 +260,17 @@ def _sql_dense_summary() -> str:
               "count(*)::BIGINT AS compared_chunks FROM best GROUP BY label")
 
 
+def _sql_hashed_embedding_match() -> str:
+    def prev(c):
+        return f"CASE WHEN length({c}) > 100 THEN left({c}, 100) || '...' ELSE {c} END"
+    return ("WITH " + O.dense_text_ctes() + "\nSELECT b.suspicious_id, b.source_id, "
+            "b.sus_idx AS suspicious_chunk_idx, " + prev("s.txt") + " AS suspicious_chunk_text, "
+            "b.src_idx AS source_chunk_idx, " + prev("r.txt") + " AS source_chunk_text, "
+            + _r("b.sim", "similarity") + ", b.sim >= 0.8 AS is_flagged "
+            "FROM best b JOIN sus_c s ON s.doc = b.doc_id AND s.idx = b.sus_idx "
+            "JOIN src_c r ON r.doc = b.item_id AND r.idx = b.src_idx")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "doc_similarity_join": _sql_doc_similarity_join(),
@@ -278,6 +289,7 @@ def oracle_sql() -> dict[str, str]:
         "pair_summary": _sql_pair_summary(),
         "dense_best_match": _sql_dense_best_match(),
         "dense_summary": _sql_dense_summary(),
+        "hashed_embedding_match": _sql_hashed_embedding_match(),
         "sampled_corpus": ("SELECT doc_id, source, n_chars FROM documents "
                            "ORDER BY source, md5('42|' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100"),
     }

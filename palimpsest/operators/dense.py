@@ -16,6 +16,7 @@ final ``max_by`` picks the best over a row's cells.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -32,28 +33,31 @@ _TOKEN = re.compile(r"\w+")
 
 class HashingEmbedder:
     """Deterministic stand-in for a transformer: signed feature hashing of
-    lower-cased word tokens, mean-pooled over the tokens of one text.
+    lower-cased word tokens, summed over the tokens of one text.
+
+    Token -> bucket ``int(md5[:8], 16) % dim``, sign from the parity of
+    ``int(md5[8:16], 16)``. The vector holds integer counts: mean pooling
+    would only rescale it, which cosine ignores, and integers keep every dot
+    product and norm exact (so any engine that computes md5 reproduces it).
 
     Any object with ``embed(list[str]) -> np.ndarray[(n, dim)]`` and a
     ``dim`` attribute can replace it (e.g. an ONNX sentence encoder).
     """
 
-    def __init__(self, dim: int = 256, seed: int = 17):
+    def __init__(self, dim: int = 256):
         self.dim = dim
-        self.seed = seed
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        import xxhash
-
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
+        cache: dict[str, tuple[int, float]] = {}
         for row, text in enumerate(texts):
-            tokens = _TOKEN.findall((text or "").lower())
-            if not tokens:
-                continue
-            for tok in tokens:
-                h = xxhash.xxh64_intdigest(tok, seed=self.seed)
-                out[row, h % self.dim] += 1.0 if (h >> 63) == 0 else -1.0
-            out[row] /= len(tokens)
+            for tok in _TOKEN.findall((text or "").lower()):
+                hit = cache.get(tok)
+                if hit is None:
+                    h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+                    hit = (int(h[:8], 16) % self.dim, 1.0 if int(h[8:16], 16) % 2 == 0 else -1.0)
+                    cache[tok] = hit
+                out[row, hit[0]] += hit[1]
         return out
 
 

@@ -220,3 +220,54 @@ s AS (SELECT a.label, a.vec_id AS sus, b.vec_id AS src,
 best AS (SELECT label, sus, src, sim FROM (
            SELECT *, row_number() OVER (PARTITION BY label, sus ORDER BY round(sim, 10) DESC, src) AS rn FROM s)
          WHERE rn = 1)"""
+
+
+def dense_text_ctes(threshold: float = 0.8, dim: int = 256) -> str:
+    """CTEs for dense mode over the truth pairs with the built-in hashing
+    embedder: ``best`` (top-1 source chunk per suspicious chunk) and chunk
+    texts ``sus_c`` / ``src_c``. Every (suspicious, source) chunk pair of a
+    pair is scored (cosine 0 when no bucket is shared), as argmax needs."""
+    word = r"[\p{L}\p{N}_]+"
+
+    def chunk_rows(table: str, key: str) -> str:
+        return f"""(SELECT doc, idx, txt FROM (
+  SELECT {key} AS doc, unnest(range(0, len(ch)))::BIGINT AS idx, unnest(ch) AS txt
+  FROM (SELECT {key}, {chunks_sql('sent', 1, 'text')} AS ch
+        FROM (SELECT {key}, text, {sentences_newline_sql('text')} AS sent FROM {table}
+              WHERE {key} IN (SELECT {key} FROM pairs))))
+  WHERE {strip_sql('txt')} <> '')"""
+
+    def vectors(chunks: str) -> str:
+        return f"""(SELECT doc, idx, bucket, sum(sign) AS v FROM (
+  SELECT doc, idx, ('0x' || substr(md5(tok), 1, 8))::BIGINT % {dim} AS bucket,
+         CASE WHEN ('0x' || substr(md5(tok), 9, 8))::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS sign
+  FROM (SELECT doc, idx, unnest(regexp_extract_all(lower(txt), {q(word)})) AS tok FROM {chunks}))
+  GROUP BY doc, idx, bucket)"""
+
+    def norms(chunks: str, vecs: str) -> str:
+        return f"""(SELECT c.doc, c.idx, coalesce(sqrt(sum(v.v * v.v)), 0.0) AS nv
+  FROM {chunks} c LEFT JOIN {vecs} v ON v.doc = c.doc AND v.idx = c.idx GROUP BY c.doc, c.idx)"""
+
+    return f"""
+truth AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+pairs AS (SELECT DISTINCT printf({q(SUSPICIOUS_ID_FORMAT)}, doc_id) AS suspicious_id,
+                 printf({q(SOURCE_ID_FORMAT)}, item_id) AS source_id, doc_id, item_id FROM truth),
+sus_c AS {chunk_rows('documents', 'doc_id')},
+src_c AS {chunk_rows('benchmark', 'item_id')},
+sus_v AS {vectors('sus_c')},
+src_v AS {vectors('src_c')},
+sus_n AS {norms('sus_c', 'sus_v')},
+src_n AS {norms('src_c', 'src_v')},
+allpairs AS (SELECT p.suspicious_id, p.source_id, p.doc_id, p.item_id, a.idx AS sus_idx, b.idx AS src_idx,
+                    a.nv AS na, b.nv AS nb
+             FROM pairs p JOIN sus_n a ON a.doc = p.doc_id JOIN src_n b ON b.doc = p.item_id),
+dots AS (SELECT p.suspicious_id, p.source_id, p.sus_idx, p.src_idx, sum(x.v * y.v) AS dot
+         FROM allpairs p JOIN sus_v x ON x.doc = p.doc_id AND x.idx = p.sus_idx
+         JOIN src_v y ON y.doc = p.item_id AND y.idx = p.src_idx AND y.bucket = x.bucket
+         GROUP BY p.suspicious_id, p.source_id, p.sus_idx, p.src_idx),
+sims AS (SELECT a.*, CASE WHEN a.na > 0 AND a.nb > 0 THEN coalesce(d.dot, 0.0) / (a.na * a.nb)
+                          ELSE 0.0 END AS sim
+         FROM allpairs a LEFT JOIN dots d USING (suspicious_id, source_id, sus_idx, src_idx)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY suspicious_id, source_id, sus_idx
+                                                   ORDER BY round(sim, 10) DESC, src_idx) AS rn FROM sims)
+         WHERE rn = 1)"""
