@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import oracle as O
-from palimpsest.plans import text_queries as TQ
+from palimpsest.operators.truth import detection_metrics, truth_cases
 from palimpsest.plans import chunks as CH
 from palimpsest.plans import dense as DN
-from palimpsest.sources.corpus import sample_cap
-from palimpsest.sources.tables import read_table
-from palimpsest.operators.truth import detection_metrics, truth_cases
+from palimpsest.plans import text_queries as TQ
 from palimpsest.plans.corpus import corpus_counts, detect_reuse
-from palimpsest.sources.tables import corpus_from_tables
+from palimpsest.sources.corpus import sample_cap
+from palimpsest.sources.tables import corpus_from_tables, read_table
 
 DECIMALS = 6
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -45,30 +44,37 @@ def q_doc_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_normalize_tokens(spark, sf_dir):
+    """C1 over documents: token count and processed text."""
     return TQ.prepared_documents(spark, sf_dir)
 
 
 def q_html_to_text(spark, sf_dir):
+    """T2 over pages: visible text and processed text."""
     return TQ.html_pages(spark, sf_dir)
 
 
 def q_sentence_chunks(spark, sf_dir):
+    """T10 + T13 + T14: five-sentence chunks of every document."""
     return TQ.document_chunks(spark, sf_dir, "tfidf")
 
 
 def q_sentence_chunks_dense(spark, sf_dir):
+    """T11 + T13 + T14: one-sentence chunks of every document."""
     return TQ.document_chunks(spark, sf_dir, "dense")
 
 
 def q_ngram_tf(spark, sf_dir):
+    """V1 + V2: unigram and bigram counts per document."""
     return TQ.document_term_counts(spark, sf_dir)
 
 
 def q_idf_table(spark, sf_dir):
+    """V3: document frequency and smoothed IDF fitted on the benchmark passages."""
     return _round(TQ.source_idf(spark, sf_dir), "idf")
 
 
 def q_tfidf_weights(spark, sf_dir):
+    """V5 + V6: L2-normalised TF-IDF of every document under the source IDF."""
     return _round(TQ.suspicious_weights(spark, sf_dir), "w")
 
 
@@ -125,7 +131,7 @@ def q_dense_summary(spark, sf_dir):
 
 
 def q_hashed_embedding_match(spark, sf_dir):
-    """C4 over the truth pairs with the built-in hashing embedder (rows-only check)."""
+    """C4 over the truth pairs with the built-in hashing embedder."""
     corpus = corpus_from_tables(spark, sf_dir)
     matches, _ = DN.compare_dense(corpus, CH.truth_pairs(corpus))
     return _round(DN.dense_report(matches), "similarity")
