@@ -148,3 +148,28 @@ def test_prefix_filter_equals_plain_join(spark, threshold):
     assert plain.keys() == pref.keys() and len(plain) > 0
     for k in plain:
         assert pref[k] == pytest.approx(plain[k], abs=1e-12)
+
+
+def _executed_plan(df):
+    import contextlib
+    import io
+
+    df.collect()
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain("formatted")
+    return buf.getvalue()
+
+
+def test_flagship_plan_has_one_shuffle(spark):
+    """With broadcastable sources the big side is shuffled once (by id); every
+    join is a broadcast and every aggregate / window reuses that partitioning."""
+    src, sus = _docs(10, 5), _docs(30, 6)
+    plan = _executed_plan(detect_reuse(_corpus(spark, src, sus)))
+    final = plan.split("== Initial Plan ==")[0]
+    shuffles = [line for line in final.splitlines()
+                if line.strip().startswith("+- Exchange") or line.strip().startswith(":- Exchange")
+                or " Exchange (" in line and "Broadcast" not in line]
+    shuffles = sorted({s.strip().lstrip(":+- ") for s in shuffles})
+    assert len(shuffles) == 1, shuffles
+    assert "REPARTITION_BY_COL" in plan and "SortMergeJoin" not in final
