@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import broadcast_row_limit, ensure_checkpoint_dir
+from palimpsest.session import broadcast_row_limit, ensure_checkpoint_dir, text_partitions
 
 
 def reused(df: DataFrame) -> DataFrame:
@@ -50,5 +50,5 @@ def ensure_parallel(df: DataFrame, key: str) -> DataFrame:
     are and cost no shuffle."""
     spark = df.sparkSession
     if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        return df.repartition(key)
+        return df.repartition(text_partitions(spark), key)
     return df

@@ -24,6 +24,7 @@ from palimpsest.operators.simjoin import cosine_pairs
 from palimpsest.operators.sizing import reused
 from palimpsest.operators.vectorize import fit_idf, term_counts, tfidf_weights
 from palimpsest.plans.corpus import with_terms
+from palimpsest.session import text_partitions
 
 PAIR = ["suspicious_id", "source_id"]
 
@@ -63,7 +64,8 @@ def compare_chunked(documents: DataFrame, pairs: DataFrame, threshold: float = 0
     pairs = reused(pairs.select(*PAIR).distinct())
     wanted = (pairs.select(F.col("suspicious_id").alias(key))
               .unionByName(pairs.select(F.col("source_id").alias(key))).distinct())
-    docs = documents.join(wanted, key, "left_semi").repartition(key)
+    spark = documents.sparkSession
+    docs = documents.join(wanted, key, "left_semi").repartition(text_partitions(spark), key)
     chunks = reused(document_chunk_units(docs, key=key, text=text, chunk_size=chunk_size,
                                          html=html, stopwords=stopwords))
 
@@ -73,7 +75,7 @@ def compare_chunked(documents: DataFrame, pairs: DataFrame, threshold: float = 0
     # can be much larger than its two documents.
     units = (_pair_units(pairs, chunks, "sus", key)
              .unionByName(_pair_units(pairs, chunks, "src", key))
-             .repartition(*PAIR))
+             .repartition(text_partitions(spark), *PAIR))
     unit_keys = ["side", "chunk_idx"]
     tf = term_counts(with_terms(units, ngram_range), [*PAIR, *unit_keys], F.col("terms"))
     idf = fit_idf(tf, units.select(*PAIR, *unit_keys), PAIR)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.ngrams import vectorizer_tokens, word_ngrams
 from palimpsest.operators.prepare import prepare_documents
+from palimpsest.session import text_partitions
 from palimpsest.operators.simjoin import cosine_pairs
 from palimpsest.operators.sizing import broadcast_if_bounded
 from palimpsest.operators.truth import attach_truth, truth_cases
@@ -51,7 +52,8 @@ def with_terms(df: DataFrame, ngram_range=(1, 2)) -> DataFrame:
 def _side(documents: DataFrame, kind: str, key: str, prep: dict | None) -> DataFrame:
     """One side hash-partitioned by ``key``; raw documents are prepared after
     the shuffle so the text work runs at full parallelism."""
-    side = documents.filter(F.col("type") == kind).repartition(key)
+    side = documents.filter(F.col("type") == kind).repartition(
+        text_partitions(documents.sparkSession), key)
     if "tokens" not in side.columns and "processed_text" not in side.columns:
         side = prepare_documents(side, key=key, **(prep or {}))
     return side

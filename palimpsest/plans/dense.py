@@ -16,6 +16,7 @@ from palimpsest.functions.text import is_blank, preview
 from palimpsest.operators.bestmatch import pair_summary
 from palimpsest.operators.dense import HashingEmbedder, dense_top1, embed
 from palimpsest.operators.sizing import reused
+from palimpsest.session import text_partitions
 
 PAIR = ["suspicious_id", "source_id"]
 
@@ -28,7 +29,8 @@ def compare_dense(documents: DataFrame, pairs: DataFrame, threshold: float = 0.8
     pairs = reused(pairs.select(*PAIR).distinct())
     wanted = (pairs.select(F.col("suspicious_id").alias(key))
               .unionByName(pairs.select(F.col("source_id").alias(key))).distinct())
-    docs = documents.join(wanted, key, "left_semi").repartition(key)
+    docs = documents.join(wanted, key, "left_semi").repartition(
+        text_partitions(documents.sparkSession), key)
     chunks = explode_chunks(with_chunks(docs.select(key, text), text, "dense", chunk_size).drop(text))
     chunks = reused(embed(chunks.filter(~is_blank("chunk_text")), "chunk_text", embedder_factory))
 

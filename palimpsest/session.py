@@ -80,3 +80,15 @@ def ship_package(spark: SparkSession) -> None:
                                   root_dir=os.path.dirname(pkg_dir), base_dir="palimpsest")
     spark.sparkContext.addPyFile(archive)
     _SHIPPED.add(app)
+
+
+def text_partitions(spark: SparkSession) -> int:
+    """Partition count for shuffles that feed CPU-heavy per-row text work.
+
+    Adaptive execution coalesces shuffle output by bytes, which squeezes a
+    small-but-expensive text stage (a few MB of documents to tokenise, chunk
+    or embed) into one task. Repartitioning with an explicit count keeps it
+    spread: ``max(spark.sql.shuffle.partitions, 2 x default parallelism)``.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, 2 * spark.sparkContext.defaultParallelism)
