@@ -172,4 +172,4 @@ def test_flagship_plan_has_one_shuffle(spark):
                 or " Exchange (" in line and "Broadcast" not in line]
     shuffles = sorted({s.strip().lstrip(":+- ") for s in shuffles})
     assert len(shuffles) == 1, shuffles
-    assert "hashpartitioning(id#" in final and "SortMergeJoin" not in final
+    assert "hashpartitioning(id#" in plan and "SortMergeJoin" not in final
