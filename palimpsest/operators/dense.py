@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.operators.bestmatch import TIE_DECIMALS
-from palimpsest.session import ship_package
+from palimpsest.session import ship_package, text_partitions
 
 _TOKEN = re.compile(r"\w+")
 
@@ -142,7 +142,10 @@ def dense_top1(sus: DataFrame, src: DataFrame, *, group: list[str], sus_idx: str
                                T.StructField("sus_idx", T.LongType()),
                                T.StructField("src_idx", T.LongType()),
                                T.StructField("similarity", T.DoubleType())])
+    # an explicit partition count: adaptive coalescing would otherwise pack
+    # the (byte-small, compute-heavy) cells into very few Python tasks
     cells = (s_rows.unionByName(r_rows)
+             .repartition(text_partitions(sus.sparkSession), *group, "_bs", "_br")
              .groupBy(*group, "_bs", "_br")
              .applyInPandas(_block_top1(group, exclude_self), out_schema))
     ranked = F.struct(F.round("similarity", TIE_DECIMALS), -F.col("src_idx"))
