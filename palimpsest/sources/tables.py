@@ -31,8 +31,8 @@ REFERENCE_FORMAT = "source-document%05d.txt"
 # piece to anchor on.
 _ANCHOR_MIN_PIECES = 3
 # Passages too short for any anchor are matched by a nested-loop contains();
-# refuse to do that for more than this many of them.
-_MAX_UNANCHORED_PASSAGES = 10_000
+# refuse when that would take more than this many (document, passage) checks.
+_MAX_UNANCHORED_CHECKS = 10_000_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +76,9 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
 
     short = p.filter(F.col("anchor").isNull() & (F.col("_pt").isNotNull()))
     n_short = short.count()
-    if n_short > _MAX_UNANCHORED_PASSAGES:
-        raise ValueError(f"{n_short} passages are too short to anchor; refusing a nested loop")
+    if n_short and n_short * d.count() > _MAX_UNANCHORED_CHECKS:
+        raise ValueError(f"{n_short} passages are too short to anchor and the documents too many "
+                         "for a bounded nested-loop check")
     if n_short:
         candidates = candidates.unionByName(
             d.join(F.broadcast(short.select("_pk", "_pt")), F.contains("_dt", "_pt"))
