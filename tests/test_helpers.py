@@ -43,3 +43,24 @@ def test_metrics_lines_format(spark):
     lines = [r.value for r in metrics_lines(m).orderBy("i").collect()]
     assert lines == ["precision: 0.5", "recall: 1.0", "f1_score: 0.6666666666666666",
                      "true_positives: 1", "false_positives: 1", "false_negatives: 0"]
+
+
+def test_empty_sides(spark):
+    from palimpsest.operators.truth import detection_metrics, truth_cases
+    from palimpsest.plans.chunks import compare_chunked
+    from palimpsest.plans.corpus import detect_reuse
+
+    schema = "id string, type string, raw_text string"
+    only_sus = spark.createDataFrame([("u1", "suspicious", "alpha beta")], schema)
+    assert detect_reuse(only_sus).count() == 0
+    blank_src = spark.createDataFrame([("s1", "source", "  !! 42 "), ("u1", "suspicious", "alpha")], schema)
+    assert detect_reuse(blank_src).count() == 0
+    only_src = spark.createDataFrame([("s1", "source", "alpha beta")], schema)
+    res = detect_reuse(only_src)
+    assert res.count() == 0
+    truth = spark.createDataFrame([], "suspicious_id string, source_reference string")
+    m = detection_metrics(res, truth).first()
+    assert (m.precision, m.recall, m.f1_score, m.true_positives, m.false_negatives) == (0.0, 0.0, 0.0, 0, 0)
+    pairs = spark.createDataFrame([], "suspicious_id string, source_id string")
+    matches, summary = compare_chunked(only_src, pairs)
+    assert matches.count() == 0 and summary.count() == 0
