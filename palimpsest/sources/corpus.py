@@ -37,6 +37,10 @@ _FEATURE_SCHEMA = ("_name string, _authors string, _title string, _lang string,
                    "_source_reference string, _this_offset string, _this_length string, "
                    "_type string, _obfuscation string, _corrupt_record string")
 
+_PROLOG = r"<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<!DOCTYPE[^>]*>"
+_ONE_ELEMENT = r"^<([A-Za-z_][\w.:-]*)[\s\S]*</\1\s*>$"
+_ONE_EMPTY_ELEMENT = r"^<[A-Za-z_][^<>]*/>$"
+
 # Driver-side path lists for a capped sample are allowed up to this size.
 MAX_SAMPLED_PATHS = 200_000
 
@@ -126,10 +130,14 @@ def read_sidecars(spark: SparkSession, root: str, side: str) -> DataFrame:
     # A file the reader could not find features in may still be malformed as
     # a whole (truncated, mismatched tags): parse each file once more as one
     # XML value and gate on its corrupt-record marker.
+    # A single root element must remain once the prolog, comments and
+    # processing instructions are removed (several roots do not parse).
+    body = F.regexp_replace(F.regexp_replace("value", _PROLOG, ""), r"^\s+|\s+$", "")
+    single_root = body.rlike(_ONE_ELEMENT) | body.rlike(_ONE_EMPTY_ELEMENT)
     whole = (whole_text
              .select(F.col("_metadata.file_path").alias("xml_path"),
-                     F.from_xml("value", "struct<_corrupt_record string>", {"mode": "PERMISSIVE"})
-                     ["_corrupt_record"].isNotNull().alias("malformed")))
+                     (F.from_xml("value", "struct<_corrupt_record string>", {"mode": "PERMISSIVE"})
+                      ["_corrupt_record"].isNotNull() | ~single_root).alias("malformed")))
     per_file = (per_file.join(whole, "xml_path", "full_outer")
                 .withColumn("bad", F.coalesce("bad", F.lit(False)) | F.coalesce("malformed", F.lit(False)))
                 .filter(F.col("bad") | F.col("plag").isNotNull()))

@@ -28,6 +28,9 @@ SUS = {
     "suspicious-document00003": ("Nothing in common here at all, only zebras.\r\n",
                                  "<document><feature name='about'"),
     "suspicious-document00004": ("Mountain goats climb steep ridges searching for salt.", None),
+    "suspicious-document00005": ("Two roots in the sidecar.",
+                                 '<?xml version="1.0"?><!-- c --><a><feature name="about" lang="en"/></a>'
+                                 '<b><feature name="plagiarism" source_reference="x.txt"/></b>'),
 }
 
 
@@ -60,6 +63,8 @@ def test_load_corpus(spark, corpus_root):
     d3 = rows["suspicious-document00003"]
     assert d3.metadata.language == "unknown" and d3.raw_text.endswith("zebras.\n")
     assert rows["suspicious-document00004"].metadata is None
+    d5 = rows["suspicious-document00005"]
+    assert d5.metadata.language == "unknown" and not d5.has_plagiarism
     assert rows["source-document00001"].has_plagiarism is None
     capped = load_corpus(spark, corpus_root, max_src=1, max_sus=2, prepare=False)
     counts = {r.type: r["count"] for r in capped.groupBy("type").count().collect()}
@@ -74,7 +79,7 @@ def test_corpus_job_writes_outputs(spark, corpus_root, tmp_path):
     lines = spark.read.text(str(tmp_path / "evaluation_metrics")).collect()
     assert [l.value.split(": ")[0] for l in lines] == [
         "precision", "recall", "f1_score", "true_positives", "false_positives", "false_negatives"]
-    assert out["counts"].first().documents == 7
+    assert out["counts"].first().documents == 8
 
 
 def test_pair_jobs(spark, corpus_root, tmp_path):
