@@ -137,3 +137,14 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got.keys() == batch.keys() and len(got) > 0
     for k in got:
         assert got[k] == pytest.approx(batch[k])
+
+
+def test_source_index_scores_with_truth(spark, corpus_root):
+    docs = load_corpus(spark, corpus_root, max_src=None, max_sus=None, prepare=False)
+    index = SourceIndex(docs.filter(F.col("type") == "source").select("id", "raw_text"))
+    batch = docs.filter(F.col("type") == "suspicious").select("id", "raw_text", "metadata")
+    got = {(r.suspicious_id, r.source_id): (r.ground_truth, r.source_reference)
+           for r in index.score(batch).collect()}
+    exp = {(r.suspicious_id, r.source_id): (r.ground_truth, r.source_reference)
+           for r in detect_reuse(docs).collect()}
+    assert got == exp and got[("suspicious-document00001", "source-document00001")][0]
