@@ -9,6 +9,7 @@ summation orders.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,14 @@ from palimpsest.plans.corpus import corpus_counts, detect_reuse
 from palimpsest.sources.corpus import sample_cap
 from palimpsest.sources.tables import corpus_from_tables, read_table
 
+try:  # the training-data operators and their pipeline are optional
+    import corpus_pipeline
+    from palimpsest.llm import registry as LLM
+except ImportError:
+    corpus_pipeline = LLM = None
+
 DECIMALS = 6
-SF_SMOKE = "/root/testdata/sf0.001"
+SF_SMOKE = os.environ.get("SPARK_ENTRY_SF_DIR", "/root/testdata/sf0.001")
 
 
 def _round(df: DataFrame, *cols: str) -> DataFrame:
@@ -156,6 +163,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _own_queries() | (LLM.queries() | {"pipeline": corpus_pipeline.run} if LLM else {})
+
+
+def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "doc_similarity_join": q_doc_similarity_join,
         "normalize_tokens": q_normalize_tokens,
@@ -278,6 +289,11 @@ def _sql_hashed_embedding_match() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    return _own_oracle_sql() | (LLM.oracle_sql() if LLM else {}) | (
+        {"pipeline": corpus_pipeline.ORACLE_SQL} if LLM and corpus_pipeline.ORACLE_SQL else {})
+
+
+def _own_oracle_sql() -> dict[str, str]:
     return {
         "doc_similarity_join": _sql_doc_similarity_join(),
         "normalize_tokens": _sql_normalize_tokens(),
