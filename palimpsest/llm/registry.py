@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import q_exact_dedup
+from palimpsest.llm import q_exact_dedup, q_quality
 
-MODULES = (q_exact_dedup,)
+MODULES = (q_exact_dedup, q_quality)
 
 
 def queries() -> dict:
