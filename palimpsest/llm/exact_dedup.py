@@ -36,12 +36,16 @@ def _chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return norm.select("k", "t", chunk_texts(F.col("t")).alias("chunks"))
 
 
-def colliding_chunks(chunks: DataFrame) -> DataFrame:
-    """``(h, c, variant)`` for chunk texts whose hash also stands for another text."""
+def colliding_chunks(chunks: DataFrame) -> DataFrame | None:
+    """``(h, c, variant)`` for chunk texts whose hash also stands for another text;
+    none where every hash stands for one text. Texts travel once, to be compared;
+    only those of the clashing hashes travel again."""
     distinct = chunks.select("h", "c").distinct()
-    many = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    many = materialised(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"))
+    if many.isEmpty():
+        return None
     rank = F.row_number().over(Window.partitionBy("h").orderBy("c"))
-    return distinct.join(many, "h").withColumn("variant", rank)
+    return materialised(chunks.join(many, "h", "left_semi").distinct().withColumn("variant", rank))
 
 
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -50,11 +54,11 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     texts), ``group_size``, ``kept``, ``text_sha256`` and ``n_chunks``."""
     cut = _chunked(docs, key, text)
     chunks = cut.select(F.explode("chunks").alias("c")).select(chunk_hash(F.col("c")).alias("h"), "c")
-    clash = materialised(colliding_chunks(chunks))
+    clash = colliding_chunks(chunks)
     recipe = cut.select("k", F.sha2("t", 256).alias("sha"), "chunks",
                         F.transform("chunks", lambda c: chunk_hash(c)).alias("ids"))
     plain = recipe.select("k", "sha", "ids", F.lit("").alias("variants"))
-    if not clash.isEmpty():
+    if clash is not None:
         plain = _with_variants(recipe, clash, chunk_hash)
     rows = materialised(plain.groupBy("ids", "variants", "k", "sha").agg(F.count(F.lit(1)).alias("n")))
     groups = rows.groupBy("ids", "variants").agg(
