@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import q_exact_dedup, q_quality, q_token_counts
+from palimpsest.llm import q_exact_dedup, q_packing, q_quality, q_token_counts
 
-MODULES = (q_exact_dedup, q_quality, q_token_counts)
+MODULES = (q_exact_dedup, q_packing, q_quality, q_token_counts)
 
 
 def queries() -> dict:
