@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators.sizing import reused
-from palimpsest.session import ship_package, text_partitions
+from palimpsest.session import ensure_checkpoint_dir, ship_package, text_partitions
 
 #: Fixed value: the ASCII white space that separates words in the contracts.
 WS = r"[\x20\x09-\x0D]+"
@@ -26,6 +27,17 @@ def materialised(df: DataFrame) -> DataFrame:
     return reused(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared checkpoint folder: smaller
+    than ``checkpoint()`` and read by column. Deleted when the application ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows over all cores when the input has fewer splits than cores (one
     small file); larger inputs keep their splits and cost no shuffle."""

@@ -1,9 +1,9 @@
 """Token counts without token ids.
 
-BPE merges never cross from another character to a word-start mark, since no piece
-of the vocabulary holds the mark behind another character (checked when the
-model is loaded). A text is therefore a bag of pre-tokens, each a run of spaces
-and what follows, whose piece counts add up:
+BPE merges never cross a point that no piece of the vocabulary spans: before a word-start mark
+and between letters and other characters (checked when the model is loaded). A text is
+therefore a bag of pre-tokens, each a run of letters or of other characters with the spaces
+in front, whose piece counts add up:
 
 1. pre-token frequencies of the corpus, combined in the map tasks;
 2. pieces counted once per distinct pre-token;
@@ -21,17 +21,20 @@ rows repeated give one row each; an empty table gives an empty result; only
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_batches, materialised, record_batch, slices, spread
+from palimpsest.llm.common import map_batches, record_batch, slices, spread, written
 
 MARK = "▁"
+#: Letters, or anything else; the superscript two counts as no letter (one piece has a full stop behind it).
+PRE_TOKEN = re.compile(r" *[^\W\d_²]+| *(?:[^\w ]|[\d_²])+| +")
 #: Frequencies are handed on when a task holds this many distinct pre-tokens.
-MAX_HELD = 200_000
+MAX_HELD = 600_000
 _MODELS: dict = {}
 
 
@@ -41,30 +44,28 @@ def load_model(path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        assert not any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size())), \
-            "pieces cross word starts; pre-tokens would not add up"
+        for i in range(sp.get_piece_size()):
+            if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i)):
+                piece = sp.id_to_piece(i).replace(MARK, " ")
+                assert PRE_TOKEN.fullmatch(piece) and "\n" not in piece, \
+                    "a piece spans pre-tokens; counts would not add up"
         _MODELS[path] = sp
     return _MODELS[path]
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens of ``text``, each without the one space that the library puts
-    in front of what it encodes. Together with those spaces they are the text."""
+    """The pre-tokens of ``text`` behind the one space that the library puts in front."""
     if not text:
         return []
     if MARK in text:  # the library takes the mark for a space
         text = text.replace(MARK, " ")
-    parts = text.split(" ")
-    if "" not in parts:
-        return parts
-    out, spaces = [], 0
-    for i, part in enumerate(parts):
-        if part == "" and i < len(parts) - 1:
-            spaces += 1
-        else:
-            out.append(" " * spaces + part)
-            spaces = 0
-    return out
+    return PRE_TOKEN.findall(" " + text)
+
+
+def piece_counts(sp, pre: list[str]) -> list[int]:
+    """Pieces of each pre-token. A line feed in front, which no piece spans, keeps
+    the space that the library adds (and the line feed, two pieces) apart from it."""
+    return [len(ids) - 2 for ids in sp.encode(["\n" + x for x in pre], num_threads=1)]
 
 
 def _corpus_frequencies(batches):
@@ -90,11 +91,9 @@ def _count_pieces(path: str):
     def run(batches):
         sp = load_model(path)
         for batch in batches:
-            pre = batch.column("pre").to_pylist()
-            # "" is one space at the end of a text; the library gives an empty text no piece
-            ids = sp.encode([x or MARK for x in pre], num_threads=1)
-            yield record_batch({"pre": batch.column("pre"), "n": batch.column("n"), "pieces": pa.array(
-                [len(i) if x else 1 for x, i in zip(pre, ids)], pa.int64())})
+            pieces = piece_counts(sp, batch.column("pre").to_pylist())
+            yield record_batch({"pre": batch.column("pre"), "n": batch.column("n"),
+                                "pieces": pa.array(pieces, pa.int64())})
 
     return run
 
@@ -126,7 +125,7 @@ def _head(vocab: DataFrame, head_bytes: int) -> tuple[int, dict[str, int]]:
 
 def _documents(head):
     """Per document one row with the sum over the head and, for each pre-token
-    beyond it, one row with its frequency."""
+    beyond it, one row with its frequency. ``h`` and ``n_bytes`` stand for the text."""
 
     def run(batches):
         import xxhash
@@ -134,32 +133,33 @@ def _documents(head):
         known = head.value
         for batch in batches:
             for part in slices(batch, "t"):
-                docs = {k: [] for k in ("id", "bytes", "sum")}
-                rest = {k: [] for k in ("id", "pre", "n")}
-                for text in part.column("t").to_pylist():
+                h, n_bytes, total = [], [], []
+                at, pre, n = [], [], []
+                for i, text in enumerate(part.column("t").to_pylist()):
                     raw = text.encode()
-                    h = xxhash.xxh3_128_digest(raw)
-                    total = 0
-                    for pre, n in Counter(pre_tokens(text)).items():
-                        pieces = known.get(pre)
+                    h.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
+                    n_bytes.append(len(raw))
+                    count = 0
+                    for token, freq in Counter(pre_tokens(text)).items():
+                        pieces = known.get(token)
                         if pieces is None:
-                            rest["id"].append(h)
-                            rest["pre"].append(pre)
-                            rest["n"].append(n)
+                            at.append(i)
+                            pre.append(token)
+                            n.append(freq)
                         else:
-                            total += n * pieces
-                    docs["id"].append(h)
-                    docs["bytes"].append(len(raw))
-                    docs["sum"].append(total)
-                n_docs, n_rest = len(docs["id"]), len(rest["id"])
+                            count += freq * pieces
+                    total.append(count)
+                docs, rows = len(h), pa.array(at, pa.int32())
+                h, n_bytes = pa.array(h, pa.int64()), pa.array(n_bytes, pa.int64())
                 key = part.column("k")
                 yield record_batch({
-                    "h": pa.array(docs["id"] + rest["id"], pa.binary()),
-                    "k": pa.concat_arrays([key, pa.nulls(n_rest, key.type)]),
-                    "n_bytes": pa.array(docs["bytes"] + [None] * n_rest, pa.int64()),
-                    "n_tokens": pa.array(docs["sum"] + [0] * n_rest, pa.int64()),
-                    "pre": pa.array([None] * n_docs + rest["pre"], pa.string()),
-                    "n": pa.array([0] * n_docs + rest["n"], pa.int64())})
+                    "h": pa.concat_arrays([h, h.take(rows)]),
+                    "n_bytes": pa.concat_arrays([n_bytes, n_bytes.take(rows)]),
+                    "k": pa.concat_arrays([key, pa.nulls(len(at), key.type)]),
+                    "is_doc": pa.array([True] * docs + [False] * len(at)),
+                    # never a pre-token (those have no other space behind another character); spreads the document rows
+                    "pre": pa.array([f"- {x} " for x in h.to_pylist()] + pre, pa.string()),
+                    "n": pa.array(total + n, pa.int64())})
 
     return run
 
@@ -169,16 +169,21 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """``key, n_bytes, n_tokens`` for every row of ``docs``."""
     spark = docs.sparkSession
     rows = spread(docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t")))
-    vocab = materialised(vocabulary(rows, model_path, "t"))
+    vocab = written(vocabulary(rows, model_path, "t"))
     least, head = _head(vocab, head_bytes)
     kind = rows.schema["k"].dataType.simpleString()
     counted = map_batches(rows, _documents(spark.sparkContext.broadcast(head)),
-                          f"h binary, k {kind}, n_bytes long, n_tokens long, pre string, n long")
-    counted = materialised(counted)
-    # copies of a text repeat its rows; once is enough, the sum belongs to the text
-    rest = counted.where("pre IS NOT NULL").select("h", "pre", "n").join(
-        vocab.where(F.col("n") < least).select("pre", "pieces"), "pre").distinct()
-    sums = rest.groupBy("h").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
-    out = counted.where("pre IS NULL").join(sums, "h", "left")
-    return out.select(F.col("k").alias(key), "n_bytes",
-                      (F.col("n_tokens") + F.coalesce("more", F.lit(0))).alias("n_tokens"))
+                          f"h long, n_bytes long, k {kind}, is_doc boolean, pre string, n long")
+    # per text: its documents, and once for all its copies the pieces beyond the head
+    priced = written(counted.join(vocab.where(F.col("n") < least).select("pre", "pieces"), "pre", "left").groupBy(
+        "h", "n_bytes", "k", "is_doc").agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("tokens")))
+    own = priced.where("is_doc")
+    more = priced.where("NOT is_doc").select("h", "n_bytes", F.col("tokens").alias("beyond")).join(
+        own.groupBy("h", "n_bytes").agg(F.sum("copies").alias("docs")), ["h", "n_bytes"])
+    out = own.join(more, ["h", "n_bytes"], "left").withColumn(
+        "n_tokens", (F.col("tokens") / F.col("copies")).cast("long")
+        + F.coalesce((F.col("beyond") / F.col("docs")).cast("long"), F.lit(0)))
+    each = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return each.select(F.col("k").alias(key), "n_bytes", "n_tokens")
