@@ -127,41 +127,43 @@ class _Bags:
                          for d in range(DIM)], 1)
 
 
-def train(docs: np.ndarray, labels: np.ndarray, segments: list[str], rounds=(25, 20, 20),
-          rate: float = 0.15, decay: float = 2e-7, min_docs: int = 4) -> Model:
-    """Adam on the whole sample; between rounds the carriers of toxic labels are chosen anew."""
+def train(docs: np.ndarray, labels: np.ndarray, segments: list[str], warm: int = 15, steps: int = 70,
+          rate: float = 0.1, decay: float = 1e-5, min_docs: int = 4) -> Model:
+    """Adam on the whole sample, first on all segments, then on each document's most
+    toxic segment (chosen anew at every step) and, by a part, all segments of clean documents."""
     bags, rng = _Bags(segments, docs, min_docs), np.random.default_rng(7)
     emb = rng.normal(0, 0.1, (len(bags.used), DIM))
     soft, bias = rng.normal(0, 0.1, (2, DIM)), np.zeros(2)
     order = np.lexsort((np.arange(len(docs)), docs))
     first = np.flatnonzero(np.r_[True, docs[order][1:] != docs[order][:-1]])
+    n_of = np.diff(np.r_[first, len(docs)])
     doc_label = labels[order][first]
+    n_toxic, n_clean = max(1, doc_label.sum()), max(1, (1 - doc_label).sum())
+    every = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, soft, bias)]
-    step, carries = 0, np.ones(len(docs), bool)
-    for n_steps in rounds:
-        share = np.where(labels == 1, 0.5 / max(1, (carries & (labels == 1)).sum()),
-                         0.5 / max(1, (labels == 0).sum())) * carries
-        for _ in range(n_steps):
-            step += 1
-            x = bags.vectors(emb)
-            z = x @ soft.T + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), labels] -= 1
-            dz = p * share[:, None]
-            grads = (bags.gradient(dz @ soft) + decay * emb, dz.T @ x, dz.sum(0))
-            for value, grad, (m, v) in zip((emb, soft, bias), grads, state):
-                m += 0.1 * (grad - m)
-                v += 0.02 * (grad * grad - v)
-                value -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.98 ** step)) + 1e-9)
-        logit = bags.vectors(emb) @ (soft[1] - soft[0]) + (bias[1] - bias[0])
+    for step in range(1, warm + steps + 1):
+        x = bags.vectors(emb)
+        z = x @ soft.T + bias
+        logit = z[:, 1] - z[:, 0]
         top = np.maximum.reduceat(logit[order], first)
-        is_top = logit[order] == np.repeat(top, np.diff(np.r_[first, len(docs)]))
-        carries = labels == 0
-        carries[order] |= is_top | ((logit[order] > 0) & (labels[order] == 1))
+        share = every
+        if step > warm:
+            is_top = np.zeros(len(docs), bool)
+            is_top[order] = logit[order] == np.repeat(top, n_of)
+            share = is_top * np.where(labels == 1, 0.5 / n_toxic, 0.35 / n_clean) + 0.3 * every * (labels == 0)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        p[np.arange(len(p)), labels] -= 1
+        dz = p * share[:, None]
+        grads = (bags.gradient(dz @ soft) + decay * emb, dz.T @ x, dz.sum(0))
+        for value, grad, (m, v) in zip((emb, soft, bias), grads, state):
+            m += 0.1 * (grad - m)
+            v += 0.02 * (grad * grad - v)
+            value -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.98 ** step)) + 1e-9)
+    logit = bags.vectors(emb) @ (soft[1] - soft[0]) + (bias[1] - bias[0])
     weight = np.zeros(BUCKETS)
     weight[bags.used] = emb @ (soft[1] - soft[0])
-    scale, shift = _calibrate(top, doc_label)
+    scale, shift = _calibrate(np.maximum.reduceat(logit[order], first), doc_label)
     return Model(weight, float(bias[1] - bias[0]), scale, shift)
 
 
