@@ -11,8 +11,8 @@ one all do. A document scores as its most toxic segment, calibrated on the train
 As all of it is linear, scoring needs one number per distinct word.
 
 The training sample is bounded: at most about ``sample_rows`` labelled documents of
-either label, drawn by a hash of the key, and ``max_segments`` segments of either label.
-Every text is scored whole.
+either label, drawn by a hash of the key, with about ``max_segments`` segments for
+either label. Every text is scored whole.
 
 Defined cases: a null or empty text, or one without a word, has no segment and scores
 as the bias alone; null keys and labels are not learned from; without both labels every score is 0;
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import map_batches, record_batch, slices, spread
 
 WORD = re.compile(r"[^\W_]+")
-SEGMENT, DIM, BUCKETS, GRAMS = 24, 4, 1 << 18, (3, 4, 5)
+SEGMENT, DIM, BUCKETS, GRAMS = 8, 4, 1 << 18, (3, 4, 5)
 MAX_WORD = 40  # longer words are bags of the n-grams of all their MAX_WORD-character parts
 MAX_CACHED = 300_000
 
@@ -127,8 +127,8 @@ class _Bags:
                          for d in range(DIM)], 1)
 
 
-def train(docs: np.ndarray, labels: np.ndarray, segments: list[str], warm: int = 15, steps: int = 70,
-          rate: float = 0.1, decay: float = 1e-5, min_docs: int = 4) -> Model:
+def train(docs: np.ndarray, labels: np.ndarray, segments: list[str], warm: int = 15, steps: int = 60,
+          rate: float = 0.1, decay: float = 1e-5, min_docs: int = 6) -> Model:
     """Adam on the whole sample, first on all segments, then on each document's most
     toxic segment (chosen anew at every step) and, by a part, all segments of clean documents."""
     bags, rng = _Bags(segments, docs, min_docs), np.random.default_rng(7)
@@ -180,7 +180,7 @@ def _calibrate(logit: np.ndarray, label: np.ndarray, penalty: float = 0.01) -> t
     return float(b[0] / width), float(b[1] - b[0] * mid / width)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, max_segments: int = 40_000,
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, max_segments: int = 80_000,
         key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """The model from the labelled rows of ``labels`` (none without both labels)."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(
@@ -196,8 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, max_segment
     sample = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(few, "doc").select(
         F.col("doc").cast("long").alias("doc"), "label", "t")
     seg = map_batches(sample, _segments, "doc long, label int, words string")
-    # bounded by max_segments for either label
-    share = F.pmod(F.xxhash64("doc", "words"), F.lit(1 << 30)) / (1 << 30)
+    # whole documents, with about max_segments segments of either label at most
+    share = F.pmod(F.xxhash64("doc", F.lit("segments")), F.lit(1 << 30)) / (1 << 30)
     counts = {r["label"]: r["n"] for r in seg.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return None
