@@ -14,8 +14,10 @@ def query(spark, sf_dir):
 # Two hexadecimal digits stand for a byte.
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-s AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS p, h FROM d WHERE length(h) >= 200),
-w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY sha256(substr(h, 2 * p + 1, 200)) ORDER BY doc_id, p) AS r FROM s),
+s AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS p,
+             unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: sha256(substr(h, 2 * i + 1, 200)))) AS s
+      FROM d WHERE length(h) >= 200),
+w AS (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS r FROM s),
 e AS (SELECT doc_id, p, max(p + 100) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
       FROM w WHERE r > 1),
 g AS (SELECT doc_id, p, sum(CASE WHEN reach IS NULL OR p > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM e),
