@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import q_exact_dedup, q_langid, q_packing, q_page_text, q_quality, q_repeats, q_simhash, q_token_counts, q_toxicity
+from palimpsest.llm import q_exact_dedup, q_langid, q_packing, q_page_text, q_quality, q_repeats, q_sampling, q_simhash, q_token_counts, q_toxicity
 
-MODULES = (q_exact_dedup, q_langid, q_packing, q_page_text, q_quality, q_repeats, q_simhash, q_token_counts, q_toxicity)
+MODULES = (q_exact_dedup, q_langid, q_packing, q_page_text, q_quality, q_repeats, q_sampling, q_simhash, q_token_counts, q_toxicity)
 
 
 def queries() -> dict:
