@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators.sizing import reused
+from palimpsest.operators.sizing import broadcast_if_bounded, reused
 from palimpsest.session import ensure_checkpoint_dir, ship_package, text_partitions
 
 #: Fixed value: the ASCII white space that separates words in the contracts.
@@ -79,3 +79,15 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
 
 def record_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def without(docs: DataFrame, gone: DataFrame, pairs: dict[str, Column]) -> DataFrame:
+    """``docs`` without the rows that match ``gone``; ``pairs`` maps columns of ``gone``
+    to what they are compared with (nulls match nulls). ``gone`` is broadcast if its
+    measured size allows, so the texts stay where they are; otherwise both sides are shuffled."""
+    fresh = {name: f"_{uuid.uuid4().hex}" for name in pairs}
+    gone, _ = broadcast_if_bounded(gone.select(*[F.col(a).alias(b) for a, b in fresh.items()]))
+    same = F.lit(True)
+    for name, value in pairs.items():
+        same = same & value.eqNullSafe(F.col(fresh[name]))
+    return docs.join(gone, same, "left_anti")

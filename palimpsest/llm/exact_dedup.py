@@ -15,10 +15,12 @@ only ``key`` and ``text`` are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ascii_lower, materialised
+from palimpsest.llm.common import ascii_lower, materialised, without
 
 #: A chunk ends after a vowel, a consonant and white space once it has MIN_CHUNK
 #: characters, at MAX_CHUNK at the latest.
@@ -83,3 +85,21 @@ def _with_variants(recipe: DataFrame, clash: DataFrame, chunk_hash) -> DataFrame
     found = hit.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "variant"))).alias("v"))
     return row.alias("a").join(found.alias("b"), F.col("a.row").eqNullSafe(F.col("b.row")), "left").select(
         "a.k", "a.sha", "a.ids", F.coalesce(F.col("v").cast("string"), F.lit("")).alias("variants"))
+
+
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that stay: of equal texts the one with the largest key."""
+    by_row = materialised(exact_dedup(docs, key, text).groupBy(F.col(key).alias("k"), "text_sha256").agg(
+        F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")))
+    sha = F.sha2(ascii_lower(F.coalesce(F.col(text), F.lit(""))), 256)
+    same = {"k": F.col(key), "text_sha256": sha}
+    out = without(docs, by_row.where("NOT stays"), same)
+    repeated = by_row.where("stays AND n > 1")
+    if repeated.isEmpty():
+        return out
+    # rows repeated with key and text: one of them
+    k, s = f"_{uuid.uuid4().hex}", f"_{uuid.uuid4().hex}"
+    marked = out.withColumns({k: F.col(key), s: sha})
+    twice = repeated.select(F.col("k").alias(k + "r"), F.col("text_sha256").alias(s + "r"))
+    once = marked.join(twice, F.col(k).eqNullSafe(F.col(k + "r")) & (F.col(s) == F.col(s + "r")), "left_semi")
+    return without(out, repeated, same).unionByName(once.dropDuplicates([k, s]).drop(k, s))

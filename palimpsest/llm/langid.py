@@ -218,6 +218,28 @@ def predict(docs: DataFrame, vocab_path: str, model: tuple[list[str], np.ndarray
         .withColumnRenamed("k", key)
 
 
+def _keep(path: str, langs: list[str], theta, text: str, least: float):
+    predict_batches = _predict(path, langs, theta)
+
+    def run(batches):
+        for batch in batches:
+            at = pa.array(range(batch.num_rows), pa.int64())
+            scored = predict_batches([record_batch({"k": at, "t": batch.column(text)})])
+            kept = [k for part in scored for k, name, score in zip(
+                *(part.column(c).to_pylist() for c in ("k", "lang_pred", "score"))) if name != "und" and score >= least]
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return run
+
+
+def keep_known(docs: DataFrame, vocab_path: str, model: tuple[list[str], np.ndarray], text: str = "text",
+               least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whole, whose language is known with a score of at least ``least``."""
+    langs, table = model
+    theta = docs.sparkSession.sparkContext.broadcast(table)
+    return map_batches(docs, _keep(vocab_path, langs, theta, text, least), docs.schema)
+
+
 def held_out(key: Column) -> Column:
     """Rows never learned from: crc32 of the key as text is 2 modulo 4."""
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))

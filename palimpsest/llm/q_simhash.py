@@ -8,4 +8,4 @@ NAME = "op1_simhash"
 
 def query(spark, sf_dir):
     """Fingerprint and class of every document."""
-    return simhash_dedup(read(spark, sf_dir, "documents"))
+    return simhash_dedup(read(spark, sf_dir, "documents")).drop("text_hash")

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import map_batches, record_batch, slices, spread, written
 from palimpsest.llm.suffix_groups import suffix_array
@@ -242,54 +243,84 @@ def removed_spans(starts: np.ndarray, counts: np.ndarray, width: int) -> list[tu
     return list(zip(lo[first].tolist(), reach[np.r_[first[1:] - 1, len(lo) - 1]].tolist()))
 
 
-def _clean(width: int, with_text: bool):
+def _remaining(text: str, runs, width: int) -> tuple[bytes, list[tuple[int, int]], bytes]:
+    raw = text.encode()
+    if not runs:
+        return raw, [], raw
+    spans = removed_spans(np.array([r["start"] for r in runs], np.int64), np.array([r["n"] for r in runs], np.int64), width)
+    ends = [0] + [b for _, b in spans]
+    return raw, spans, b"".join(raw[a:b] for a, b in zip(ends, [a for a, _ in spans] + [len(raw)]))
+
+
+def _clean(width: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "t"):
-                out = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "sha", "kept")}
-                for text, runs in zip(part.column("t").to_pylist(), part.column("runs").to_pylist()):
-                    raw, kept, spans = text.encode(), None, []
-                    if runs:
-                        spans = removed_spans(np.array([r["start"] for r in runs], np.int64),
-                                              np.array([r["n"] for r in runs], np.int64), width)
-                        ends = [0] + [b for _, b in spans]
-                        kept = b"".join(raw[a:b] for a, b in zip(ends, [a for a, _ in spans] + [len(raw)]))
-                    kept = raw if kept is None else kept
-                    out["n_bytes"].append(len(raw))
-                    out["n_removed"].append(len(raw) - len(kept))
-                    out["n_spans"].append(len(spans))
-                    out["sha"].append(hashlib.sha256(kept).hexdigest())
-                    out["kept"].append(kept)
-                cols = {"k": part.column("k"), "o": part.column("o")}
-                cols |= {c: pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")}
-                cols["kept_sha256"] = pa.array(out["sha"], pa.string())
-                if with_text:
-                    cols["kept"] = pa.array(out["kept"], pa.binary())
-                yield record_batch(cols)
+                done = [_remaining(t, r, width) for t, r in zip(*(part.column(c).to_pylist() for c in ("t", "runs")))]
+                yield record_batch({
+                    "k": part.column("k"), "o": part.column("o"),
+                    "n_bytes": pa.array([len(raw) for raw, _, _ in done], pa.int64()),
+                    "n_removed": pa.array([len(raw) - len(kept) for raw, _, kept in done], pa.int64()),
+                    "n_spans": pa.array([len(spans) for _, spans, _ in done], pa.int64()),
+                    "kept_sha256": pa.array([hashlib.sha256(kept).hexdigest() for _, _, kept in done], pa.string())})
 
     return run
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k, o, t``: rows with ``o`` numbering those that share a key, by text."""
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"))
+def _rest(width: int):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "t"):
+                texts = [_remaining(t, r, width)[2].decode("utf-8", "ignore")
+                         for t, r in zip(*(part.column(c).to_pylist() for c in ("t", "runs")))]
+                yield record_batch({"row": part.column("row"), "text": pa.array(texts, pa.string())})
+
+    return run
+
+
+def numbered(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFrame:
+    """``k, o, t``: rows with ``o`` numbering those that share a key, by text; with
+    ``carry`` also ``row``, the whole row but for its text."""
+    rest = [F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")] if carry else []
+    rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"), *rest)
+    names = ["k", "t"] + (["row"] if carry else [])
     shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("s"))
     shared, _ = broadcast_if_bounded(shared)
     if shared.isEmpty():
-        return rows.select("k", F.lit(0).alias("o"), "t")
+        return rows.withColumn("o", F.lit(0))
     same = F.col("k").eqNullSafe(F.col("s"))
     order = F.row_number().over(Window.partitionBy("k").orderBy("t"))
-    return rows.join(shared, same, "left_anti").select("k", F.lit(0).alias("o"), "t").unionByName(
-        rows.join(shared, same, "left_semi").select("k", order.alias("o"), "t"))
+    return rows.join(shared, same, "left_anti").select(*names, F.lit(0).alias("o")).unionByName(
+        rows.join(shared, same, "left_semi").select(*names, order.alias("o")))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100,
-                   with_text: bool = False) -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs`` and,
-    if asked for, the remaining bytes as ``kept``. ``o`` tells rows of one key apart."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept_sha256`` for every row of ``docs``.
+    ``o`` tells rows of one key apart."""
     rows = spread(numbered(docs, key, text))
     kind = rows.schema["k"].dataType.simpleString()
-    texts = rows.where(F.octet_length("t") >= width)
+    schema = f"k {kind}, o int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return map_batches(_marked(rows, width).drop("row"), _clean(width), schema).withColumnRenamed("k", key)
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars",
+                width: int = 100) -> DataFrame:
+    """``docs`` with what remains of every text (a character cut in two goes whole) and,
+    if there is such a column, its new ``length`` in characters."""
+    rows = spread(numbered(docs, key, text, carry=True))
+    row = next(f for f in rows.schema.fields if f.name == "row")
+    schema = T.StructType([row, T.StructField("text", T.StringType())])
+    out = map_batches(_marked(rows, width), _rest(width), schema)
+    new = {text: F.col("text")}
+    if length in docs.columns:
+        new[length] = F.char_length("text").cast(docs.schema[length].dataType)
+    return out.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in docs.columns])
+
+
+def _marked(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``runs``, the strings to remove as runs of starts."""
+    kind = rows.schema["k"].dataType.simpleString()
+    texts = rows.where(F.octet_length("t") >= width).select("k", "o", "t")
     twice = map_batches(texts.select("t"), _minimisers(width), "m long, c long").groupBy("m").agg(
         F.sum("c").alias("c")).where("c > 1").select("m")
     occurrences = map_batches(texts, _occurrences(width), f"m long, cut long, n int, k {kind}, o int, start long")
@@ -316,11 +347,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     # 4. documents
     per_doc = runs.groupBy("k", "o").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumnsRenamed(
         {"k": "rk", "o": "ro"})
-    marked = rows.join(per_doc, F.col("k").eqNullSafe(F.col("rk")) & (F.col("o") == F.col("ro")), "left").select(
-        "k", "o", "t", "runs")
-    schema = f"k {kind}, o int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = map_batches(marked, _clean(width, with_text), schema + (", kept binary" if with_text else ""))
-    return out.withColumnRenamed("k", key)
+    return rows.join(per_doc, F.col("k").eqNullSafe(F.col("rk")) & (F.col("o") == F.col("ro")), "left").drop("rk", "ro")
 
 
 def _by_string(pieces: DataFrame, width: int) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import LOWER, UPPER, map_batches, materialised, record_batch, slices, spread
+from palimpsest.llm.common import LOWER, UPPER, map_batches, materialised, record_batch, slices, spread, without
 from palimpsest.llm.components import connected_components
 from palimpsest.operators.sizing import broadcast_if_bounded
 
@@ -63,17 +63,22 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def _fingerprints(shingle: int):
     def run(batches):
+        from xxhash import xxh64_intdigest
+
         for batch in batches:
             for part in slices(batch, "t"):
-                fps = np.array([fingerprint(t, shingle) for t in part.column("t").to_pylist()], np.uint64)
-                yield record_batch({"k": part.column("k"), "fp": pa.array(fps.view(np.int64))})
+                texts = part.column("t").to_pylist()
+                fps = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+                same = np.array([xxh64_intdigest((t or "").encode(), SEED) for t in texts], np.uint64)
+                yield record_batch({"k": part.column("k"), "text_hash": pa.array(same.view(np.int64)),
+                                    "fp": pa.array(fps.view(np.int64))})
 
     return run
 
 
 def fingerprints(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
     rows = spread(docs.select(F.col(key).alias("k"), F.col(text).alias("t")))
-    return map_batches(rows, _fingerprints(shingle), f"k {rows.schema['k'].dataType.simpleString()}, fp long")
+    return map_batches(rows, _fingerprints(shingle), f"k {rows.schema['k'].dataType.simpleString()}, text_hash long, fp long")
 
 
 # ------------------------------------------------------------------- groups
@@ -215,7 +220,8 @@ def search_in(codes, group, max_bits, lo, hi):
 
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                   max_bits: int = 2) -> DataFrame:
-    """``key, fingerprint, component_id`` for every row of ``docs``."""
+    """``key, fingerprint, component_id, text_hash`` for every row of ``docs``; the last is
+    Spark's ``xxhash64`` of the text, which tells rows of one key apart."""
     prints = materialised(fingerprints(docs, key, text, shingle))
     nodes = materialised(prints.groupBy("fp").agg(F.min("k").alias("least")))
     members = _members(nodes, max_bits + 1)
@@ -227,4 +233,14 @@ def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shin
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = linked.join(of_root, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(
-        F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        "text_hash")
+
+
+def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
+                     max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs``, whole, that stay: of each class the one whose key is the class id."""
+    gone = simhash_dedup(docs, key, text, shingle, max_bits).select(
+        F.col(key).alias("k"), "text_hash", "component_id").where(~F.col("k").eqNullSafe(F.col("component_id")))
+    return without(docs, gone.distinct(), {
+        "k": F.col(key), "text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
