@@ -3,16 +3,16 @@
 A byte goes when a ``width``-byte string that covers it also starts earlier, in a smaller
 document or earlier in the same one. Strings are judged on the input.
 
-1. Each string is represented by its minimiser, the least-hashed ``K``-byte
-   string inside (the last of equals). Runs of strings with the same minimiser form a *cut*,
-   a stretch of text; equal strings have equal minimisers at the same place. Only
-   cuts whose minimiser occurs twice go on.
+1. Each string is represented by its minimiser, the least hash of the ``K``-byte
+   strings inside. Runs of strings with the same minimiser form a *cut*, a stretch of text; equal
+   strings have equal minimisers. Only cuts go on whose minimiser has another cut, or occurs
+   again inside its own (periodic text).
 2. Cuts are compared whole by hash and length: of equal cuts, all strings of all but the
    earliest are repeats.
-3. Distinct cuts of one minimiser may still share strings. Their texts are
+3. Distinct cuts of one minimiser, and periodic ones, may still share strings. Their texts are
    concatenated and suffix sorted by linear grouping (``suffix_groups``); strings
    that agree in ``width`` bytes stand side by side, and all but the
-   earliest are repeats. A minimiser with more than ``MAX_CUTS`` distinct cuts is
+   earliest are repeats. A minimiser with more than ``MAX_BYTES`` of distinct cuts is
    not gathered: its cuts are taken apart into strings, and an aggregation over
    their digests finds the earliest of each, whatever their number.
 4. The runs of repeats of a document are merged and cut out of its bytes.
@@ -37,9 +37,12 @@ from palimpsest.llm.common import map_batches, record_batch, slices, spread, wri
 from palimpsest.llm.suffix_groups import suffix_array
 from palimpsest.operators.sizing import broadcast_if_bounded
 
-K, MAX_CUTS = 20, 1024
+K, MAX_BYTES = 32, 4 << 20
 BLOCK = 1 << 20  # strings scanned at a time
-CHUNK = 1 << 15  # bytes suffix sorted at a time, or one minimiser's cuts if more
+CHUNK = 1 << 18  # bytes of cuts taken up at a time, or one minimiser's cuts if more
+SORTED = 1 << 15  # bytes suffix sorted at a time, or what one minimiser's cuts share if more
+#: A place is one number, the row's number among those of its key times this, and the start.
+PLACE = 1 << 44
 PRIME = 0x9E3779B97F4A7C15
 _POWERS: list = []
 
@@ -57,52 +60,59 @@ def _powers(n: int):
     return _POWERS
 
 
-def _mixed_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of every ``K``-byte string of ``data``."""
+def _hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size``-byte string of ``data``."""
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
-    h = (total[K:] - total[:-K]) * down[:len(data) - K + 1]
+    h = (total[size:] - total[:-size]) * down[:len(data) - size + 1]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
 
 
-def cuts(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(start, n, minimiser)``: runs of string starts ``start .. start + n`` with one minimiser."""
-    starts, counts, keys = [], [], []
+def cuts(raw: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, n, minimiser, again)``: runs of string starts ``start .. start + n`` with one
+    minimiser, and whether that occurs again inside."""
+    out = []
     data, n_strings, span = np.frombuffer(raw, np.uint8), len(raw) - width + 1, width - K + 1
     for at in range(0, n_strings, BLOCK):
-        h = _mixed_hashes(data[at:at + BLOCK + width - 1])
+        h = _hashes(data[at:at + BLOCK + width - 1], K)
         least, done = h, 1
         while done * 2 <= span:
             least, done = np.minimum(least[:-done], least[done:]), done * 2
         if done < span:
             least = np.minimum(least[:-(span - done)], least[span - done:])
-        # a new cut where the least value changes or occurs anew at the right end
-        fresh = np.r_[True, (least[1:] != least[:-1]) | (h[span:] == least[1:])]
-        first = np.flatnonzero(fresh)
-        starts.append(first + at)
-        counts.append(np.diff(np.r_[first, len(least)]))
-        keys.append(least[first])
-    if not starts:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(starts), np.concatenate(counts), np.concatenate(keys).view(np.int64)
+        change = least[1:] != least[:-1]
+        first = np.flatnonzero(np.r_[True, change])
+        recurs = np.r_[False, ~change & (h[span:] == least[1:])]
+        # at the first string of a cut it may occur twice already
+        twice = np.add.reduceat(recurs, first) > 0
+        for i in np.flatnonzero(~twice).tolist() if len(first) < 3 else ():
+            a = first[i]
+            twice[i] = (h[a:a + span] == least[a]).sum() > 1
+        out.append((first + at, np.diff(np.r_[first, len(least)]), least[first].view(np.int64), twice))
+    if not out:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, bool),)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _minimisers(width: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "t"):
-                found = [cuts(t.encode(), width)[2] for t in part.column("t").to_pylist()]
-                keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                found = [cuts(t.encode(), width) for t in part.column("t").to_pylist()]
+                key, again = (np.concatenate([f[i] for f in found]) for i in (2, 3))
+                keys, counts = np.unique(np.r_[key, key[again]], return_counts=True)
                 yield record_batch({"m": pa.array(keys.astype(np.int64)), "c": pa.array(np.minimum(counts, 2))})
 
     return run
 
 
 def _occurrences(width: int):
+    """All cuts; ``n`` is negative where the minimiser occurs again inside."""
+
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
@@ -111,95 +121,108 @@ def _occurrences(width: int):
                 row, start, n, m, cut = [], [], [], [], []
                 for i, text in enumerate(part.column("t").to_pylist()):
                     raw = text.encode()
-                    s, c, k = cuts(raw, width)
+                    s, c, k, again = cuts(raw, width)
                     row.append(np.full(len(s), i, np.int32))
                     start.append(s)
-                    n.append(c)
+                    n.append(np.where(again, -c, c))
                     m.append(k)
                     cut += [xxh3_64_intdigest(raw[a:b]) for a, b in zip(s.tolist(), (s + c + width - 1).tolist())]
-                row = pa.array(np.concatenate(row))
+                row, start = np.concatenate(row), np.concatenate(start).astype(np.int64)
+                place = part.column("o").to_numpy()[row].astype(np.int64) * PLACE + start
                 yield record_batch({
                     "m": pa.array(np.concatenate(m).astype(np.int64)),
                     "cut": pa.array(np.array(cut, np.uint64).view(np.int64)),
                     "n": pa.array(np.concatenate(n).astype(np.int32)),
-                    "k": part.column("k").take(row), "o": part.column("o").take(row),
-                    "start": pa.array(np.concatenate(start).astype(np.int64))})
+                    "k": part.column("k").take(pa.array(row)), "place": pa.array(place)})
 
     return run
 
 
 # -------------------------------------------------------- distinct cuts of one minimiser
 
-def repeated_runs(texts: list[bytes], rank: list[int], width: int) -> list[tuple[int, int, int]]:
-    """``(text, start, n)``: strings of each text that a text of smaller rank has too,
-    as runs of starts."""
+def shared_parts(texts: list[bytes], width: int) -> list[tuple[int, int, int]]:
+    """``(text, start, end)``: the part of each text between its first and last string whose
+    hash occurs twice in ``texts``; no other string can be a repeat."""
+    sizes = np.array([len(t) for t in texts])
+    begin = np.r_[0, np.cumsum(sizes)[:-1]]
+    h = _hashes(np.frombuffer(b"".join(texts), np.uint8), width)
+    n = sizes - width + 1
+    owner = np.repeat(np.arange(len(texts)), n)
+    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    _, place, count = np.unique(h[begin[owner] + offset], return_inverse=True, return_counts=True)
+    twice = count[place] > 1
+    owner, offset = owner[twice], offset[twice]
+    if not len(owner):
+        return []
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    last = np.r_[first[1:], len(owner)] - 1
+    return list(zip(owner[first].tolist(), offset[first].tolist(), (offset[last] + width).tolist()))
+
+
+def repeated_runs(texts: list[bytes], width: int) -> list[tuple[int, int, int]]:
+    """``(text, start, n)``: strings of each text that an earlier text, or itself earlier, has
+    too, as runs of starts."""
     joined = b"\x00".join(texts) + b"\x00"
-    owner, offset, at = np.empty(len(joined), np.int32), np.empty(len(joined), np.int32), 0
-    for i, t in enumerate(texts):
-        owner[at:at + len(t) + 1] = i
-        offset[at:at + len(t) + 1] = np.arange(len(t) + 1)
-        at += len(t) + 1
-    room = np.array([len(t) for t in texts])[owner] - offset  # bytes left in the text
+    sizes = np.array([len(t) + 1 for t in texts])
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    offset = np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     order = np.array(suffix_array(joined), np.int64)
-    order = order[room[order] >= width].tolist()
-    hits: dict[int, list[int]] = {}
-
-    def settle(run):
-        if len(run) > 1:
-            least = min(rank[owner[p]] for p in run)
-            for p in run:
-                if rank[owner[p]] > least:
-                    hits.setdefault(int(owner[p]), []).append(int(offset[p]))
-
+    order = order[(sizes[owner] - 1 - offset)[order] >= width].tolist()
+    hits: list[int] = []
     run, word = [], None
     for p in order:
         w = joined[p:p + width]
         if w == word:
             run.append(p)
         else:
-            settle(run)
+            if len(run) > 1:
+                run.remove(min(run))
+                hits += run
             run, word = [p], w
-    settle(run)
-    out = []
-    for i, found in hits.items():
-        found = np.sort(np.array(found))
-        first = np.flatnonzero(np.r_[True, np.diff(found) != 1])
-        out += [(i, int(found[a]), int(b - a)) for a, b in zip(first, np.r_[first[1:], len(found)])]
-    return out
+    if len(run) > 1:
+        run.remove(min(run))
+        hits += run
+    if not hits:
+        return []
+    hits = np.sort(np.array(hits))
+    first = np.flatnonzero(np.r_[True, (np.diff(hits) != 1) | (owner[hits[1:]] != owner[hits[:-1]])])
+    counts = np.diff(np.r_[first, len(hits)])
+    return list(zip(owner[hits[first]].tolist(), offset[hits[first]].tolist(), counts.tolist()))
 
 
 def _compare(width: int):
-    """Runs of repeats among distinct cuts; input sorted by minimiser and order."""
+    """Runs of repeats among distinct cuts; input sorted by minimiser, key and place. Equal
+    strings have equal minimisers, so minimisers taken up together do not mix."""
+
+    def result(table):
+        m, texts = table.column("m").to_numpy(), table.column("bytes").to_pylist()
+        first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]).tolist() + [len(m)]
+        out, lo, total = [], 0, 0
+        for a, b in zip(first, first[1:]):
+            total += sum(map(len, texts[a:b]))
+            if total < CHUNK and b < len(m):
+                continue
+            parts, held, size = shared_parts(texts[lo:b], width), [], 0
+            for i, (t, s, e) in enumerate(parts):
+                held.append((lo + t, s, texts[lo + t][s:e]))
+                size += e - s
+                if i + 1 == len(parts) or size >= SORTED and m[lo + parts[i + 1][0]] != m[lo + t]:
+                    out += [(held[j][0], held[j][1] + at, n) for j, at, n in repeated_runs([x for _, _, x in held], width)]
+                    held, size = [], 0
+            lo, total = b, 0
+        at = pa.array([x[0] for x in out], pa.int32())
+        place = table.column("place").to_numpy()[[x[0] for x in out]] if out else np.zeros(0, np.int64)
+        return record_batch({"k": table.column("k").take(at),
+                             "place": pa.array(place + np.array([x[1] for x in out], np.int64)),
+                             "n": pa.array([x[2] for x in out], pa.int32())})
 
     def run(batches):
         held = None
-
-        def result(table):
-            m = table.column("m").to_numpy()
-            texts = table.column("bytes").to_pylist()
-            # no group mixes with another: equal strings have equal minimisers. Rows come in
-            # order, so the row number ranks them.
-            out = []
-            first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]]).tolist() + [len(m)]
-            lo, total = 0, 0
-            for a, b in zip(first, first[1:]):
-                total += sum(map(len, texts[a:b]))
-                if total >= CHUNK or b == len(m):
-                    out += [(lo + i, s, n) for i, s, n in repeated_runs(texts[lo:b], list(range(b - lo)), width)]
-                    lo, total = b, 0
-            at = pa.array([x[0] for x in out], pa.int32())
-            base = table.column("start").to_numpy()[[x[0] for x in out]] if out else np.zeros(0, np.int64)
-            return record_batch({"k": table.column("k").take(at), "o": table.column("o").take(at),
-                                 "start": pa.array(base + np.array([x[1] for x in out], np.int64)),
-                                 "n": pa.array([x[2] for x in out], pa.int32())})
-
         for batch in batches:
             held = batch if held is None else pa.concat_batches([held, batch])
-            if held.num_rows < 2 * MAX_CUTS:
-                continue
             m = held.column("m").to_numpy()
             last = np.flatnonzero(m[1:] != m[:-1])
-            if len(last):
+            if len(last):  # the last minimiser may go on in the next batch
                 cut = int(last[-1]) + 1
                 yield result(held.slice(0, cut))
                 held = held.slice(cut)
@@ -216,20 +239,18 @@ def _cut_texts(width: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "t"):
-                row, m, start, n, data = [], [], [], [], []
+            for part in slices(batch, "t", 1 << 20):
+                row, m, place, data = [], [], [], []
                 for i, (text, asked) in enumerate(zip(part.column("t").to_pylist(), part.column("asked").to_pylist())):
                     raw = text.encode()
                     for a in asked:
+                        start = a["place"] % PLACE
                         row.append(i)
                         m.append(a["m"])
-                        start.append(a["start"])
-                        n.append(a["n"])
-                        data.append(raw[a["start"]:a["start"] + a["n"] + width - 1])
-                at = pa.array(row, pa.int32())
-                yield record_batch({"m": pa.array(m, pa.int64()), "k": part.column("k").take(at),
-                                    "o": part.column("o").take(at), "start": pa.array(start, pa.int64()),
-                                    "n": pa.array(n, pa.int32()), "bytes": pa.array(data, pa.binary())})
+                        place.append(a["place"])
+                        data.append(raw[start:start + abs(a["n"]) + width - 1])
+                yield record_batch({"m": pa.array(m, pa.int64()), "k": part.column("k").take(pa.array(row, pa.int32())),
+                                    "place": pa.array(place, pa.int64()), "bytes": pa.array(data, pa.binary())})
 
     return run
 
@@ -323,41 +344,44 @@ def _marked(rows: DataFrame, width: int) -> DataFrame:
     texts = rows.where(F.octet_length("t") >= width).select("k", "o", "t")
     twice = map_batches(texts.select("t"), _minimisers(width), "m long, c long").groupBy("m").agg(
         F.sum("c").alias("c")).where("c > 1").select("m")
-    occurrences = map_batches(texts, _occurrences(width), f"m long, cut long, n int, k {kind}, o int, start long")
+    occurrences = map_batches(texts, _occurrences(width), f"m long, cut long, n int, k {kind}, place long")
     found = written(occurrences.join(twice, "m"))
     # 2. equal cuts
-    first = F.min(F.struct("k", "o", "start")).alias("first")
-    distinct = written(found.groupBy("m", "cut", "n").agg(first, F.count(F.lit(1)).alias("c")))
+    at = F.struct("k", "place")
+    distinct = written(found.groupBy("m", "cut", "n").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")))
     later = found.join(distinct.where("c > 1").select("m", "cut", "n", "first"), ["m", "cut", "n"]).where(
-        ~F.struct("k", "o", "start").eqNullSafe(F.col("first"))).select("k", "o", "start", "n")
-    # 3. distinct cuts of one minimiser
-    several = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("cuts")).where("cuts > 1")
-    asked = distinct.join(several, "m").select("m", "n", "first.*", "cuts")
-    lists = asked.groupBy("k", "o").agg(F.collect_list(F.struct("m", "start", "n")).alias("asked"))
-    lists, _ = broadcast_if_bounded(lists.withColumnsRenamed({"k": "ak", "o": "ao"}))
-    wanted = texts.join(lists, F.col("k").eqNullSafe(F.col("ak")) & (F.col("o") == F.col("ao"))).select(
-        "k", "o", "t", "asked")
-    pieces = written(map_batches(wanted, _cut_texts(width), f"m long, k {kind}, o int, start long, n int, bytes binary"))
-    crowded, _ = broadcast_if_bounded(several.where(F.col("cuts") > MAX_CUTS).select("m"))
-    few = pieces.join(crowded, "m", "left_anti").repartition("m").sortWithinPartitions("m", "k", "o", "start")
-    shared = map_batches(few, _compare(width), f"k {kind}, o int, start long, n int")
-    runs = later.unionByName(shared)
+        ~at.eqNullSafe(F.col("first"))).select("k", "place", F.abs("n").alias("n"))
+    # 3. distinct cuts of one minimiser, periodic cuts
+    several = distinct.groupBy("m").agg(
+        F.count(F.lit(1)).alias("cuts"), F.min("n").alias("n"),
+        F.sum(F.abs("n") + width - 1).alias("bytes")).where("cuts > 1 OR n < 0").select("m", "bytes")
+    asked = distinct.join(several, "m").select("m", "n", "first.*")
+    lists = asked.groupBy(F.col("k").alias("ak"), F.shiftright("place", 44).alias("ao")).agg(
+        F.collect_list(F.struct("m", "place", "n")).alias("asked"))
+    lists, _ = broadcast_if_bounded(lists)
+    wanted = texts.join(lists, F.col("k").eqNullSafe(F.col("ak")) & (F.col("o") == F.col("ao"))).select("k", "t", "asked")
+    pieces = map_batches(wanted, _cut_texts(width), f"m long, k {kind}, place long, bytes binary")
+    crowded, _ = broadcast_if_bounded(several.where(F.col("bytes") > MAX_BYTES).select("m"))
     if not crowded.isEmpty():
-        runs = runs.unionByName(_by_string(pieces.join(crowded, "m", "left_semi"), width))
+        pieces = written(pieces)
+        later = later.unionByName(_by_string(pieces.join(crowded, "m", "left_semi"), width))
+        pieces = pieces.join(crowded, "m", "left_anti")
+    sorted_ = pieces.repartition("m").sortWithinPartitions("m", "k", "place")
+    runs = later.unionByName(map_batches(sorted_, _compare(width), f"k {kind}, place long, n int"))
     # 4. documents
-    per_doc = runs.groupBy("k", "o").agg(F.collect_list(F.struct("start", "n")).alias("runs")).withColumnsRenamed(
-        {"k": "rk", "o": "ro"})
+    per_doc = runs.groupBy(F.col("k").alias("rk"), F.shiftright("place", 44).alias("ro")).agg(
+        F.collect_list(F.struct((F.col("place") % PLACE).alias("start"), "n")).alias("runs"))
     return rows.join(per_doc, F.col("k").eqNullSafe(F.col("rk")) & (F.col("o") == F.col("ro")), "left").drop("rk", "ro")
 
 
 def _by_string(pieces: DataFrame, width: int) -> DataFrame:
     """Repeats among the cuts of crowded minimisers, string by string."""
-    strings = pieces.select("m", "k", "o", "start", F.col("bytes"), F.explode(
-        F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
-        "m", F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(width)), 256).alias("s"), "k", "o",
-        (F.col("start") + F.col("i")).alias("start"))
+    strings = pieces.select("m", "k", "place", "bytes", F.explode(
+        F.sequence(F.lit(0), F.octet_length("bytes") - width)).alias("i")).select(
+        "m", F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(width)), 256).alias("s"), "k",
+        (F.col("place") + F.col("i")).alias("place"))
     strings = written(strings)
-    least = strings.groupBy("m", "s").agg(F.min(F.struct("k", "o", "start")).alias("first"),
+    least = strings.groupBy("m", "s").agg(F.min(F.struct("k", "place")).alias("first"),
                                           F.count(F.lit(1)).alias("c")).where("c > 1")
-    return strings.join(least, ["m", "s"]).where(~F.struct("k", "o", "start").eqNullSafe(F.col("first"))).select(
-        "k", "o", "start", F.lit(1).alias("n"))
+    return strings.join(least, ["m", "s"]).where(~F.struct("k", "place").eqNullSafe(F.col("first"))).select(
+        "k", "place", F.lit(1).alias("n"))
