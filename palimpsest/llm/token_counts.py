@@ -113,7 +113,7 @@ def _head(vocab: DataFrame, head_bytes: int) -> tuple[int, dict[str, int]]:
     # 120 bytes: a Python string with its number in a dict, besides its characters
     sizes = vocab.groupBy(level.alias("level")).agg(
         F.sum(F.octet_length("pre") + 120).alias("b")).collect()
-    total, least = 0, 64
+    total, least = 0, 62
     for row in sorted(sizes, key=lambda r: -r.level):
         total += row.b
         if total > head_bytes:
