@@ -178,7 +178,7 @@ def _predict(path: str, langs: list[str], theta):
         scores = np.zeros((0, len(langs)))
         for batch in batches:
             for part in slices(batch, "t"):
-                texts = [words_of(t) if t else [] for t in part.column("t").to_pylist()]
+                texts = [words_of(t) if t and langs else [] for t in part.column("t").to_pylist()]
                 if len(known) > MAX_CACHED:
                     known, scores = {}, np.zeros((0, len(langs)))
                 new = {w for words in texts for w in words if w not in known}
