@@ -1,8 +1,8 @@
 """Size-checked broadcast.
 
-A side is broadcast only after its row count has been measured and found
-under the limit (``palimpsest.broadcast.maxRows``); above it the caller takes
-the shuffle path. The measured frame is materialised first so the count and the
+A side is broadcast only after its rows and bytes have been measured (one
+aggregate) and found under the limits (``palimpsest.broadcast.maxRows`` and
+``palimpsest.broadcast.maxBytes``); above either the caller takes the shuffle path. The measured frame is materialised first so the count and the
 later join read the same materialised rows (checkpointed, see ``reused``).
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.session import broadcast_row_limit, ensure_checkpoint_dir, text_partitions
+from palimpsest.session import broadcast_byte_limit, broadcast_row_limit, ensure_checkpoint_dir, text_partitions
 
 
 def reused(df: DataFrame) -> DataFrame:
@@ -27,18 +27,22 @@ def reused(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """Materialise ``df`` (see ``reused``) and return it with its row count."""
+def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
+    """Materialise ``df`` (see ``reused``) and return it with its rows and its bytes
+    (of the rows as JSON text, which is more than they take as a broadcast)."""
     df = reused(df)
-    return df, df.count()
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(row)))).first()
+    return df, n, size or 0
 
 
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """Return ``(broadcast(df), True)`` when ``df`` has at most ``max_rows`` rows,
+    """Return ``(broadcast(df), True)`` when ``df`` is within both limits,
     else ``(df, False)``. ``df`` comes back materialised either way."""
-    limit = broadcast_row_limit(df.sparkSession) if max_rows is None else max_rows
-    df, n = measured(df)
-    if n <= limit:
+    spark = df.sparkSession
+    limit = broadcast_row_limit(spark) if max_rows is None else max_rows
+    df, n, size = measured(df)
+    if n <= limit and size <= broadcast_byte_limit(spark):
         return F.broadcast(df), True
     return df, False
 

@@ -40,7 +40,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is set by the deployment and is only read here.
-    Only when it is unset (local tests) do we pick a scratch folder.
+    Only when it is unset and the master is local (tests) do we pick a scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="palimpsest-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
@@ -60,6 +62,12 @@ def broadcast_row_limit(spark: SparkSession, default: int = 2_000_000) -> int:
     return int(value) if value else default
 
 
+def broadcast_byte_limit(spark: SparkSession, default: int = 128 << 20) -> int:
+    """Largest size in bytes we are willing to broadcast (``palimpsest.broadcast.maxBytes``)."""
+    value = spark.conf.get("palimpsest.broadcast.maxBytes", None)
+    return int(value) if value else default
+
+
 _SHIPPED: set[str] = set()
 
 
