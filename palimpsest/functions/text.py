@@ -39,23 +39,17 @@ MINIMAL_STOPWORDS = (
     "on", "it", "is", "are", "was", "were", "be", "been", "being",
 )
 
-# Named entities decoded on the JVM path of HTML stripping.
-# "&amp;" must stay last so "&amp;lt;" decodes to "&lt;" and not to "<".
-COMMON_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&hellip;", "…"),
-    ("&amp;", "&"),
-)
+# Character references: decimal, hexadecimal and named (names as the HTML 5 standard
+# has them, in lower case since the text is lower-cased first; from the standard library).
+ENTITY = r"&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{0,31});"
+
+
+def named_entities() -> dict[str, str]:
+    """Lower-case named references (``&amp;`` ...) and their characters."""
+    from html.entities import html5
+
+    return {f"&{name}": char for name, char in sorted(html5.items()) if name.endswith(";") and name == name.lower()}
+
 
 # Markup removed before entity decoding, in this order.
 HTML_COMMENT = r"<!--[\s\S]*?-->"
@@ -63,7 +57,9 @@ HTML_RAW_TEXT = (r"<script[^>]*>[\s\S]*?</script[^>]*>",
                  r"<style[^>]*>[\s\S]*?</style[^>]*>",
                  r"<template[^>]*>[\s\S]*?</template[^>]*>")
 HTML_DECLARATION = r"<[!?][^>]*>"
-HTML_TAG = r"""</?[a-z][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*>"""
+# Possessive: a tag that is never closed costs one scan and no stack. Each step starts with a
+# different character, so giving nothing back loses no match.
+HTML_TAG = r"""</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 
 def _col(c: Column | str) -> Column:
@@ -75,7 +71,7 @@ def strip_html(text: Column | str) -> Column:
 
     No separator is inserted where tags were (``<p>a</p><p>b</p>`` -> ``ab``);
     comments, declarations and script/style/template bodies are dropped;
-    common named entities are decoded on the JVM. Expects lower-cased input
+    character references are decoded on the JVM, each once. Expects lower-cased input
     for the tag patterns (the preprocessing lower-cases first).
     """
     t = F.regexp_replace(_col(text), HTML_COMMENT, "")
@@ -83,9 +79,27 @@ def strip_html(text: Column | str) -> Column:
         t = F.regexp_replace(t, pattern, "")
     t = F.regexp_replace(t, HTML_DECLARATION, "")
     t = F.regexp_replace(t, HTML_TAG, "")
-    for entity, char in COMMON_ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(char))
-    return t
+    return decode_entities(t)
+
+
+def decode_entities(text: Column) -> Column:
+    """Character references to characters; unknown ones stay as they are.
+
+    The text is split at the references and put together again, so what a
+    reference decodes to is never decoded a second time."""
+    names = F.create_map(*[F.lit(x) for pair in named_entities().items() for x in pair])
+
+    def decoded(ref: Column) -> Column:
+        body = F.substring(ref, 3, F.length(ref) - 3)
+        code = F.when(F.startswith(body, F.lit("x")), F.conv(F.substring(body, 2, 6), 16, 10)).otherwise(body).cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.when(F.startswith(ref, F.lit("&#")), F.when(valid, char).otherwise(F.lit("\ufffd"))).otherwise(
+            F.coalesce(F.try_element_at(names, ref), ref))
+
+    refs = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), 0), decoded)
+    parts = F.zip_with(F.split(text, ENTITY), refs, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.rlike(ENTITY), F.array_join(parts, "")).otherwise(text)
 
 
 def maybe_strip_html(text: Column) -> Column:

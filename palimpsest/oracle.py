@@ -8,10 +8,10 @@ text expressions use the same patterns as ``palimpsest.functions.text``
 
 from __future__ import annotations
 
-from palimpsest.functions.text import (COMMON_ENTITIES, DIGIT_RUN, HTML_COMMENT,
-                                       HTML_DECLARATION, HTML_RAW_TEXT, HTML_TAG,
-                                       MINIMAL_STOPWORDS, NON_WORD_NON_SPACE, STRIP_EDGES,
-                                       WS, WS_RUN)
+from html.entities import html5
+
+from palimpsest.functions.text import (DIGIT_RUN, MINIMAL_STOPWORDS, NON_WORD_NON_SPACE,
+                                       STRIP_EDGES, WS, WS_RUN)
 from palimpsest.sources.tables import REFERENCE_FORMAT, SOURCE_ID_FORMAT, SUSPICIOUS_ID_FORMAT
 
 
@@ -20,15 +20,26 @@ def q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# Markup and references as this oracle states them (RE2 has no possessive repetition and
+# needs none).
+_MARKUP = (r"<!--(?s:.)*?-->", r"<script[^>]*>(?s:.)*?</script[^>]*>", r"<style[^>]*>(?s:.)*?</style[^>]*>",
+           r"<template[^>]*>(?s:.)*?</template[^>]*>", r"<[!?][^>]*>",
+           r"""</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>""")
+_REF = r"&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{0,31});"
+_NAMED = {f"&{k}": v for k, v in html5.items() if k[-1] == ";" and k.islower()}
+
+
 def strip_html_sql(t: str) -> str:
-    t = f"regexp_replace({t}, {q(HTML_COMMENT)}, '', 'g')"
-    for p in HTML_RAW_TEXT:
+    for p in _MARKUP:
         t = f"regexp_replace({t}, {q(p)}, '', 'g')"
-    t = f"regexp_replace({t}, {q(HTML_DECLARATION)}, '', 'g')"
-    t = f"regexp_replace({t}, {q(HTML_TAG)}, '', 'g')"
-    for entity, char in COMMON_ENTITIES:
-        t = f"replace({t}, {q(entity)}, {q(char)})"
-    return t
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(_NAMED.items())) + "}"
+    code = "CASE WHEN r[3] = 'x' THEN cast('0x' || r[4:-2] AS INT) ELSE cast(r[3:-2] AS INT) END"
+    char = (f"list_transform([{code}], lambda c: CASE WHEN c = 0 OR c > 1114111 OR c BETWEEN 55296 AND 57343 "
+            f"THEN chr(65533) ELSE chr(c) END)[1]")
+    one = f"list_transform([s.r[i]], lambda r: CASE WHEN r IS NULL THEN '' WHEN r[2] = '#' THEN {char} ELSE coalesce({names}[r], r) END)[1]"
+    return (f"list_transform([{t}], lambda x: CASE WHEN NOT regexp_matches(x, {q(_REF)}) THEN x ELSE "
+            f"list_transform([{{'p': regexp_split_to_array(x, {q(_REF)}), 'r': regexp_extract_all(x, {q(_REF)})}}], "
+            f"lambda s: array_to_string(list_transform(range(1, len(s.p) + 1), lambda i: s.p[i] || {one}), ''))[1] END)[1]")
 
 
 def normalize_sql(t: str, html: bool = True) -> str:
