@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import oracle as O
-from palimpsest.operators.truth import detection_metrics, truth_cases
+from palimpsest.functions.text import is_blank
+from palimpsest.operators.sizing import reused
+from palimpsest.operators.truth import detection_metrics
 from palimpsest.plans import chunks as CH
 from palimpsest.plans import dense as DN
 from palimpsest.plans import text_queries as TQ
 from palimpsest.plans.corpus import corpus_counts, detect_reuse
-from palimpsest.sources.corpus import sample_cap
-from palimpsest.sources.tables import corpus_from_tables, read_table
+from palimpsest.sources.corpus import decode_text, sample_cap
+from palimpsest.sources.sinks import metrics_lines
+from palimpsest.sources.tables import corpus_from_tables, phrase_document_counts, read_table, truth_from_tables
 
 try:  # the training-data operators and their pipeline are optional
     import corpus_pipeline
@@ -47,7 +50,11 @@ def _r(expr: str, name: str) -> str:
 
 def q_doc_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 flagship: documents x benchmark TF-IDF cosine >= 0.3 with truth."""
-    return _round(detect_reuse(corpus_from_tables(spark, sf_dir)), "similarity_score")
+    return _round(_matches(spark, sf_dir, truth_from_tables(spark, sf_dir)), "similarity_score")
+
+
+def _matches(spark, sf_dir, truth, **options):
+    return detect_reuse(corpus_from_tables(spark, sf_dir, with_truth=False), truth=truth, **options)
 
 
 def q_normalize_tokens(spark, sf_dir):
@@ -87,25 +94,30 @@ def q_tfidf_weights(spark, sf_dir):
 
 def q_truth_annotations(spark, sf_dir):
     """Derived ground truth: each document's verbatim benchmark passages in order."""
-    return truth_cases(corpus_from_tables(spark, sf_dir))
+    return truth_from_tables(spark, sf_dir)
 
 
 def q_detection_metrics(spark, sf_dir):
     """Precision / recall / F1 of the flagship matches against the truth."""
-    corpus = corpus_from_tables(spark, sf_dir)
-    m = detection_metrics(detect_reuse(corpus), truth_cases(corpus))
+    truth = reused(truth_from_tables(spark, sf_dir))
+    m = detection_metrics(_matches(spark, sf_dir, truth), truth)
     return _round(m, "precision", "recall", "f1_score")
 
 
 def q_corpus_counts(spark, sf_dir):
     """Corpus sizes and match counts."""
-    corpus = corpus_from_tables(spark, sf_dir)
-    return corpus_counts(corpus, detect_reuse(corpus))
+    return corpus_counts(corpus_from_tables(spark, sf_dir, with_truth=False),
+                         _matches(spark, sf_dir, truth_from_tables(spark, sf_dir)))
 
 
 def _chunked(spark, sf_dir):
-    corpus = corpus_from_tables(spark, sf_dir)
-    return CH.compare_chunked(corpus, CH.truth_pairs(corpus))
+    return CH.compare_chunked(corpus_from_tables(spark, sf_dir, with_truth=False), _pairs(spark, sf_dir))
+
+
+def _pairs(spark, sf_dir):
+    """The (suspicious, source) pairs that the derived truth names."""
+    source = F.replace("source_reference", F.lit(".txt"), F.lit(""))
+    return truth_from_tables(spark, sf_dir).select("suspicious_id", source.alias("source_id")).distinct()
 
 
 def q_chunk_best_match(spark, sf_dir):
@@ -139,15 +151,52 @@ def q_dense_summary(spark, sf_dir):
 
 def q_hashed_embedding_match(spark, sf_dir):
     """C4 over the truth pairs with the built-in hashing embedder."""
-    corpus = corpus_from_tables(spark, sf_dir)
-    matches, _ = DN.compare_dense(corpus, CH.truth_pairs(corpus))
+    matches, _ = DN.compare_dense(corpus_from_tables(spark, sf_dir, with_truth=False), _pairs(spark, sf_dir))
     return _round(DN.dense_report(matches), "similarity")
 
 
 def q_stemmed_similarity_join(spark, sf_dir):
     """C2 with Porter stemming of the vocabulary (rows-only check)."""
-    corpus = corpus_from_tables(spark, sf_dir)
-    return _round(detect_reuse(corpus, prep={"stem": True}), "similarity_score")
+    truth = truth_from_tables(spark, sf_dir)
+    return _round(_matches(spark, sf_dir, truth, prep={"stem": True}), "similarity_score")
+
+
+def q_doc_similarity_join_salted(spark, sf_dir):
+    """C2 with the salted shuffle join forced, as for a source side too large to broadcast."""
+    return _round(_matches(spark, sf_dir, truth_from_tables(spark, sf_dir), strategy="shuffle"), "similarity_score")
+
+
+def q_doc_similarity_join_prefix(spark, sf_dir):
+    """C2 with the prefix-filtered join forced, as for a large source side."""
+    return _round(_matches(spark, sf_dir, truth_from_tables(spark, sf_dir), strategy="prefix"), "similarity_score")
+
+
+def q_phrase_document_counts(spark, sf_dir):
+    """Containment of short passages: documents per two-word phrase of the benchmark texts."""
+    return phrase_document_counts(spark, sf_dir)
+
+
+def q_trigram_tf(spark, sf_dir):
+    """T15 + V2: three-word term counts per document."""
+    return TQ.document_term_counts(spark, sf_dir, (3, 3))
+
+
+def q_blank_documents(spark, sf_dir):
+    """Documents blank after stripping, per source, of all."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(F.sum(is_blank("text").cast("long")).alias("n_blank"),
+                                      F.count(F.lit(1)).alias("n_docs"))
+
+
+def q_metrics_lines(spark, sf_dir):
+    """K3: the metrics as the text lines of the reference's report."""
+    return metrics_lines(q_detection_metrics(spark, sf_dir)).select(F.col("i").cast("long").alias("i"), F.col("value").alias("line"))
+
+
+def q_decode_documents(spark, sf_dir):
+    """documents' texts decoded from their bytes, with universal newlines."""
+    docs = read_table(spark, sf_dir, "documents")
+    return docs.select("doc_id", decode_text(F.encode("text", "UTF-8")).alias("raw_text"))
 
 
 def q_sampled_corpus(spark, sf_dir):
@@ -187,6 +236,13 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hashed_embedding_match": q_hashed_embedding_match,
         "stemmed_similarity_join": q_stemmed_similarity_join,
         "sampled_corpus": q_sampled_corpus,
+        "doc_similarity_join_salted": q_doc_similarity_join_salted,
+        "doc_similarity_join_prefix": q_doc_similarity_join_prefix,
+        "phrase_document_counts": q_phrase_document_counts,
+        "trigram_tf": q_trigram_tf,
+        "blank_documents": q_blank_documents,
+        "metrics_lines": q_metrics_lines,
+        "decode_documents": q_decode_documents,
     }
 
 
@@ -293,8 +349,35 @@ def oracle_sql() -> dict[str, str]:
         {"pipeline": corpus_pipeline.ORACLE_SQL} if LLM and corpus_pipeline.ORACLE_SQL else {})
 
 
+_SQL_PHRASES = """
+WITH w AS (SELECT list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM benchmark),
+p AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS phrase FROM w)
+SELECT phrase, count(doc_id)::BIGINT AS n_docs FROM p LEFT JOIN documents ON contains(text, phrase) GROUP BY phrase"""
+
+
+def _sql_trigram_tf() -> str:
+    return f"""
+WITH t AS (SELECT doc_id, list_filter({O.tokens_sql('text')}, lambda x: length(x) >= 2) AS tok FROM documents)
+SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_transform(range(1, len(tok) - 1),
+  lambda i: tok[i] || ' ' || tok[i + 1] || ' ' || tok[i + 2])) AS term FROM t) GROUP BY doc_id, term"""
+
+
+def _sql_metrics_lines() -> str:
+    names = ("precision", "recall", "f1_score", "true_positives", "false_positives", "false_negatives")
+    return " UNION ALL ".join(f"SELECT {i}::BIGINT AS i, '{n}: ' || {n}::VARCHAR AS line FROM ({O.metrics_sql()})"
+                              for i, n in enumerate(names))
+
+
 def _own_oracle_sql() -> dict[str, str]:
     return {
+        "doc_similarity_join_salted": _sql_doc_similarity_join(),
+        "doc_similarity_join_prefix": _sql_doc_similarity_join(),
+        "phrase_document_counts": _SQL_PHRASES,
+        "trigram_tf": _sql_trigram_tf(),
+        "metrics_lines": _sql_metrics_lines(),
+        "blank_documents": ("SELECT source, sum((trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '')::BIGINT)::BIGINT "
+                            "AS n_blank, count(*) AS n_docs FROM documents GROUP BY source"),
+        "decode_documents": "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS raw_text FROM documents",
         "doc_similarity_join": _sql_doc_similarity_join(),
         "normalize_tokens": _sql_normalize_tokens(),
         "html_to_text": _sql_html_to_text(),

@@ -40,7 +40,7 @@ def _scope(df: DataFrame, group: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 def fit_idf(tf: DataFrame, fitted_units: DataFrame, group: list[str]) -> DataFrame:
-    """V3/V4: smoothed IDF ``ln((1 + n) / (1 + df)) + 1`` per (group..., term).
+    """V3/V4: smoothed IDF ``ln((1 + n) / (1 + df)) + 1`` per (group..., term), with ``df``.
 
     ``n`` counts every fitted unit of the group, including units with no
     terms at all (a blank document still counts as a sample).
@@ -50,7 +50,7 @@ def fit_idf(tf: DataFrame, fitted_units: DataFrame, group: list[str]) -> DataFra
     n_units = fitted_units.groupBy(*g).agg(F.count(F.lit(1)).alias("n_units"))
     doc_freq = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
     idf = (doc_freq.join(F.broadcast(n_units) if not group else n_units, g)
-           .select(*g, "term",
+           .select(*g, "term", "df",
                    (F.log((F.col("n_units") + 1) / (F.col("df") + 1)) + 1).alias("idf")))
     return idf if group else idf.drop(_ONE_GROUP)
 

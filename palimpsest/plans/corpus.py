@@ -4,14 +4,12 @@
 Plan shape (sources small enough to broadcast, the common case of a
 reference collection checked against a large incoming corpus):
 
-1. suspicious documents are hash-partitioned by id - the only shuffle of
-   the big side;
-2. tokenising, n-grams, term counts (group by id, term), the IDF join
-   (broadcast) and the L2 norm (window by id) all run inside that
-   partitioning;
-3. the cosine join streams through the broadcast source weights and the
-   per-pair sum is already clustered by suspicious id, so it adds no
-   exchange either.
+1. suspicious documents are tokenised where they are read and their n-grams joined
+   to the broadcast IDF, so only in-vocabulary term counts are shuffled (by id and
+   term, after partial counting), never text;
+2. the L2 norm (window by id) follows;
+3. the cosine join streams through the broadcast source weights, and the per-pair sum
+   is partially aggregated before its exchange.
 
 With a large source side the term join becomes a salted shuffle join (see
 ``operators.simjoin``).
@@ -24,9 +22,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.ngrams import vectorizer_tokens, word_ngrams
 from palimpsest.operators.prepare import prepare_documents
-from palimpsest.session import text_partitions
 from palimpsest.operators.simjoin import cosine_pairs
-from palimpsest.operators.sizing import broadcast_if_bounded
+from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel
 from palimpsest.operators.truth import attach_truth, truth_cases
 from palimpsest.operators.vectorize import (fit_idf, term_counts, tfidf_weights,
                                             vocabulary_weights)
@@ -50,10 +47,10 @@ def with_terms(df: DataFrame, ngram_range=(1, 2)) -> DataFrame:
 
 
 def _side(documents: DataFrame, kind: str, key: str, prep: dict | None) -> DataFrame:
-    """One side hash-partitioned by ``key``; raw documents are prepared after
-    the shuffle so the text work runs at full parallelism."""
-    side = documents.filter(F.col("type") == kind).repartition(
-        text_partitions(documents.sparkSession), key)
+    """One side's texts where they were read (dealt out by ``key`` only when the
+    input has fewer splits than cores); metadata does not travel with them."""
+    text = [c for c in ("tokens", "processed_text", "raw_text") if c in documents.columns]
+    side = ensure_parallel(documents.filter(F.col("type") == kind).select(key, *text), key)
     if "tokens" not in side.columns and "processed_text" not in side.columns:
         side = prepare_documents(side, key=key, **(prep or {}))
     return side
@@ -83,12 +80,12 @@ def corpus_weights(documents: DataFrame, ngram_range=(1, 2), *, key: str = "id",
 
 def detect_reuse(documents: DataFrame, threshold: float = 0.3, ngram_range=(1, 2), *,
                  match: str = "contains", strategy: str = "auto", prep: dict | None = None,
-                 max_broadcast_rows: int | None = None) -> DataFrame:
+                 max_broadcast_rows: int | None = None, truth: DataFrame | None = None) -> DataFrame:
     """All (suspicious, source) document pairs with cosine >= threshold.
 
     ``documents`` needs ``id, type`` and ``processed_text``/``tokens`` or
-    ``raw_text`` (prepared with ``prep`` options), optionally ``metadata``
-    with truth annotations. Output:
+    ``raw_text`` (prepared with ``prep`` options). Truth comes as ``truth``
+    (rows as from ``truth_cases``) or as annotations in ``metadata``. Output:
     ``suspicious_id, source_id, similarity_score, ground_truth, source_reference``.
     """
     sus_w, src_w = corpus_weights(documents, ngram_range, prep=prep,
@@ -99,9 +96,10 @@ def detect_reuse(documents: DataFrame, threshold: float = 0.3, ngram_range=(1, 2
                          threshold=threshold, strategy=strategy,
                          max_broadcast_rows=max_broadcast_rows)
     matches = pairs.withColumnRenamed("similarity", "similarity_score")
-    if "metadata" in documents.columns:
-        return attach_truth(matches, truth_cases(documents), match=match,
-                            max_broadcast_rows=max_broadcast_rows)
+    if truth is None and "metadata" in documents.columns:
+        truth = truth_cases(documents)
+    if truth is not None:
+        return attach_truth(matches, truth, match=match, max_broadcast_rows=max_broadcast_rows)
     return (matches.withColumn("ground_truth", F.lit(False))
             .withColumn("source_reference", F.lit("")))
 

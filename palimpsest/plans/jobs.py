@@ -21,7 +21,7 @@ from palimpsest.sources.corpus import load_corpus
 
 
 def run_corpus_job(spark: SparkSession, corpus_root: str, output_dir: str, *,
-                   max_src: int | None = 100, max_sus: int | None = 100,
+                   max_src: int | None = None, max_sus: int | None = None,
                    threshold: float = 0.3, ngram_range=(1, 2), prep: dict | None = None,
                    seed: int = 42) -> dict[str, DataFrame]:
     """Corpus -> processed corpus (K1) -> matches (K2) -> metrics (K3).

@@ -59,9 +59,7 @@ def source_idf(spark: SparkSession, sf_dir: str, ngram_range=(1, 2)) -> DataFram
     bench = read_table(spark, sf_dir, "benchmark").repartition("item_id")
     prepared = bench.withColumn("tokens", remove_stopwords(word_tokens(F.col("text"))))
     tf = term_counts(with_terms(prepared, ngram_range), ["item_id"], F.col("terms"))
-    idf = fit_idf(tf, bench.select("item_id"), [])
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return idf.join(df, "term").select("term", "df", "idf")
+    return fit_idf(tf, bench.select("item_id"), []).select("term", "df", "idf")
 
 
 def suspicious_weights(spark: SparkSession, sf_dir: str, ngram_range=(1, 2)) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.operators.prepare import prepare_documents
+from palimpsest.operators.sizing import broadcast_if_bounded
 from palimpsest.schemas import ANNOTATION_TYPE, METADATA_TYPE
 
 BASE = "external-detection-corpus"
@@ -41,9 +42,6 @@ _PROLOG = r"<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<!DOCTYPE[^>]*>"
 _ONE_ELEMENT = r"^<([A-Za-z_][\w.:-]*)[\s\S]*</\1\s*>$"
 _ONE_EMPTY_ELEMENT = r"^<[A-Za-z_][^<>]*/>$"
 
-# Driver-side path lists for a capped sample are allowed up to this size.
-MAX_SAMPLED_PATHS = 200_000
-
 
 def _file_name(path):
     return F.element_at(F.split(path, "/"), -1)
@@ -153,28 +151,23 @@ def read_sidecars(spark: SparkSession, root: str, side: str) -> DataFrame:
                            F.when(F.col("bad"), unknown).otherwise(good).cast(METADATA_TYPE).alias("metadata"))
 
 
-def load_corpus(spark: SparkSession, root: str, *, max_src: int | None = 100,
-                max_sus: int | None = 100, seed: int = 42, prepare: bool = True,
+def load_corpus(spark: SparkSession, root: str, *, max_src: int | None = None,
+                max_sus: int | None = None, seed: int = 42, prepare: bool = True,
                 prep: dict | None = None) -> DataFrame:
     """The labelled corpus as one documents frame
     ``id, type, raw_text, [processed_text, tokens,] metadata, has_plagiarism``.
 
-    Each side is capped (``None`` = no cap) on the file listing before any
-    content is read. ``has_plagiarism`` is set on suspicious rows only.
+    Every document is loaded unless a caller asks for a sample of a side
+    (``max_src``, ``max_sus``), which is drawn from the file listing and joined to the
+    contents. ``has_plagiarism`` is set on suspicious rows only.
     """
     sides = []
     for side, cap in (("source", max_src), ("suspicious", max_sus)):
         listing = sample_cap(list_text_files(spark, root, side), cap, seed=seed)
-        if cap is not None and cap <= MAX_SAMPLED_PATHS:
-            paths = [r.path for r in listing.select("path").collect()]
-            if not paths:
-                continue
-            content = spark.read.format("binaryFile").load(paths)
-        else:
-            content = spark.read.format("binaryFile").load(
-                f"{root.rstrip('/')}/{BASE}/{SIDES[side]}/part*/*.txt")
-        docs = (content.select("path", decode_text(F.col("content")).alias("raw_text"))
-                .join(listing, "path"))
+        content = spark.read.format("binaryFile").load(
+            f"{root.rstrip('/')}/{BASE}/{SIDES[side]}/part*/*.txt").select("path", "content")
+        listing, _ = broadcast_if_bounded(listing)
+        docs = content.join(listing, "path").withColumn("raw_text", decode_text(F.col("content"))).drop("content")
         docs = docs.withColumn("xml_path", F.concat(_parent("path"), F.lit("/"), F.col("id"),
                                                     F.lit(".xml")))
         meta = read_sidecars(spark, root, side)

@@ -10,12 +10,11 @@ that holds a benchmark passage verbatim reused it).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import WS_RUN
-from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel, measured
-from palimpsest.session import broadcast_row_limit
+from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel, reused
 from palimpsest.schemas import ANNOTATION_TYPE, METADATA_TYPE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -27,12 +26,8 @@ SOURCE_ID_FORMAT = "source-document%05d"
 SUSPICIOUS_ID_FORMAT = "suspicious-document%05d"
 REFERENCE_FORMAT = "source-document%05d.txt"
 
-# Passages with fewer whitespace-separated pieces than this have no interior
-# piece to anchor on.
-_ANCHOR_MIN_PIECES = 3
-# Passages too short for any anchor are matched by a nested-loop contains();
-# refuse when that would take more than this many (document, passage) checks.
-_MAX_UNANCHORED_CHECKS = 10_000_000_000
+# Characters of the key that finds a short passage inside tokens.
+_GRAM = 3
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,53 +42,85 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
     Output ``(doc_key, passage_key, offset, length)``: ``offset`` is the 0-based
     character position of the first occurrence.
 
-    Exact without a nested loop: split the passage at whitespace runs; a
+    Exact without a nested loop. Split the passage at whitespace runs; a
     piece that is neither the first nor the last is bounded by whitespace
     inside the passage, so every document containing the passage has it as
-    a whole whitespace-separated token. Documents' distinct tokens are
-    equi-joined with each passage's longest interior piece (the most
-    selective one) and every candidate is verified with ``contains``.
-    Passages of one or two pieces have no interior and fall back to a
-    size-checked nested-loop ``contains``.
+    a whole whitespace-separated token. All those pieces must occur, and the
+    one in the fewest documents is the passage's anchor, equi-joined with the
+    documents' distinct tokens. Passages of one or two pieces have no such
+    piece: their longest piece lies inside a token, so it is looked up in the
+    distinct tokens of all documents by its first characters (an equi-join
+    with the tokens' character n-grams), and the tokens found lead to the documents.
+    Every candidate is verified with ``contains``. A blank passage is in no document.
     """
-    pieces = F.split(F.coalesce(F.col(passage_text), F.lit("")), WS_RUN)
-    n = F.size(pieces)
-    interior = F.slice(pieces, 2, n - 2)
-    longest = F.array_max(F.transform(interior, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))
-    p = passages.select(F.col(passage_key).alias("_pk"), F.col(passage_text).alias("_pt"),
-                        F.when(n >= _ANCHOR_MIN_PIECES, longest["x"]).alias("anchor"))
-    p, n_passages = measured(p)
-    limit = broadcast_row_limit(passages.sparkSession)
-    anchors = p.filter(F.col("anchor").isNotNull()).select("_pk", "anchor")
-    if n_passages <= limit:  # at most one anchor per passage
-        anchors = F.broadcast(anchors)
-
+    pieces = F.filter(F.split(F.coalesce(F.col(passage_text), F.lit("")), WS_RUN), lambda x: x != "")
+    parts = F.split(F.coalesce(F.col(passage_text), F.lit("")), WS_RUN)
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
+    p = reused(passages.select(
+        F.col(passage_key).alias("_pk"), F.col(passage_text).alias("_pt"),
+        F.when(F.size(parts) >= 3, F.array_distinct(F.slice(parts, 2, F.size(parts) - 2))).alias("inner"),
+        longest.alias("long")).where(F.col("long").isNotNull()))
     d = ensure_parallel(docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt")), "_dk")
     tokens = F.split(F.coalesce(F.col("_dt"), F.lit("")), WS_RUN)
     keyed = (d.select("_dk", F.explode_outer(F.array_distinct(tokens)).alias("anchor"))
              .filter(F.col("anchor").isNotNull()))
+
+    inner, _ = broadcast_if_bounded(p.where("inner IS NOT NULL").select(
+        "_pk", F.size("inner").alias("n"), F.explode("inner").alias("anchor")))
+    wanted, _ = broadcast_if_bounded(inner.select("anchor").distinct())
+    freq = keyed.join(wanted, "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
+    anchors, _ = broadcast_if_bounded(
+        inner.join(freq, "anchor").groupBy("_pk", "n").agg(
+            F.count(F.lit(1)).alias("found"), F.min(F.struct("df", "anchor")).alias("rarest"))
+        .where("found = n").select("_pk", F.col("rarest.anchor").alias("anchor")))
     candidates = keyed.join(anchors, "anchor").select("_dk", "_pk")
 
-    short = p.filter(F.col("anchor").isNull() & (F.col("_pt").isNotNull()))
-    n_short = short.count()
-    if n_short and n_short * d.count() > _MAX_UNANCHORED_CHECKS:
-        raise ValueError(f"{n_short} passages are too short to anchor and the documents too many "
-                         "for a bounded nested-loop check")
-    if n_short:
-        candidates = candidates.unionByName(
-            d.join(F.broadcast(short.select("_pk", "_pt")), F.contains("_dt", "_pt"))
-            .select("_dk", "_pk"))
-
-    candidates, n_candidates = measured(candidates.distinct())
-    if n_candidates <= limit:
-        candidates = F.broadcast(candidates)
-    verified = (d.join(candidates, "_dk")
-                .join(p.select("_pk", "_pt"), "_pk")
-                .filter(F.contains("_dt", "_pt"))
-                .select(F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key),
-                        (F.expr("instr(_dt, _pt)") - 1).cast("int").alias("offset"),
-                        F.length("_pt").cast("int").alias("length")))
-    return verified
+    short = p.where("inner IS NULL").select("_pk", "long")
+    if not short.isEmpty():
+        gram = short.select("_pk", "long", F.substring("long", 1, _GRAM).alias("gram"))
+        size = F.explode(F.sequence(F.lit(1), F.lit(_GRAM))).alias("g")
+        vocabulary = keyed.select("anchor").distinct().select("anchor", size).where(F.length("anchor") >= F.col("g"))
+        grams = vocabulary.select("anchor", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length("anchor") - F.col("g") + 1),
+            lambda i: F.substring("anchor", i, F.col("g"))))).alias("gram"))
+        holds, _ = broadcast_if_bounded(grams.join(gram, "gram").where(F.contains("anchor", "long"))
+                                        .select("anchor", "_pk").distinct())
+        candidates = candidates.unionByName(keyed.join(holds, "anchor").select("_dk", "_pk"))
+
+    candidates, _ = broadcast_if_bounded(candidates.distinct())
+    texts, _ = broadcast_if_bounded(p.select("_pk", "_pt"))
+    return (d.join(candidates, "_dk").join(texts, "_pk")
+            .filter(F.contains("_dt", "_pt"))
+            .select(F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key),
+                    (F.expr("instr(_dt, _pt)") - 1).cast("int").alias("offset"),
+                    F.length("_pt").cast("int").alias("length")))
+
+
+def truth_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived truth cases by themselves, as ``truth_cases`` gives them: the passages of
+    ``benchmark`` that each document holds, in document order. Detection joins
+    them to its matches; the documents' texts never carry them."""
+    hits = passage_containment(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    order = Window.partitionBy("doc_id").orderBy("offset", "item_id")
+    return hits.select(
+        F.format_string(SUSPICIOUS_ID_FORMAT, "doc_id").alias("suspicious_id"),
+        (F.row_number().over(order) - 1).alias("ordinal"),
+        F.format_string(REFERENCE_FORMAT, "item_id").alias("source_reference"), "offset", "length",
+        F.lit("unknown").alias("type"), F.lit("none").alias("obfuscation"))
+
+
+def phrase_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``phrase, n_docs``: every distinct two-word phrase of the ``benchmark`` texts, and how
+    many ``documents`` contain it."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), WS_RUN), lambda x: x != "")
+    pairs = read_table(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") > 1).select(
+        F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(
+            " ", F.get("w", i - 1), F.get("w", i)))).alias("phrase")).distinct()
+    phrases = reused(pairs.select(F.md5("phrase").alias("item_id"), F.col("phrase").alias("text")))
+    hits = passage_containment(read_table(spark, sf_dir, "documents"), phrases)
+    counts = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+    return phrases.join(counts, "item_id", "left").select(
+        F.col("text").alias("phrase"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))
 
 
 def truth_metadata(containment: DataFrame, doc_key: str = "doc_id",
