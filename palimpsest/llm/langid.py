@@ -34,7 +34,7 @@ MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 MAX_PIECE = 16  # characters of the longest piece looked up
 FLOOR = 1e-7  # probability of any single character that is no piece
-MAX_CACHED = 300_000
+MAX_CACHED = 120_000
 _VOCAB: dict = {}
 
 
@@ -177,7 +177,7 @@ def _predict(path: str, langs: list[str], theta):
         known: dict[str, int] = {}
         scores = np.zeros((0, len(langs)))
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", 1 << 20):
                 texts = [words_of(t) if t and langs else [] for t in part.column("t").to_pylist()]
                 if len(known) > MAX_CACHED:
                     known, scores = {}, np.zeros((0, len(langs)))

@@ -63,13 +63,14 @@ def load_encoder(path: str):
         ranks = {bytes(byte_of[c] for c in token): i
                  for token, i in spec["model"]["vocab"].items() if token not in special}
         fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        whole = Tokenizer.from_file(path)
+        whole: list = []  # loaded when first needed
         run = re.compile(r"\s{%d}" % MAX_FAST_RUN)
 
         def encode(text: str) -> np.ndarray:
             if len(text) < MAX_FAST_RUN or not run.search(text):
                 return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
-            return np.array(whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+            whole or whole.append(Tokenizer.from_file(path))
+            return np.array(whole[0].encode(text, add_special_tokens=False).ids, dtype="<u4")
 
         _ENCODERS[path] = encode
     return _ENCODERS[path]
@@ -89,7 +90,7 @@ def _pieces(path: str, max_len: int, end_id: int, with_ids: bool):
         encode, task = load_encoder(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch, "t"):
+            for part in slices(batch, "t", 1 << 20):
                 row, start, length, crc, total, rank, ids = [], [], [], [], [], [], []
                 for i, text in enumerate(part.column("t").to_pylist()):
                     doc = np.append(encode(text), np.uint32(end_id)).astype("<u4")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 
-def suffix_array(text: bytes) -> list[int]:
+
+def suffix_array(text: bytes) -> array:
     """The starts of the suffixes of ``text`` in lexicographic order; a suffix that is
     a prefix of another comes first.
 
@@ -20,13 +22,13 @@ def suffix_array(text: bytes) -> list[int]:
     members: list[list[int]] = [[] for _ in range(256)]
     for i, c in enumerate(text):
         members[c].append(i)
-    group, word = list(text), [1] * n
+    group, word = array("i", list(text)), array("i", [1]) * n
     # groups in ascending order as a linked list
     used = [c for c in range(256) if members[c]]
     below, above = {}, {}
     for a, b in zip(used, used[1:]):
         above[a], below[b] = b, a
-    smaller = [-1] * n  # previous smaller suffix; set when the suffix's group is processed
+    smaller = array("i", [-1]) * n  # previous smaller suffix; set when the suffix's group is processed
     done = bytearray(n)
     current = used[-1] if used else None
     size = len(members)
@@ -71,7 +73,7 @@ def suffix_array(text: bytes) -> list[int]:
     for g in reversed(order):
         place[g] = at
         at += len(members[g])
-    result = [0] * n
+    result = array("i", [0]) * n
     k = -1
     i = n  # the empty suffix, less than all
     while True:
