@@ -32,12 +32,12 @@ def suffix_array(text: bytes) -> array:
     done = bytearray(n)
     current = used[-1] if used else None
     size = len(members)
-    order = []
+    order: list[tuple[int, int]] = []  # processed groups with their sizes
     while current is not None:
         own = [s for s in members[current] if group[s] == current]
-        members[current] = own
+        members[current] = ()
         if own:
-            order.append(current)
+            order.append((current, len(own)))
             for s in own:
                 done[s] = 1
             repeats: dict[int, int] = {}
@@ -70,9 +70,9 @@ def suffix_array(text: bytes) -> array:
         current = below.get(current)
     # places: groups ascending
     place, at = [0] * size, 0
-    for g in reversed(order):
+    for g, count in reversed(order):
         place[g] = at
-        at += len(members[g])
+        at += count
     result = array("i", [0]) * n
     k = -1
     i = n  # the empty suffix, less than all
