@@ -32,18 +32,15 @@ from pyspark.sql import functions as F
 from palimpsest.operators.sizing import broadcast_if_bounded, reused
 
 
-def _salts(postings: DataFrame, group: list[str], rows_per_salt: int, max_salt: int,
-           name: str) -> DataFrame:
+def _salts(postings: DataFrame, group: list[str], rows_per_salt: int, name: str) -> DataFrame:
     counts = postings.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("n_post"))
     return (counts.filter(F.col("n_post") > rows_per_salt)
             .select(*group, "term",
-                    F.least(F.ceil(F.col("n_post") / F.lit(rows_per_salt)),
-                            F.lit(max_salt)).cast("int").alias(name)))
+                    F.ceil(F.col("n_post") / F.lit(rows_per_salt)).cast("int").alias(name)))
 
 
 def salted_term_join(sus_w: DataFrame, src_w: DataFrame, group: list[str], sus_key: str,
-                     src_key: str, rows_per_salt: int = 200_000,
-                     max_salt: int = 1024) -> DataFrame:
+                     src_key: str, rows_per_salt: int = 200_000) -> DataFrame:
     """Shuffle join on (group..., term, salt_a, salt_b) with hot terms split.
 
     A term hot on the suspicious side gets ``a`` buckets for its suspicious
@@ -53,8 +50,8 @@ def salted_term_join(sus_w: DataFrame, src_w: DataFrame, group: list[str], sus_k
     so every task sees at most ~``rows_per_salt`` postings of each side.
     """
     keys = [*group, "term"]
-    hot = (_salts(sus_w, group, rows_per_salt, max_salt, "a")
-           .join(_salts(src_w, group, rows_per_salt, max_salt, "b"), keys, "full_outer")
+    hot = (_salts(sus_w, group, rows_per_salt, "a")
+           .join(_salts(src_w, group, rows_per_salt, "b"), keys, "full_outer")
            .select(*keys, F.coalesce("a", F.lit(1)).alias("a"), F.coalesce("b", F.lit(1)).alias("b")))
     # at most (postings / rows_per_salt) hot terms per side: normally tiny
     hot, _ = broadcast_if_bounded(hot)

@@ -39,22 +39,25 @@ STEP4_SUFFIXES = (
 
 
 def _is_consonant(word: str, i: int) -> bool:
-    ch = word[i]
-    if ch in "aeiou":
-        return False
-    if ch == "y":
-        return i == 0 or not _is_consonant(word, i - 1)
-    return True
+    if word[i] != "y":
+        return word[i] not in "aeiou"
+    # a run of y alternates; its first one is a consonant at the start or after a vowel
+    j = i
+    while j > 0 and word[j - 1] == "y":
+        j -= 1
+    first = j == 0 or word[j - 1] in "aeiou"
+    return first == ((i - j) % 2 == 0)
 
 
 def _measure(stem: str) -> int:
     """m in [C](VC)^m[V]."""
-    m, prev_vowel = 0, False
-    for i in range(len(stem)):
-        vowel = not _is_consonant(stem, i)
-        if prev_vowel and not vowel:
+    m, prev_vowel, consonant = 0, False, False
+    for i, ch in enumerate(stem):
+        # y is a consonant at the start and after a vowel
+        consonant = (i == 0 or not consonant) if ch == "y" else ch not in "aeiou"
+        if prev_vowel and consonant:
             m += 1
-        prev_vowel = vowel
+        prev_vowel = not consonant
     return m
 
 
