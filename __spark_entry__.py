@@ -25,7 +25,8 @@ from palimpsest.plans import text_queries as TQ
 from palimpsest.plans.corpus import corpus_counts, detect_reuse
 from palimpsest.sources.corpus import decode_text, sample_cap
 from palimpsest.sources.sinks import metrics_lines
-from palimpsest.sources.tables import corpus_from_tables, phrase_document_counts, read_table, truth_from_tables
+from palimpsest.sources.tables import (SOURCE_ID_FORMAT, SUSPICIOUS_ID_FORMAT, corpus_from_tables, phrase_document_counts, read_table,
+                                        truth_from_tables)
 
 try:  # the training-data operators and their pipeline are optional
     import corpus_pipeline
@@ -193,6 +194,21 @@ def q_metrics_lines(spark, sf_dir):
     return metrics_lines(q_detection_metrics(spark, sf_dir)).select(F.col("i").cast("long").alias("i"), F.col("value").alias("line"))
 
 
+def q_pair_status(spark, sf_dir):
+    """The status of a pair list that names unknown documents too: every labelled
+    document with the benchmark item of the same number."""
+    labels = read_table(spark, sf_dir, "labels")
+    pairs = labels.select(F.format_string(SUSPICIOUS_ID_FORMAT, "doc_id").alias("suspicious_id"),
+                          F.format_string(SOURCE_ID_FORMAT, "doc_id").alias("source_id"))
+    return CH.pair_status(corpus_from_tables(spark, sf_dir, with_truth=False), pairs)
+
+
+def q_corpus_rows_json(spark, sf_dir):
+    """K1: the corpus as JSON rows."""
+    corpus = corpus_from_tables(spark, sf_dir, with_truth=False).select("id", "type", "raw_text")
+    return corpus.select("id", F.to_json(F.struct("id", "type", "raw_text")).alias("row_json"))
+
+
 def q_decode_documents(spark, sf_dir):
     """documents' texts decoded from their bytes, with universal newlines."""
     docs = read_table(spark, sf_dir, "documents")
@@ -243,6 +259,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "blank_documents": q_blank_documents,
         "metrics_lines": q_metrics_lines,
         "decode_documents": q_decode_documents,
+        "pair_status": q_pair_status,
+        "corpus_rows_json": q_corpus_rows_json,
     }
 
 
@@ -377,6 +395,15 @@ def _own_oracle_sql() -> dict[str, str]:
         "metrics_lines": _sql_metrics_lines(),
         "blank_documents": ("SELECT source, sum((trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '')::BIGINT)::BIGINT "
                             "AS n_blank, count(*) AS n_docs FROM documents GROUP BY source"),
+        "pair_status": (
+            f"SELECT printf('{SUSPICIOUS_ID_FORMAT}', l.doc_id) AS suspicious_id, printf('{SOURCE_ID_FORMAT}', l.doc_id) AS source_id, "
+            "CASE WHEN d.doc_id IS NOT NULL AND b.item_id IS NOT NULL THEN 'compared' WHEN b.item_id IS NOT NULL THEN 'missing_suspicious' "
+            "WHEN d.doc_id IS NOT NULL THEN 'missing_source' ELSE 'missing_both' END AS status "
+            "FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id LEFT JOIN benchmark b ON b.item_id = l.doc_id"),
+        "corpus_rows_json": (
+            "SELECT id, '{\"id\":' || to_json(id) || ',\"type\":' || to_json(kind) || ',\"raw_text\":' || to_json(text) || '}' AS row_json FROM ("
+            f"SELECT printf('{SOURCE_ID_FORMAT}', item_id) AS id, 'source' AS kind, text FROM benchmark UNION ALL "
+            f"SELECT printf('{SUSPICIOUS_ID_FORMAT}', doc_id), 'suspicious', text FROM documents)"),
         "decode_documents": "SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS raw_text FROM documents",
         "doc_similarity_join": _sql_doc_similarity_join(),
         "normalize_tokens": _sql_normalize_tokens(),

@@ -136,3 +136,19 @@ def truth_pairs(documents: DataFrame, key: str = "id") -> DataFrame:
             .select("suspicious_id",
                     F.replace(F.col("a.source_reference"), F.lit(".txt"), F.lit("")).alias("source_id"))
             .distinct())
+
+
+def pair_status(documents: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
+    """Each pair with ``status``: ``compared``, or which of its documents is missing
+    (``missing_suspicious``, ``missing_source``, ``missing_both``). A pair naming an unknown
+    document has no similarity; its status tells that apart from no overlap."""
+    def known(kind: str, name: str) -> DataFrame:
+        return documents.filter(F.col("type") == kind).select(F.col(key).alias(name)).distinct().withColumn(
+            f"_{name}", F.lit(True))
+
+    found = pairs.join(known("suspicious", "suspicious_id"), "suspicious_id", "left").join(
+        known("source", "source_id"), "source_id", "left")
+    sus, src = F.col("_suspicious_id").isNotNull(), F.col("_source_id").isNotNull()
+    status = (F.when(sus & src, "compared").when(src, "missing_suspicious")
+              .when(sus, "missing_source").otherwise("missing_both"))
+    return found.select("suspicious_id", "source_id", status.alias("status"))
