@@ -18,7 +18,8 @@ document or earlier in the same one. Strings are judged on the input.
 4. The runs of repeats of a document are merged and cut out of its bytes.
 
 Order of documents: by key, null first; rows that share a key by their text; each row is a
-document of its own. Defined cases: a null text counts as empty; texts shorter than ``width``
+document of its own. A document is a key and a 64-bit number among the rows of that key, counted
+over ranges of texts, so neither the rows of one key nor their tasks are bounded. Defined cases: a null text counts as empty; texts shorter than ``width``
 have no repeats; an empty table gives an empty result; only ``key`` and
 ``text`` are read. Long texts are scanned in blocks, so memory follows the block.
 """
@@ -36,13 +37,14 @@ from pyspark.sql import types as T
 from palimpsest.llm.common import map_batches, record_batch, slices, spread, written
 from palimpsest.llm.suffix_groups import suffix_array
 from palimpsest.operators.sizing import broadcast_if_bounded
+from palimpsest.session import text_partitions
 
 K, MAX_BYTES = 32, 4 << 20
 BLOCK = 1 << 20  # strings scanned at a time
 CHUNK = 1 << 18  # bytes of cuts taken up at a time, or one minimiser's cuts if more
 SORTED = 1 << 15  # bytes suffix sorted at a time, or what one minimiser's cuts share if more
-#: A place is one number, the row's number among those of its key times this, and the start.
-PLACE = 1 << 44
+HEAD = 256  # characters by which rows of one key are dealt out to be numbered
+COPIES = 1000  # rows of one key and head, all of one text, that are dealt out at random
 PRIME = 0x9E3779B97F4A7C15
 _POWERS: list = []
 
@@ -127,13 +129,12 @@ def _occurrences(width: int):
                     n.append(np.where(again, -c, c))
                     m.append(k)
                     cut += [xxh3_64_intdigest(raw[a:b]) for a, b in zip(s.tolist(), (s + c + width - 1).tolist())]
-                row, start = np.concatenate(row), np.concatenate(start).astype(np.int64)
-                place = part.column("o").to_numpy()[row].astype(np.int64) * PLACE + start
+                row, start = pa.array(np.concatenate(row)), np.concatenate(start).astype(np.int32)
                 yield record_batch({
                     "m": pa.array(np.concatenate(m).astype(np.int64)),
                     "cut": pa.array(np.array(cut, np.uint64).view(np.int64)),
                     "n": pa.array(np.concatenate(n).astype(np.int32)),
-                    "k": part.column("k").take(pa.array(row)), "place": pa.array(place)})
+                    "k": part.column("k").take(row), "o": part.column("o").take(row), "start": pa.array(start)})
 
     return run
 
@@ -191,7 +192,7 @@ def repeated_runs(texts: list[bytes], width: int) -> list[tuple[int, int, int]]:
 
 
 def _compare(width: int):
-    """Runs of repeats among distinct cuts; input sorted by minimiser, key and place. Equal
+    """Runs of repeats among distinct cuts; input sorted by minimiser, key, number and start. Equal
     strings have equal minimisers, so minimisers taken up together do not mix."""
 
     def result(table):
@@ -211,9 +212,9 @@ def _compare(width: int):
                     held, size = [], 0
             lo, total = b, 0
         at = pa.array([x[0] for x in out], pa.int32())
-        place = table.column("place").to_numpy()[[x[0] for x in out]] if out else np.zeros(0, np.int64)
-        return record_batch({"k": table.column("k").take(at),
-                             "place": pa.array(place + np.array([x[1] for x in out], np.int64)),
+        start = table.column("start").to_numpy()[[x[0] for x in out]] if out else np.zeros(0, np.int32)
+        return record_batch({"k": table.column("k").take(at), "o": table.column("o").take(at),
+                             "start": pa.array(start + np.array([x[1] for x in out], np.int32)),
                              "n": pa.array([x[2] for x in out], pa.int32())})
 
     def run(batches):
@@ -240,17 +241,17 @@ def _cut_texts(width: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "t", 1 << 20):
-                row, m, place, data = [], [], [], []
+                row, m, start, data = [], [], [], []
                 for i, (text, asked) in enumerate(zip(part.column("t").to_pylist(), part.column("asked").to_pylist())):
                     raw = text.encode()
                     for a in asked:
-                        start = a["place"] % PLACE
                         row.append(i)
                         m.append(a["m"])
-                        place.append(a["place"])
-                        data.append(raw[start:start + abs(a["n"]) + width - 1])
-                yield record_batch({"m": pa.array(m, pa.int64()), "k": part.column("k").take(pa.array(row, pa.int32())),
-                                    "place": pa.array(place, pa.int64()), "bytes": pa.array(data, pa.binary())})
+                        start.append(a["start"])
+                        data.append(raw[a["start"]:a["start"] + abs(a["n"]) + width - 1])
+                at = pa.array(row, pa.int32())
+                yield record_batch({"m": pa.array(m, pa.int64()), "k": part.column("k").take(at), "o": part.column("o").take(at),
+                                    "start": pa.array(start, pa.int32()), "bytes": pa.array(data, pa.binary())})
 
     return run
 
@@ -299,20 +300,66 @@ def _rest(width: int):
     return run
 
 
+def _count_along():
+    """``b``, the task, and ``i``, the number of a row among those of its key in the task;
+    input sorted by key."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, key, seen = TaskContext.get().partitionId(), object(), 0
+        for batch in batches:
+            numbers = []
+            for k in batch.column("k").to_pylist():
+                seen = seen + 1 if k == key else 0
+                key = k
+                numbers.append(seen)
+            yield record_batch({**dict(zip(batch.schema.names, batch.columns)),
+                                "b": pa.array([task] * batch.num_rows, pa.int32()), "i": pa.array(numbers, pa.int64())})
+
+    return run
+
+
+def _numbered_by_text(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``o``, their number among those of their key in the order of ``t``. Rows
+    are dealt out in ranges of key and head of the text, counted inside a range, and
+    the counts of the ranges before are added, so one key's rows spread over many tasks. Texts of one
+    key and head stay together, unless they are copies, whose order does not matter."""
+    spark = rows.sparkSession
+    names = rows.columns
+    head = F.substring("t", 1, HEAD)
+    copies = rows.select("k", F.xxhash64(head).alias("h"), F.xxhash64("t").alias("x")).groupBy(
+        F.col("k").alias("ck"), F.col("h").alias("ch")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("a"), F.max("x").alias("z")).where(
+        (F.col("n") >= COPIES) & (F.col("a") == F.col("z"))).select("ck", "ch")
+    copies, _ = broadcast_if_bounded(copies)
+    dealt = rows.withColumn("h", F.xxhash64(head)).join(
+        copies, F.col("k").eqNullSafe(F.col("ck")) & (F.col("h") == F.col("ch")), "left").withColumn(
+        "salt", F.when(F.col("ch").isNotNull(), F.rand(1)).otherwise(0.0)).select(*names, "salt")
+    dealt = dealt.repartitionByRange(text_partitions(spark), "k", head, "salt").sortWithinPartitions("k", "t")
+    schema = T.StructType([*rows.schema.fields, T.StructField("b", T.IntegerType()), T.StructField("i", T.LongType())])
+    counted = written(map_batches(dealt.select(*names), _count_along(), schema))
+    before = Window.partitionBy("bk").orderBy("bb").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counted.groupBy(F.col("k").alias("bk"), F.col("b").alias("bb")).agg(F.count(F.lit(1)).alias("n")).select(
+        "bk", "bb", F.sum("n").over(before).alias("base")).where("base > 0")
+    bases, _ = broadcast_if_bounded(bases)
+    return counted.join(bases, F.col("k").eqNullSafe(F.col("bk")) & (F.col("b") == F.col("bb")), "left").select(
+        *names, (F.coalesce("base", F.lit(0)) + F.col("i")).alias("o"))
+
+
 def numbered(docs: DataFrame, key: str, text: str, carry: bool = False) -> DataFrame:
-    """``k, o, t``: rows with ``o`` numbering those that share a key, by text; with
+    """``k, t, o``: rows with ``o`` numbering those that share a key, by text; with
     ``carry`` also ``row``, the whole row but for its text."""
     rest = [F.struct(*[F.col(c) for c in docs.columns if c != text]).alias("row")] if carry else []
     rows = docs.select(F.col(key).alias("k"), F.coalesce(text, F.lit("")).alias("t"), *rest)
-    names = ["k", "t"] + (["row"] if carry else [])
+    names, zero = ["k", "t"] + (["row"] if carry else []), F.lit(0).cast("long").alias("o")
     shared = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("s"))
     shared, _ = broadcast_if_bounded(shared)
     if shared.isEmpty():
-        return rows.withColumn("o", F.lit(0))
+        return rows.select(*names, zero)
     same = F.col("k").eqNullSafe(F.col("s"))
-    order = F.row_number().over(Window.partitionBy("k").orderBy("t"))
-    return rows.join(shared, same, "left_anti").select(*names, F.lit(0).alias("o")).unionByName(
-        rows.join(shared, same, "left_semi").select(*names, order.alias("o")))
+    return rows.join(shared, same, "left_anti").select(*names, zero).unionByName(
+        _numbered_by_text(rows.join(shared, same, "left_semi").select(*names)))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 100) -> DataFrame:
@@ -320,7 +367,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     ``o`` tells rows of one key apart."""
     rows = spread(numbered(docs, key, text))
     kind = rows.schema["k"].dataType.simpleString()
-    schema = f"k {kind}, o int, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    schema = f"k {kind}, o long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return map_batches(_marked(rows, width).drop("row"), _clean(width), schema).withColumnRenamed("k", key)
 
 
@@ -344,44 +391,44 @@ def _marked(rows: DataFrame, width: int) -> DataFrame:
     texts = rows.where(F.octet_length("t") >= width).select("k", "o", "t")
     twice = map_batches(texts.select("t"), _minimisers(width), "m long, c long").groupBy("m").agg(
         F.sum("c").alias("c")).where("c > 1").select("m")
-    occurrences = map_batches(texts, _occurrences(width), f"m long, cut long, n int, k {kind}, place long")
+    occurrences = map_batches(texts, _occurrences(width), f"m long, cut long, n int, k {kind}, o long, start int")
     found = written(occurrences.join(twice, "m"))
     # 2. equal cuts
-    at = F.struct("k", "place")
+    at = F.struct("k", "o", "start")
     distinct = written(found.groupBy("m", "cut", "n").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("c")))
     later = found.join(distinct.where("c > 1").select("m", "cut", "n", "first"), ["m", "cut", "n"]).where(
-        ~at.eqNullSafe(F.col("first"))).select("k", "place", F.abs("n").alias("n"))
+        ~at.eqNullSafe(F.col("first"))).select("k", "o", "start", F.abs("n").alias("n"))
     # 3. distinct cuts of one minimiser, periodic cuts
     several = distinct.groupBy("m").agg(
         F.count(F.lit(1)).alias("cuts"), F.min("n").alias("n"),
         F.sum(F.abs("n") + width - 1).alias("bytes")).where("cuts > 1 OR n < 0").select("m", "bytes")
     asked = distinct.join(several, "m").select("m", "n", "first.*")
-    lists = asked.groupBy(F.col("k").alias("ak"), F.shiftright("place", 44).alias("ao")).agg(
-        F.collect_list(F.struct("m", "place", "n")).alias("asked"))
+    lists = asked.groupBy(F.col("k").alias("ak"), F.col("o").alias("ao")).agg(
+        F.collect_list(F.struct("m", "start", "n")).alias("asked"))
     lists, _ = broadcast_if_bounded(lists)
-    wanted = texts.join(lists, F.col("k").eqNullSafe(F.col("ak")) & (F.col("o") == F.col("ao"))).select("k", "t", "asked")
-    pieces = map_batches(wanted, _cut_texts(width), f"m long, k {kind}, place long, bytes binary")
+    wanted = texts.join(lists, F.col("k").eqNullSafe(F.col("ak")) & (F.col("o") == F.col("ao"))).select("k", "o", "t", "asked")
+    pieces = map_batches(wanted, _cut_texts(width), f"m long, k {kind}, o long, start int, bytes binary")
     crowded, _ = broadcast_if_bounded(several.where(F.col("bytes") > MAX_BYTES).select("m"))
     if not crowded.isEmpty():
         pieces = written(pieces)
         later = later.unionByName(_by_string(pieces.join(crowded, "m", "left_semi"), width))
         pieces = pieces.join(crowded, "m", "left_anti")
-    sorted_ = pieces.repartition("m").sortWithinPartitions("m", "k", "place")
-    runs = later.unionByName(map_batches(sorted_, _compare(width), f"k {kind}, place long, n int"))
+    sorted_ = pieces.repartition("m").sortWithinPartitions("m", "k", "o", "start")
+    runs = later.unionByName(map_batches(sorted_, _compare(width), f"k {kind}, o long, start int, n int"))
     # 4. documents
-    per_doc = runs.groupBy(F.col("k").alias("rk"), F.shiftright("place", 44).alias("ro")).agg(
-        F.collect_list(F.struct((F.col("place") % PLACE).alias("start"), "n")).alias("runs"))
+    per_doc = runs.groupBy(F.col("k").alias("rk"), F.col("o").alias("ro")).agg(
+        F.collect_list(F.struct("start", "n")).alias("runs"))
     return rows.join(per_doc, F.col("k").eqNullSafe(F.col("rk")) & (F.col("o") == F.col("ro")), "left").drop("rk", "ro")
 
 
 def _by_string(pieces: DataFrame, width: int) -> DataFrame:
     """Repeats among the cuts of crowded minimisers, string by string."""
-    strings = pieces.select("m", "k", "place", "bytes", F.explode(
+    strings = pieces.select("m", "k", "o", "start", "bytes", F.explode(
         F.sequence(F.lit(0), F.octet_length("bytes") - width)).alias("i")).select(
-        "m", F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(width)), 256).alias("s"), "k",
-        (F.col("place") + F.col("i")).alias("place"))
+        "m", F.sha2(F.substring("bytes", F.col("i") + 1, F.lit(width)), 256).alias("s"), "k", "o",
+        (F.col("start") + F.col("i")).alias("start"))
     strings = written(strings)
-    least = strings.groupBy("m", "s").agg(F.min(F.struct("k", "place")).alias("first"),
+    least = strings.groupBy("m", "s").agg(F.min(F.struct("k", "o", "start")).alias("first"),
                                           F.count(F.lit(1)).alias("c")).where("c > 1")
-    return strings.join(least, ["m", "s"]).where(~F.struct("k", "place").eqNullSafe(F.col("first"))).select(
-        "k", "place", F.lit(1).alias("n"))
+    return strings.join(least, ["m", "s"]).where(~F.struct("k", "o", "start").eqNullSafe(F.col("first"))).select(
+        "k", "o", "start", F.lit(1).alias("n"))

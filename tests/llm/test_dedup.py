@@ -131,6 +131,41 @@ def test_cut_repeats(awkward):
     assert all(r.n_chars == len(r.text) for r in got.collect())
 
 
+def test_repeats_in_rows_numbered_high(spark):
+    """A row's number among those of its key may take any value."""
+    rng = random.Random(21)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    differing = [passage[:250] + "".join(rng.choice("xyz ") for _ in range(60 + i)) + passage for i in range(3)]
+    for texts in ([passage] * 6, [*differing, passage, "q" * 400, "q" * 300]):
+        numbers = [0, 1, 1 << 19, (1 << 20) + 1, 1 << 40, (1 << 62) + 5]
+        rows = spark.createDataFrame([(None if i % 2 else 7, o, t) for i, (o, t) in enumerate(zip(numbers, texts))],
+                                     "k long, o long, t string")
+        got = Counter()
+        for r in repeats._marked(rows, 100).collect():
+            raw, _, kept = repeats._remaining(r.t, r.runs, 100)
+            got[r.k, r.o, len(raw) - len(kept)] += 1
+        order = sorted(((None if i % 2 else 7, o, t) for i, (o, t) in enumerate(zip(numbers, texts))),
+                       key=lambda r: (r[0] is not None, r[1]))
+        gone = brute.repeats([(i, t) for i, (_, _, t) in enumerate(order)])
+        assert got == Counter((k, o, sum(g)) for (k, o, _), (_, g) in zip(order, gone))
+
+
+def test_rows_of_one_key_are_numbered_in_many_tasks(make, monkeypatch):
+    monkeypatch.setattr(repeats, "COPIES", 50)
+    rng = random.Random(22)
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) for _ in range(600)] + [None] * 200 + ["z" * 300] * 200
+    texts += ["y" * 300 + str(i) for i in range(40)]
+    docs = make([(None if i % 2 else 5, t) for i, t in enumerate(texts)] + [(9, "alone")])
+    got = repeats.numbered(docs, "doc_id", "text")
+    for k in (None, 5):
+        mine = sorted((r.o, r.t) for r in got.collect() if r.k == k)
+        assert [o for o, _ in mine] == list(range(len(mine)))
+        assert [t for _, t in mine] == sorted(t or "" for i, t in enumerate(texts) if (None if i % 2 else 5) == k)
+    assert [r.o for r in got.where("k = 9").collect()] == [0]
+    tasks = got.where("k = 5").select(F.input_file_name().alias("f")).distinct().count()
+    assert tasks > 3
+
+
 def test_empty(empty):
     assert exact_dedup.exact_dedup(empty).count() == 0
     assert simhash.simhash_dedup(empty).count() == 0
