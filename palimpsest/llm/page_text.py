@@ -7,7 +7,7 @@ not, interact. Weights maximise the regularised conditional likelihood of labell
 pages, computed by forward and backward passes in numpy, and the best label
 sequence of a page is found by Viterbi.
 
-Labelled pages: at most about ``sample_rows`` pages, drawn by a hash of the key, give blocks with
+Labelled pages: at most ``sample_rows`` distinct pages, drawn by a hash of key and page, give blocks with
 labels from their semantic elements (inside ``article`` or ``main`` and not inside
 navigation, notices and the like); laid out anew in common page layouts (``LAYOUT`` below),
 they also teach class names and arrangements that the sample lacks.
@@ -211,13 +211,21 @@ def train(sequences: list[tuple[list, list[int]]], steps: int = 120, rate: float
     return Model({f: (float(w[i, 0]), float(w[i, 1])) for f, i in names.items() if seen[i] >= 3}, c)
 
 
+def drawn(pages: DataFrame, key: str = "page_id", html: str = "html", sample_rows: int = 150,
+          max_bytes: int = 200_000) -> DataFrame:
+    """``k, h``: of the distinct rows of at most ``max_bytes`` the ``sample_rows`` with the least
+    hash of key and page, or all if there are fewer."""
+    usable = pages.where(F.octet_length(html) <= max_bytes).select(
+        F.col(key).alias("k"), F.col(html).alias("h"), F.xxhash64(key, html).alias("x"))
+    least = usable.select(F.col("x").alias("d")).distinct().orderBy("d").limit(sample_rows)
+    return usable.join(F.broadcast(least), F.col("x") == F.col("d")).groupBy("x").agg(
+        F.min(F.struct("k", "h")).alias("page")).select("page.*")
+
+
 def fit(pages: DataFrame, key: str = "page_id", html: str = "html", sample_rows: int = 150,
         max_bytes: int = 200_000) -> Model:
-    """The model from about ``sample_rows`` pages of at most ``max_bytes``."""
-    usable = pages.where(F.octet_length(html) <= max_bytes).select(F.col(key).alias("k"), F.col(html).alias("h"))
-    n = usable.count()
-    share = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / (1 << 30)
-    rows = usable.where(share < sample_rows / max(1, n)).collect()  # bounded by the two parameters
+    """The model from ``sample_rows`` pages of at most ``max_bytes``."""
+    rows = drawn(pages, key, html, sample_rows, max_bytes).collect()  # bounded by the two parameters
     return train(labelled_pages([r["h"] for r in sorted(rows, key=lambda r: (str(r["k"]), r["h"]))]))
 
 

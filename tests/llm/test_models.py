@@ -137,6 +137,25 @@ def test_page_text(spark, empty):
     assert page_text.extract(odd.limit(0), page_text.fit(odd.limit(0))).count() == 0
 
 
+def test_page_sample_is_bounded_on_null_and_repeated_ids(spark, monkeypatch):
+    pages = [(None, f"<article><p>Null page {i} of many.</article>") for i in range(400)]
+    pages += [(5, f"<article><p>One id, page {i} here.</article>") for i in range(400)]
+    pages += [(6, "<article><p>The very same page.</article>")] * 400
+    pages += [(100 + i, f"<article><p>Own page {i} stands.</article>") for i in range(400)]
+    table = spark.createDataFrame(pages, "page_id long, html string").repartition(4)
+    seen = []
+    monkeypatch.setattr(page_text, "train", seen.append)
+    monkeypatch.setattr(page_text, "labelled_pages", lambda texts, layouts=4: texts)
+    page_text.fit(table)
+    page_text.fit(table.repartition(7))
+    page_text.fit(table.where("page_id = 6"))
+    page_text.fit(table.where("page_id = 5"))
+    first, again, same, repeated = seen
+    assert len(first) == len(set(first)) == 150 and first == again
+    assert all(sum(kind in t for t in first) > 20 for kind in ("Null page", "One id", "Own page"))
+    assert len(same) == 1 and len(repeated) == 150
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(5)
     blocks = [("word " * int(n), 0, "p", frozenset({f"c:{n}"})) for n in rng.integers(1, 9, 7)]
