@@ -11,8 +11,9 @@ one all do. A document scores as its most toxic segment, calibrated on the train
 As all of it is linear, scoring needs one number per distinct word.
 
 The training sample is bounded: at most about ``sample_rows`` labelled documents of
-either label, drawn by a hash of the key, with about ``max_segments`` segments for
-either label. Every text is scored whole.
+either label, drawn by a hash of the key, with at most ``max_segments`` segments for
+either label (or one of each document). If there are more, the longest documents give distinct
+segments, drawn by hash, up to one bound for all; rows of one key are one document. Every text is scored whole.
 
 Defined cases: a null or empty text, or one without a word, has no segment and scores
 as the bias alone; null keys and labels are not learned from; without both labels every score is 0;
@@ -28,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import map_batches, record_batch, slices, spread
@@ -180,6 +181,16 @@ def _calibrate(logit: np.ndarray, label: np.ndarray, penalty: float = 0.01) -> t
     return float(b[0] / width), float(b[1] - b[0] * mid / width)
 
 
+def _bound(sizes: list[int], total: int) -> int:
+    """The highest bound, 1 at least, for which sizes cut to it sum to ``total`` at most."""
+    left = total
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return max(1, left // (len(sizes) - i))
+        left -= n
+    return max(sizes, default=1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, max_segments: int = 80_000,
         key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model | None:
     """The model from the labelled rows of ``labels`` (none without both labels)."""
@@ -196,17 +207,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, max_segment
     sample = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(few, "doc").select(
         F.col("doc").cast("long").alias("doc"), "label", "t")
     seg = map_batches(sample, _segments, "doc long, label int, words string")
-    # whole documents, with about max_segments segments of either label at most
-    share = F.pmod(F.xxhash64("doc", F.lit("segments")), F.lit(1 << 30)) / (1 << 30)
-    counts = {r["label"]: r["n"] for r in seg.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) < 2:
-        return None
-    keep = F.lit(False)
-    for y, n in counts.items():
-        keep = keep | ((F.col("label") == y) & (share < min(1.0, max_segments / n)))
-    rows = seg.where(keep).toPandas().sort_values(["doc", "words"], ignore_index=True)
-    if rows["label"].nunique() < 2:
+    # long documents give way first: the highest bound of a document's segments that keeps either label
+    # within max_segments, but a segment of every document
+    sizes = seg.groupBy("label", "doc").agg(F.count(F.lit(1)).alias("n")).collect()  # about 2 x sample_rows
+    bound = {y: _bound([r["n"] for r in sizes if r["label"] == y], max_segments) for y in size}
+    if len({r["label"] for r in sizes}) < 2:
         return None
+    long = [(r["doc"], bound[r["label"]]) for r in sizes if r["n"] > bound[r["label"]]]
+    if long:
+        over = F.broadcast(docs.sparkSession.createDataFrame(long, "doc long, bound long"))
+        order = Window.partitionBy("doc").orderBy(F.xxhash64("doc", "words"), "words")
+        cut = seg.join(over, "doc").distinct().withColumn("at", F.row_number().over(order)).where(
+            F.col("at") <= F.col("bound")).select("doc", "label", "words")
+        seg = seg.join(over, "doc", "left_anti").unionByName(cut)
+    rows = seg.toPandas().sort_values(["doc", "words"], ignore_index=True)
     return train(rows["doc"].to_numpy(), rows["label"].to_numpy(), rows["words"].tolist())
 
 

@@ -93,6 +93,25 @@ def test_toxicity(spark, awkward, empty):
     assert {r.score for r in toxicity.score(awkward, None).collect()} == {0.0}
 
 
+def test_toxicity_sample_keeps_every_document(spark, make, monkeypatch):
+    """Long documents and repeated rows do not displace others."""
+    rng = random.Random(6)
+    prose = lambda n: " ".join(rng.choice("abcdefghij") + rng.choice("klmnop") * rng.randint(1, 5) for _ in range(n))
+    docs = [(i, prose(24)) for i in range(200)] + [(300, prose(80_000)), (301, prose(80_000))]
+    docs += [(i, prose(30)) for i in (302, 303) for _ in range(50)] + [(304, "same words all along here and on again " * 3000)]
+    labels = [(i, i % 2) for i, _ in dict(docs).items()]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda *sample: seen.append(sample))
+    toxicity.fit(make(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), max_segments=1000)
+    toxicity.fit(make(docs), spark.createDataFrame(labels, "doc_id long, toxic int"), max_segments=1)
+    (ids, toxic, words), (few, _, _) = seen
+    n = Counter(ids.tolist())
+    assert set(n) == {i for i, _ in docs} and all(n[i] == 3 for i in range(200))
+    # 1000 less three of each short document and 200 of the repeated one, for two long documents and for one
+    assert n[300] == 250 and n[301] == 500 and n[302] == n[303] == 200 and n[304] == 1
+    assert Counter(few.tolist()) == dict.fromkeys(n, 1) and len(words) == len(ids)
+
+
 # --------------------------------------------------------------------- pages
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
