@@ -54,8 +54,8 @@ def q_doc_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(_matches(spark, sf_dir, truth_from_tables(spark, sf_dir)), "similarity_score")
 
 
-def _matches(spark, sf_dir, truth, **options):
-    return detect_reuse(corpus_from_tables(spark, sf_dir, with_truth=False), truth=truth, **options)
+def _matches(spark, sf_dir, truth, stem=False, **options):
+    return detect_reuse(corpus_from_tables(spark, sf_dir, with_truth=False), truth=truth, prep={"stem": stem}, **options)
 
 
 def q_normalize_tokens(spark, sf_dir):
@@ -111,8 +111,8 @@ def q_corpus_counts(spark, sf_dir):
                          _matches(spark, sf_dir, truth_from_tables(spark, sf_dir)))
 
 
-def _chunked(spark, sf_dir):
-    return CH.compare_chunked(corpus_from_tables(spark, sf_dir, with_truth=False), _pairs(spark, sf_dir))
+def _chunked(spark, sf_dir, stem=False):
+    return CH.compare_chunked(corpus_from_tables(spark, sf_dir, with_truth=False), _pairs(spark, sf_dir), stem=stem)
 
 
 def _pairs(spark, sf_dir):
@@ -157,9 +157,20 @@ def q_hashed_embedding_match(spark, sf_dir):
 
 
 def q_stemmed_similarity_join(spark, sf_dir):
-    """C2 with Porter stemming of the vocabulary (rows-only check)."""
+    """C2 with Porter stemming of the vocabulary."""
     truth = truth_from_tables(spark, sf_dir)
-    return _round(_matches(spark, sf_dir, truth, prep={"stem": True}), "similarity_score")
+    return _round(_matches(spark, sf_dir, truth, stem=True), "similarity_score")
+
+
+def q_stemmed_chunk_match(spark, sf_dir):
+    """C3 with Porter stemming: best source chunk per suspicious chunk, with previews."""
+    matches, _ = _chunked(spark, sf_dir, stem=True)
+    return _round(CH.chunk_report(matches), "similarity")
+
+
+def q_token_stems(spark, sf_dir):
+    """Every distinct token of the documents and its stem."""
+    return TQ.token_stems(spark, sf_dir)
 
 
 def q_doc_similarity_join_salted(spark, sf_dir):
@@ -251,6 +262,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dense_summary": q_dense_summary,
         "hashed_embedding_match": q_hashed_embedding_match,
         "stemmed_similarity_join": q_stemmed_similarity_join,
+        "stemmed_chunk_match": q_stemmed_chunk_match,
+        "token_stems": q_token_stems,
         "sampled_corpus": q_sampled_corpus,
         "doc_similarity_join_salted": q_doc_similarity_join_salted,
         "doc_similarity_join_prefix": q_doc_similarity_join_prefix,
@@ -266,8 +279,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # ------------------------------------------------------------- oracle SQL
 
-def _sql_doc_similarity_join() -> str:
-    return ("WITH " + O.corpus_ctes() + "\nSELECT suspicious_id, source_id, "
+def _sql_doc_similarity_join(stem: bool = False) -> str:
+    return ("WITH " + O.corpus_ctes(stem=stem) + "\nSELECT suspicious_id, source_id, "
             + _r("similarity_score", "similarity_score")
             + ", ground_truth, source_reference FROM matches")
 
@@ -319,8 +332,8 @@ def _sql_tfidf_weights() -> str:
             + " FROM sus_w")
 
 
-def _sql_chunk_best_match() -> str:
-    return ("WITH " + O.chunk_ctes() + "\nSELECT suspicious_id, source_id, suspicious_chunk_idx, "
+def _sql_chunk_best_match(stem: bool = False) -> str:
+    return ("WITH " + O.chunk_ctes(stem=stem) + "\nSELECT suspicious_id, source_id, suspicious_chunk_idx, "
             "left(suspicious_chunk_text, 100) || '...' AS suspicious_chunk_text, source_chunk_idx, "
             "left(source_chunk_text, 100) || '...' AS source_chunk_text, "
             + _r("similarity", "similarity") + " FROM matches")
@@ -390,6 +403,9 @@ def _own_oracle_sql() -> dict[str, str]:
     return {
         "doc_similarity_join_salted": _sql_doc_similarity_join(),
         "doc_similarity_join_prefix": _sql_doc_similarity_join(),
+        "stemmed_similarity_join": _sql_doc_similarity_join(stem=True),
+        "stemmed_chunk_match": _sql_chunk_best_match(stem=True),
+        "token_stems": O.token_stems_sql(),
         "phrase_document_counts": _SQL_PHRASES,
         "trigram_tf": _sql_trigram_tf(),
         "metrics_lines": _sql_metrics_lines(),

@@ -16,6 +16,8 @@ reference's ``re`` calls operate on:
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -51,15 +53,14 @@ def named_entities() -> dict[str, str]:
     return {f"&{name}": char for name, char in sorted(html5.items()) if name.endswith(";") and name == name.lower()}
 
 
-# Markup removed before entity decoding, in this order.
-HTML_COMMENT = r"<!--[\s\S]*?-->"
-HTML_RAW_TEXT = (r"<script[^>]*>[\s\S]*?</script[^>]*>",
-                 r"<style[^>]*>[\s\S]*?</style[^>]*>",
-                 r"<template[^>]*>[\s\S]*?</template[^>]*>")
-HTML_DECLARATION = r"<[!?][^>]*>"
-# Possessive: a tag that is never closed costs one scan and no stack. Each step starts with a
-# different character, so giving nothing back loses no match.
-HTML_TAG = r"""</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+# What is markup, as one alternation read from left to right, so that a tag inside a comment or a
+# comment inside a script is part of it. A comment or raw-text element that is never closed reaches
+# to the end. Possessive where a step can't be undone to any use: an unclosed tag costs one scan and no stack.
+HTML_MARKUP = "|".join((
+    r"<!--(?:-?>|[\s\S]*?(?:--!?>|\z))",
+    *(rf"<{name}(?:[\s/][^>]*+)?+>[\s\S]*?(?:</{name}[^>]*+>|\z)" for name in ("script", "style", "template")),
+    r"<[!?][^>]*+>",
+    r"""</?[a-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""))
 
 
 def _col(c: Column | str) -> Column:
@@ -70,24 +71,20 @@ def strip_html(text: Column | str) -> Column:
     """Markup to text, like ``get_text()`` of an HTML parser.
 
     No separator is inserted where tags were (``<p>a</p><p>b</p>`` -> ``ab``);
-    comments, declarations and script/style/template bodies are dropped;
+    comments, declarations and script/style/template bodies are dropped in one pass;
     character references are decoded on the JVM, each once. Expects lower-cased input
     for the tag patterns (the preprocessing lower-cases first).
     """
-    t = F.regexp_replace(_col(text), HTML_COMMENT, "")
-    for pattern in HTML_RAW_TEXT:
-        t = F.regexp_replace(t, pattern, "")
-    t = F.regexp_replace(t, HTML_DECLARATION, "")
-    t = F.regexp_replace(t, HTML_TAG, "")
-    return decode_entities(t)
+    return decode_entities(F.regexp_replace(_col(text), HTML_MARKUP, ""))
 
 
 def decode_entities(text: Column) -> Column:
     """Character references to characters; unknown ones stay as they are.
 
     The text is split at the references and put together again, so what a
-    reference decodes to is never decoded a second time."""
-    names = F.create_map(*[F.lit(x) for pair in named_entities().items() for x in pair])
+    reference decodes to is never decoded a second time. The names are one constant: a JSON
+    text that the optimizer folds into a map."""
+    names = F.from_json(F.lit(json.dumps(named_entities())), "map<string,string>")
 
     def decoded(ref: Column) -> Column:
         body = F.substring(ref, 3, F.length(ref) - 3)
@@ -97,9 +94,13 @@ def decode_entities(text: Column) -> Column:
         return F.when(F.startswith(ref, F.lit("&#")), F.when(valid, char).otherwise(F.lit("\ufffd"))).otherwise(
             F.coalesce(F.try_element_at(names, ref), ref))
 
-    refs = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), 0), decoded)
-    parts = F.zip_with(F.split(text, ENTITY), refs, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    return F.when(text.rlike(ENTITY), F.array_join(parts, "")).otherwise(text)
+    def together(t: Column) -> Column:
+        refs = F.transform(F.regexp_extract_all(t, F.lit(ENTITY), 0), decoded)
+        parts = F.zip_with(F.split(t, ENTITY), refs, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.when(F.contains(t, F.lit("&")), F.array_join(parts, "")).otherwise(t)
+
+    # bound to a name, so that the markup pass behind ``text`` runs once
+    return F.get(F.transform(F.array(text), together), 0)
 
 
 def maybe_strip_html(text: Column) -> Column:
@@ -132,7 +133,12 @@ def word_tokens(text: Column | str, html: bool = True) -> Column:
     t = F.lower(F.coalesce(_col(text), F.lit("")))
     if html:
         t = maybe_strip_html(t)
-    return F.regexp_extract_all(t, F.lit(WORD_RUN), 0)
+    return word_runs(t)
+
+
+def word_runs(text: Column | str) -> Column:
+    """The maximal runs of non-digit word characters of a text that is lower-cased and stripped already."""
+    return F.regexp_extract_all(_col(text), F.lit(WORD_RUN), 0)
 
 
 def tokenize(normalized: Column | str) -> Column:

@@ -1,24 +1,26 @@
-"""Porter stemming as a vocabulary job.
+"""Porter stemming as column rules over the distinct vocabulary.
 
-Each distinct token is stemmed once: tokens are exploded with their
-positions, the distinct vocabulary goes through an Arrow-batched pandas UDF,
-the (token, stem) table is joined back (broadcast when its measured size
-allows) and each document's stems are put back in token order. When the
-input is hash-partitioned by document the regrouping needs no shuffle.
+The stemmer is the published algorithm (M.F. Porter, "An algorithm for suffix stripping",
+1980), written as Spark columns. A word travels with its *shape*, the string of its letters as
+``C`` (consonant) and ``V`` (vowel). What the algorithm asks of a stem is then a question to a prefix of
+the shape: the measure is the number of ``VC`` in it, "has a vowel" is "contains V", and cutting a
+suffix cuts both strings alike. Each step is one projection; no Python runs.
 
-The stemmer follows the published algorithm (M.F. Porter, "An algorithm
-for suffix stripping", 1980); words of one or two letters are left alone.
+Documents are stemmed through their vocabulary: each distinct token is stemmed once, the frequent
+ones (all, if few enough) are broadcast, the others joined by a shuffle in which no key is
+hot, since a bound on their frequency is what tells them apart. Each document's stems are
+put back in token order.
+
+Words of one or two letters are left alone.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from palimpsest.operators.sizing import broadcast_if_bounded
-from palimpsest.session import ship_package
+from palimpsest.operators.sizing import reused
+from palimpsest.session import broadcast_row_limit
 
 # The suffix rules of the 1980 algorithm, in its order.
 STEP2_RULES = (
@@ -38,130 +40,118 @@ STEP4_SUFFIXES = (
 )
 
 
-def _is_consonant(word: str, i: int) -> bool:
-    if word[i] != "y":
-        return word[i] not in "aeiou"
-    # a run of y alternates; its first one is a consonant at the start or after a vowel
-    j = i
-    while j > 0 and word[j - 1] == "y":
-        j -= 1
-    first = j == 0 or word[j - 1] in "aeiou"
-    return first == ((i - j) % 2 == 0)
+def shape(word: Column) -> Column:
+    """Each letter as ``C`` or ``V``; ``y`` is a vowel after a consonant, else a consonant.
+
+    In a run of ``y`` the two kinds alternate, so pairs of them (``P``) all read ``VC`` after a
+    consonant and ``CV`` elsewhere; ``\\G`` carries that along the run."""
+    s = F.regexp_replace(F.regexp_replace(word, "[^aeiouy]", "C"), "[aeiou]", "V")
+    s = F.replace(s, F.lit("yy"), F.lit("P"))
+    s = F.replace(F.regexp_replace(s, r"(?:(?<=C)|(?!^)\G)P", "VC"), F.lit("P"), F.lit("CV"))
+    return F.replace(F.replace(s, F.lit("Cy"), F.lit("CV")), F.lit("y"), F.lit("C"))
+
+
+def _cut(text: Column, n) -> Column:
+    return F.left(text, F.length(text) - n)
+
+
+def _measure(s: Column) -> Column:
+    """m in [C](VC)^m[V]: how often a vowel is followed by a consonant."""
+    return (F.length(s) - F.length(F.replace(s, F.lit("VC"), F.lit("")))) / 2
+
 
+def _has_vowel(s: Column) -> Column:
+    return F.contains(s, F.lit("V"))
 
-def _measure(stem: str) -> int:
-    """m in [C](VC)^m[V]."""
-    m, prev_vowel, consonant = 0, False, False
-    for i, ch in enumerate(stem):
-        # y is a consonant at the start and after a vowel
-        consonant = (i == 0 or not consonant) if ch == "y" else ch not in "aeiou"
-        if prev_vowel and consonant:
-            m += 1
-        prev_vowel = not consonant
-    return m
 
+def _ends(w: Column, *suffixes: str) -> Column:
+    return w.rlike(f"(?:{'|'.join(suffixes)})\\z")
 
-def _has_vowel(stem: str) -> bool:
-    return any(not _is_consonant(stem, i) for i in range(len(stem)))
 
+def _doubled(w: Column, s: Column) -> Column:
+    return F.endswith(s, F.lit("C")) & (F.length(w) >= 2) & (F.right(w, F.lit(1)) == F.substring(w, -2, 1))
 
-def _double_consonant(word: str) -> bool:
-    return len(word) >= 2 and word[-1] == word[-2] and _is_consonant(word, len(word) - 1)
 
+def _cvc(w: Column, s: Column) -> Column:
+    return F.endswith(s, F.lit("CVC")) & ~_ends(w, "[wxy]")
 
-def _cvc(word: str) -> bool:
-    if len(word) < 3:
-        return False
-    n = len(word)
-    return (_is_consonant(word, n - 3) and not _is_consonant(word, n - 2)
-            and _is_consonant(word, n - 1) and word[-1] not in "wxy")
 
+def stem_words(words: DataFrame, word: str, out: str = "stem") -> DataFrame:
+    """``words`` with the stem of column ``word`` (lower-case tokens; null stays null)."""
+    w, s, n = F.col("_w"), F.col("_s"), F.col("_n")
+    keep = list(words.columns)
 
-def _replace(word: str, suffix: str, repl: str, min_m: int) -> str | None:
-    if word.endswith(suffix):
-        stem = word[: len(word) - len(suffix)]
-        return stem + repl if _measure(stem) > min_m else word
-    return None
+    def cut(df: DataFrame) -> DataFrame:
+        """Take ``_n`` letters off both strings."""
+        return df.withColumns({"_w": _cut(w, n), "_s": _cut(s, n)})
 
+    def suffix_step(df: DataFrame, suffixes, allowed, replacement=None) -> DataFrame:
+        """The longest of ``suffixes`` (no two rules of a step with the same end are in
+        another order) is replaced where ``allowed`` says so of what stands before it."""
+        df = df.withColumn("_f", F.regexp_extract(w, f"(?:{'|'.join(suffixes)})\\z", 0)).withColumn("_n", F.length("_f"))
+        df = df.withColumn("_n", F.when((n > 0) & allowed(_cut(w, n), _cut(s, n)), n).otherwise(0))
+        df = cut(df)
+        if replacement:
+            new = F.create_map(*[F.lit(x) for f in suffixes for x in (f, replacement[f])])
+            tail = F.when(n > 0, F.try_element_at(new, F.col("_f"))).otherwise("")
+            vowels = F.regexp_replace(F.regexp_replace(tail, "[^aeiou]", "C"), "[aeiou]", "V")  # no rule puts in a y
+            df = df.withColumns({"_w": F.concat(w, tail), "_s": F.concat(s, vowels)})
+        return df
 
-def porter_stem(word: str) -> str:
-    """Stem one lower-case token."""
-    if len(word) <= 2:
-        return word
-    w = word
+    df = words.withColumn("_w", F.col(word)).withColumn("_s", shape(F.col("_w")))
     # step 1a
-    if w.endswith("sses"):
-        w = w[:-2]
-    elif w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("ss"):
-        pass
-    elif w.endswith("s"):
-        w = w[:-1]
-    # step 1b
-    extra = False
-    if w.endswith("eed"):
-        if _measure(w[:-3]) > 0:
-            w = w[:-1]
-    elif w.endswith("ed") and _has_vowel(w[:-2]):
-        w, extra = w[:-2], True
-    elif w.endswith("ing") and _has_vowel(w[:-3]):
-        w, extra = w[:-3], True
-    if extra:
-        if w.endswith(("at", "bl", "iz")):
-            w += "e"
-        elif _double_consonant(w) and w[-1] not in "lsz":
-            w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
-            w += "e"
+    df = cut(df.withColumn("_n", F.when(_ends(w, "sses", "ies"), 2).when(_ends(w, "ss"), 0).when(_ends(w, "s"), 1).otherwise(0)))
+    # step 1b; ``_x``: a past tense or participle ending went, so the stem may need mending
+    df = df.withColumn("_n", F.when(_ends(w, "eed"), F.when(_measure(_cut(s, 3)) > 0, 1).otherwise(0))
+                       .when(_ends(w, "ed") & _has_vowel(_cut(s, 2)), 2).when(_ends(w, "ing") & _has_vowel(_cut(s, 3)), 3).otherwise(0))
+    df = cut(df.withColumn("_x", n >= 2))
+    undouble = _doubled(w, s) & ~_ends(w, "[lsz]")
+    df = df.withColumn("_m", F.when(~F.col("_x"), "").when(_ends(w, "at", "bl", "iz"), "e").when(undouble, "-")
+                       .when((_measure(s) == 1) & _cvc(w, s), "e").otherwise(""))
+    mend = F.col("_m")
+    df = df.withColumns({"_w": F.when(mend == "e", F.concat(w, F.lit("e"))).when(mend == "-", _cut(w, 1)).otherwise(w),
+                         "_s": F.when(mend == "e", F.concat(s, F.lit("V"))).when(mend == "-", _cut(s, 1)).otherwise(s)})
     # step 1c
-    if w.endswith("y") and _has_vowel(w[:-1]):
-        w = w[:-1] + "i"
-    # step 2, 3
-    for rules in (STEP2_RULES, STEP3_RULES):
-        for suffix, repl in rules:
-            out = _replace(w, suffix, repl, 0)
-            if out is not None:
-                w = out
-                break
-    # step 4
-    for suffix in STEP4_SUFFIXES:
-        if w.endswith(suffix):
-            stem = w[: len(w) - len(suffix)]
-            if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
-                w = stem
-            break
-    # step 5a
-    if w.endswith("e"):
-        stem = w[:-1]
-        m = _measure(stem)
-        if m > 1 or (m == 1 and not _cvc(stem)):
-            w = stem
-    # step 5b
-    if _measure(w) > 1 and _double_consonant(w) and w.endswith("l"):
-        w = w[:-1]
-    return w
-
-
-def _stem_series(tokens: pd.Series) -> pd.Series:
-    return tokens.map(porter_stem)
-
-
-porter_stem_udf = F.pandas_udf(_stem_series, T.StringType())
-
-
-def stem_token_arrays(df: DataFrame, *, key: str, tokens_col: str = "tokens",
+    df = df.withColumn("_x", _ends(w, "y") & _has_vowel(_cut(s, 1)))
+    df = df.withColumns({"_w": F.when(F.col("_x"), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w),
+                         "_s": F.when(F.col("_x"), F.concat(_cut(s, 1), F.lit("V"))).otherwise(s)})
+    # steps 2 to 4
+    for rules in (dict(STEP2_RULES), dict(STEP3_RULES)):
+        df = suffix_step(df, list(rules), lambda _, before: _measure(before) > 0, rules)
+    df = suffix_step(df, STEP4_SUFFIXES, lambda stem, before: (_measure(before) > 1) & ((F.col("_f") != "ion") | _ends(stem, "[st]")))
+    # step 5a, 5b
+    before = _cut(s, 1)
+    df = cut(df.withColumn("_n", F.when(_ends(w, "e") & ((_measure(before) > 1) | (
+        (_measure(before) == 1) & ~_cvc(_cut(w, 1), before))), 1).otherwise(0)))
+    df = cut(df.withColumn("_n", F.when((_measure(s) > 1) & _doubled(w, s) & _ends(w, "l"), 1).otherwise(0)))
+    return df.select(*keep, F.when(F.length(word) > 2, w).otherwise(F.col(word)).alias(out))
+
+
+def stem_token_arrays(df: DataFrame, *, key: str | list[str], tokens_col: str = "tokens",
                       max_broadcast_rows: int | None = None) -> DataFrame:
-    """Replace every token array by its stems (see module doc)."""
-    ship_package(df.sparkSession)
-    exploded = (df.select(key, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
+    """Replace every token array by its stems (see module doc); ``key`` names the rows."""
+    keys = [key] if isinstance(key, str) else list(key)
+    limit = broadcast_row_limit(df.sparkSession) if max_broadcast_rows is None else max_broadcast_rows
+    exploded = (reused(df.select(*keys, tokens_col)).select(*keys, F.posexplode_outer(tokens_col).alias("_pos", "_tok"))
                 .filter(F.col("_tok").isNotNull()))
-    vocab = exploded.select("_tok").distinct().withColumn("_stem", porter_stem_udf("_tok"))
-    stems, _ = broadcast_if_bounded(vocab, max_broadcast_rows)
-    regrouped = (exploded.join(stems, "_tok")
-                 .groupBy(key)
-                 .agg(F.array_sort(F.collect_list(F.struct("_pos", "_stem"))).alias("_s"))
-                 .select(key, F.transform("_s", lambda x: x["_stem"]).alias("_stemmed")))
-    return (df.join(regrouped, key, "left")
+    vocab = reused(stem_words(exploded.groupBy("_tok").agg(F.count(F.lit(1)).alias("_freq")), "_tok", "_stem"))
+    # the frequent tokens, by powers of two of the frequency, as many as may be broadcast
+    sizes = vocab.groupBy(F.floor(F.log2("_freq")).cast("int").alias("size")).count().collect()  # at most 64 rows
+    least, held, rest = 1 << 62, 0, 0
+    for size, n in sorted(((r["size"], r["count"]) for r in sizes), reverse=True):
+        if rest or held + n > limit:
+            rest += n
+        else:
+            least, held = 1 << size, held + n
+    head = vocab.where(F.col("_freq") >= least).select("_tok", "_stem")
+    stemmed = exploded.join(F.broadcast(head), "_tok", "left")
+    if rest:
+        tail = vocab.where((F.col("_freq") < least) & (F.col("_stem") != F.col("_tok"))).select("_tok", "_stem")
+        open_ = stemmed.where(F.col("_stem").isNull()).drop("_stem").join(tail, "_tok", "left")
+        stemmed = stemmed.where(F.col("_stem").isNotNull()).unionByName(open_)
+    regrouped = (stemmed.groupBy(*keys)
+                 .agg(F.array_sort(F.collect_list(F.struct("_pos", F.coalesce("_stem", "_tok").alias("_stem")))).alias("_s"))
+                 .select(*keys, F.transform("_s", lambda x: x["_stem"]).alias("_stemmed")))
+    return (df.drop(tokens_col).join(regrouped, keys, "left")
             .withColumn(tokens_col, F.coalesce("_stemmed", F.array().cast("array<string>")))
             .drop("_stemmed"))

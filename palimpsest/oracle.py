@@ -12,6 +12,7 @@ from html.entities import html5
 
 from palimpsest.functions.text import (DIGIT_RUN, MINIMAL_STOPWORDS, NON_WORD_NON_SPACE,
                                        STRIP_EDGES, WS, WS_RUN)
+from palimpsest.operators.stemming import STEP2_RULES, STEP3_RULES, STEP4_SUFFIXES
 from palimpsest.sources.tables import REFERENCE_FORMAT, SOURCE_ID_FORMAT, SUSPICIOUS_ID_FORMAT
 
 
@@ -21,17 +22,16 @@ def q(s: str) -> str:
 
 
 # Markup and references as this oracle states them (RE2 has no possessive repetition and
-# needs none).
-_MARKUP = (r"<!--(?s:.)*?-->", r"<script[^>]*>(?s:.)*?</script[^>]*>", r"<style[^>]*>(?s:.)*?</style[^>]*>",
-           r"<template[^>]*>(?s:.)*?</template[^>]*>", r"<[!?][^>]*>",
-           r"""</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>""")
+# needs none; alternatives are tried in this order).
+_MARKUP = "|".join((r"<!--(?:-?>|(?s:.)*?(?:--!?>|\z))", r"<script(?:[\s/][^>]*)?>(?s:.)*?(?:</script[^>]*>|\z)",
+                    r"<style(?:[\s/][^>]*)?>(?s:.)*?(?:</style[^>]*>|\z)", r"<template(?:[\s/][^>]*)?>(?s:.)*?(?:</template[^>]*>|\z)",
+                    r"<[!?][^>]*>", r"""</?[a-z](?:[^>"']|"[^"]*"|'[^']*')*>"""))
 _REF = r"&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{0,31});"
 _NAMED = {f"&{k}": v for k, v in html5.items() if k[-1] == ";" and k.islower()}
 
 
 def strip_html_sql(t: str) -> str:
-    for p in _MARKUP:
-        t = f"regexp_replace({t}, {q(p)}, '', 'g')"
+    t = f"regexp_replace({t}, {q(_MARKUP)}, '', 'g')"
     names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in sorted(_NAMED.items())) + "}"
     code = "CASE WHEN r[3] = 'x' THEN cast('0x' || r[4:-2] AS INT) ELSE cast(r[3:-2] AS INT) END"
     char = (f"list_transform([{code}], lambda c: CASE WHEN c = 0 OR c > 1114111 OR c BETWEEN 55296 AND 57343 "
@@ -57,6 +57,57 @@ def tokens_sql(t: str, html: bool = True) -> str:
     return f"list_filter({split}, lambda x: NOT list_contains({stop}, x))"
 
 
+def stem_ctes(words: str, out: str = "stems") -> str:
+    """CTEs from ``words`` (a query of distinct ``tok``) to ``out(tok, stem)``: the 1980 Porter
+    algorithm, a step a CTE, on the word ``w`` and its vowels and consonants ``s``."""
+    m = lambda s: f"len(regexp_extract_all({s}, 'V+C'))"
+    cut = lambda x, n: f"left({x}, length({x}) - ({n}))"
+    double = "length(w) >= 2 AND right(w, 1) = left(right(w, 2), 1) AND suffix(s, 'C')"
+    cvc = lambda w, s: f"(suffix({s}, 'CVC') AND right({w}, 1) NOT IN ('w', 'x', 'y'))"
+
+    def longest(suffixes):
+        return "CASE " + " ".join(f"WHEN suffix(w, {q(f)}) THEN {q(f)}" for f in sorted(suffixes, key=len, reverse=True)) + " ELSE '' END"
+
+    def rules(source, name, rules):
+        new = "CASE f " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in rules) + " END"
+        vowels = "regexp_replace(regexp_replace(r, '[^aeiou]', 'C', 'g'), '[aeiou]', 'V', 'g')"
+        return f"""
+{name}a AS (SELECT tok, w, s, {longest([a for a, _ in rules])} AS f FROM {source}),
+{name}b AS (SELECT tok, w, s, f, f <> '' AND {m(cut('s', 'length(f)'))} > 0 AS x, {new} AS r FROM {name}a),
+{name} AS (SELECT tok, CASE WHEN x THEN {cut('w', 'length(f)')} || r ELSE w END AS w,
+       CASE WHEN x THEN {cut('s', 'length(f)')} || {vowels} ELSE s END AS s FROM {name}b)"""
+
+    return f"""
+p0 AS (SELECT tok, tok AS w, list_reduce(string_split(tok, ''), lambda a, c: a || CASE
+         WHEN c = 'y' THEN CASE WHEN suffix(a, 'C') THEN 'V' ELSE 'C' END WHEN c IN ('a', 'e', 'i', 'o', 'u') THEN 'V' ELSE 'C' END, '') AS s
+       FROM ({words})),
+p1n AS (SELECT *, CASE WHEN suffix(w, 'sses') OR suffix(w, 'ies') THEN 2 WHEN suffix(w, 'ss') THEN 0 WHEN suffix(w, 's') THEN 1 ELSE 0 END AS n FROM p0),
+p1 AS (SELECT tok, {cut('w', 'n')} AS w, {cut('s', 'n')} AS s FROM p1n),
+p2n AS (SELECT *, CASE WHEN suffix(w, 'eed') THEN CASE WHEN {m(cut('s', 3))} > 0 THEN 1 ELSE 0 END
+         WHEN suffix(w, 'ed') AND contains({cut('s', 2)}, 'V') THEN 2 WHEN suffix(w, 'ing') AND contains({cut('s', 3)}, 'V') THEN 3 ELSE 0 END AS n FROM p1),
+p2 AS (SELECT tok, {cut('w', 'n')} AS w, {cut('s', 'n')} AS s, n >= 2 AS x FROM p2n),
+p3x AS (SELECT *, CASE WHEN NOT x THEN 0 WHEN suffix(w, 'at') OR suffix(w, 'bl') OR suffix(w, 'iz') THEN 1
+         WHEN {double} AND right(w, 1) NOT IN ('l', 's', 'z') THEN -1 WHEN {m('s')} = 1 AND {cvc('w', 's')} THEN 1 ELSE 0 END AS e FROM p2),
+p3 AS (SELECT tok, CASE e WHEN 1 THEN w || 'e' WHEN -1 THEN {cut('w', 1)} ELSE w END AS w,
+         CASE e WHEN 1 THEN s || 'V' WHEN -1 THEN {cut('s', 1)} ELSE s END AS s FROM p3x),
+p4x AS (SELECT *, suffix(w, 'y') AND contains({cut('s', 1)}, 'V') AS x FROM p3),
+p4 AS (SELECT tok, CASE WHEN x THEN {cut('w', 1)} || 'i' ELSE w END AS w, CASE WHEN x THEN {cut('s', 1)} || 'V' ELSE s END AS s FROM p4x),
+{rules('p4', 'p5', STEP2_RULES)},
+{rules('p5', 'p6', STEP3_RULES)},
+p7a AS (SELECT *, {longest(STEP4_SUFFIXES)} AS f FROM p6),
+p7x AS (SELECT *, f <> '' AND {m(cut('s', 'length(f)'))} > 1 AND (f <> 'ion' OR right({cut('w', 3)}, 1) IN ('s', 't')) AS x FROM p7a),
+p7 AS (SELECT tok, CASE WHEN x THEN {cut('w', 'length(f)')} ELSE w END AS w, CASE WHEN x THEN {cut('s', 'length(f)')} ELSE s END AS s FROM p7x),
+p8x AS (SELECT *, suffix(w, 'e') AND ({m(cut('s', 1))} > 1 OR ({m(cut('s', 1))} = 1 AND NOT {cvc(cut('w', 1), cut('s', 1))})) AS x FROM p7),
+p8 AS (SELECT tok, CASE WHEN x THEN {cut('w', 1)} ELSE w END AS w, CASE WHEN x THEN {cut('s', 1)} ELSE s END AS s FROM p8x),
+{out} AS (SELECT tok, CASE WHEN length(tok) <= 2 THEN tok WHEN {m('s')} > 1 AND {double} AND suffix(w, 'l') THEN {cut('w', 1)} ELSE w END AS stem FROM p8)"""
+
+
+def token_stems_sql() -> str:
+    """Every distinct token of ``documents`` and its stem."""
+    words = f"SELECT DISTINCT unnest({tokens_sql('text')}) AS tok FROM documents"
+    return f"WITH {stem_ctes(words)}\nSELECT tok AS token, stem FROM stems"
+
+
 def terms_sql(tok: str) -> str:
     """Unigrams + bigrams of the vectorizer tokens (length >= 2) in column ``tok``."""
     return (f"list_concat({tok}, list_transform(range(1, len({tok})), "
@@ -87,14 +138,21 @@ def chunks_sql(sent: str, k: int, whole: str) -> str:
             f"WHEN {strip_sql(whole)} <> '' THEN [{whole}] ELSE [] END")
 
 
-def corpus_ctes(threshold: float = 0.3) -> str:
+def corpus_ctes(threshold: float = 0.3, stem: bool = False) -> str:
     """CTEs: src/sus docs, TF-IDF weights (IDF on sources), matched pairs,
     derived truth and truth-annotated matches ``matches``."""
+    if stem:
+        words = " UNION ".join(f"SELECT unnest({tokens_sql('text')}) AS tok FROM {t}" for t in ("documents", "benchmark"))
+        side = lambda t: (f"(SELECT id, list(stem ORDER BY pos) FILTER (WHERE length(stem) >= 2) AS tok FROM (SELECT id, unnest(tok) AS tok, "
+                          f"generate_subscripts(tok, 1) AS pos FROM (SELECT id, {tokens_sql('text')} AS tok FROM {t})) JOIN stems USING (tok) GROUP BY id)")
+        tokens = f"{stem_ctes(words)},\nsrc_tok AS {side('src')},\nsus_tok AS {side('sus')},"
+    else:
+        tokens = f"""src_tok AS (SELECT id, list_filter({tokens_sql('text')}, lambda x: length(x) >= 2) AS tok FROM src),
+sus_tok AS (SELECT id, list_filter({tokens_sql('text')}, lambda x: length(x) >= 2) AS tok FROM sus),"""
     return f"""
 src AS (SELECT printf({q(SOURCE_ID_FORMAT)}, item_id) AS id, text FROM benchmark),
 sus AS (SELECT printf({q(SUSPICIOUS_ID_FORMAT)}, doc_id) AS id, text FROM documents),
-src_tok AS (SELECT id, list_filter({tokens_sql('text')}, lambda x: length(x) >= 2) AS tok FROM src),
-sus_tok AS (SELECT id, list_filter({tokens_sql('text')}, lambda x: length(x) >= 2) AS tok FROM sus),
+{tokens}
 src_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql('tok')}) AS term FROM src_tok) GROUP BY id, term),
 sus_tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({terms_sql('tok')}) AS term FROM sus_tok) GROUP BY id, term),
 n_src AS (SELECT count(*) AS n FROM src),
@@ -120,7 +178,7 @@ matches AS (SELECT p.suspicious_id, p.source_id, p.sim AS similarity_score,
             FROM pairs p LEFT JOIN hits h USING (suspicious_id, source_id))"""
 
 
-def chunk_ctes(threshold: float = 0.3, k: int = 5) -> str:
+def chunk_ctes(threshold: float = 0.3, k: int = 5, stem: bool = False) -> str:
     """CTEs for chunk mode over the truth pairs: ``matches`` (best source
     chunk per valid suspicious chunk, full texts) and ``summary`` per pair."""
     whole = "translate(coalesce(text, ''), '!?', '..')"
@@ -131,12 +189,20 @@ def chunk_ctes(threshold: float = 0.3, k: int = 5) -> str:
         FROM (SELECT {key}, text, {sentences_period_sql('text')} AS sent FROM {table}
               WHERE {key} IN (SELECT {ids} FROM pairs))))"""
 
+    sides = (("sus", "documents", "doc_id"), ("src", "benchmark", "item_id"))
+    suffix = "0" if stem else ""
+    tokens = ",\n".join(f"{n}_c{suffix} AS (SELECT doc, idx, txt, {tokens_sql('txt')} AS all_tok FROM {chunk_rows(t, k_, k_)})" for n, t, k_ in sides) + ","
+    if stem:
+        words = " UNION ".join(f"SELECT unnest(all_tok) AS tok FROM {n}_c0" for n, _, _ in sides)
+        tokens += stem_ctes(words) + ",\n" + ",\n".join(
+            f"{n}_c AS (SELECT doc, idx, txt, coalesce(st, []) AS all_tok FROM {n}_c0 LEFT JOIN (SELECT doc, idx, list(stem ORDER BY pos) AS st FROM "
+            f"(SELECT doc, idx, unnest(all_tok) AS tok, generate_subscripts(all_tok, 1) AS pos FROM {n}_c0) JOIN stems USING (tok) "
+            f"GROUP BY doc, idx) USING (doc, idx))" for n, _, _ in sides) + ","
     return f"""
 truth AS (SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
 pairs AS (SELECT DISTINCT printf({q(SUSPICIOUS_ID_FORMAT)}, doc_id) AS suspicious_id,
                  printf({q(SOURCE_ID_FORMAT)}, item_id) AS source_id, doc_id, item_id FROM truth),
-sus_c AS (SELECT doc, idx, txt, {tokens_sql('txt')} AS all_tok FROM {chunk_rows('documents', 'doc_id', 'doc_id')}),
-src_c AS (SELECT doc, idx, txt, {tokens_sql('txt')} AS all_tok FROM {chunk_rows('benchmark', 'item_id', 'item_id')}),
+{tokens}
 units AS (SELECT p.suspicious_id, p.source_id, 'sus' AS side, c.idx,
                  list_filter(c.all_tok, lambda x: length(x) >= 2) AS tok
           FROM pairs p JOIN sus_c c ON c.doc = p.doc_id WHERE len(c.all_tok) > 0

@@ -22,6 +22,7 @@ from palimpsest.functions.text import MINIMAL_STOPWORDS, preview, remove_stopwor
 from palimpsest.operators.bestmatch import best_matches, pair_summary
 from palimpsest.operators.simjoin import cosine_pairs
 from palimpsest.operators.sizing import reused
+from palimpsest.operators.stemming import stem_token_arrays
 from palimpsest.operators.vectorize import fit_idf, term_counts, tfidf_weights
 from palimpsest.plans.corpus import with_terms
 from palimpsest.session import text_partitions
@@ -31,8 +32,8 @@ PAIR = ["suspicious_id", "source_id"]
 
 def document_chunk_units(documents: DataFrame, *, key: str = "id", text: str = "raw_text",
                          mode: str = "tfidf", chunk_size: int | None = None,
-                         html: bool = True, stopwords=MINIMAL_STOPWORDS) -> DataFrame:
-    """Chunks of each document with their tokens:
+                         html: bool = True, stopwords=MINIMAL_STOPWORDS, stem: bool = True) -> DataFrame:
+    """Chunks of each document with their (stemmed) tokens:
     ``(key, chunk_idx, chunk_text, tokens, valid)``.
 
     ``valid`` is the reference's filter on chunks whose processed text is
@@ -40,8 +41,10 @@ def document_chunk_units(documents: DataFrame, *, key: str = "id", text: str = "
     chunks = with_chunks(documents.select(key, text), text, mode, chunk_size).drop(text)
     units = explode_chunks(chunks)
     tokens = remove_stopwords(word_tokens(F.col("chunk_text"), html=html), stopwords)
-    return (units.withColumn("tokens", tokens)
-            .withColumn("valid", F.size("tokens") > 0))
+    units = units.withColumn("tokens", tokens)
+    if stem:
+        units = stem_token_arrays(reused(units), key=[key, "chunk_idx"])
+    return units.withColumn("valid", F.size("tokens") > 0)
 
 
 def _pair_units(pairs: DataFrame, chunks: DataFrame, side: str, key: str) -> DataFrame:
@@ -53,7 +56,7 @@ def _pair_units(pairs: DataFrame, chunks: DataFrame, side: str, key: str) -> Dat
 def compare_chunked(documents: DataFrame, pairs: DataFrame, threshold: float = 0.3,
                     ngram_range=(1, 2), chunk_size: int = 5, *, key: str = "id",
                     text: str = "raw_text", html: bool = True,
-                    stopwords=MINIMAL_STOPWORDS) -> tuple[DataFrame, DataFrame]:
+                    stopwords=MINIMAL_STOPWORDS, stem: bool = True) -> tuple[DataFrame, DataFrame]:
     """C3 over many pairs. Returns ``(matches, summary)``.
 
     ``matches``: ``suspicious_id, source_id, suspicious_chunk_idx,
@@ -67,7 +70,7 @@ def compare_chunked(documents: DataFrame, pairs: DataFrame, threshold: float = 0
     spark = documents.sparkSession
     docs = documents.join(wanted, key, "left_semi").repartition(text_partitions(spark), key)
     chunks = reused(document_chunk_units(docs, key=key, text=text, chunk_size=chunk_size,
-                                         html=html, stopwords=stopwords))
+                                         html=html, stopwords=stopwords, stem=stem))
 
     # Everything below is keyed by pair first (term counts, per-pair IDF, the
     # L2 window, the cosine join, the top-1): one hash partitioning by pair

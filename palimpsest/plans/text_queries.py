@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.sentences import explode_chunks, with_chunks
 from palimpsest.functions.text import (join_tokens, lower_html_text, preview, remove_stopwords,
-                                       word_tokens)
+                                       word_runs, word_tokens)
 from palimpsest.operators.sizing import ensure_parallel
 from palimpsest.plans.corpus import corpus_weights, with_terms
+from palimpsest.operators.stemming import stem_words
 from palimpsest.operators.vectorize import fit_idf, term_counts
 from palimpsest.sources.tables import corpus_from_tables, read_table
 
@@ -24,12 +25,18 @@ def prepared_documents(spark: SparkSession, sf_dir: str, html: bool = True) -> D
                     join_tokens("tokens").alias("processed_text")))
 
 
+def token_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7 over ``documents``: ``token, stem`` of every distinct token."""
+    docs = ensure_parallel(read_table(spark, sf_dir, "documents"), "doc_id")
+    toks = docs.select(F.explode_outer(remove_stopwords(word_tokens(F.col("text")))).alias("token"))
+    return stem_words(toks.where(F.col("token").isNotNull()).distinct(), "token")
+
+
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T2 over ``pages``: lower-cased visible text and its processed form."""
     pages = ensure_parallel(read_table(spark, sf_dir, "pages"), "page_id")
-    text = lower_html_text(F.col("html"))
-    toks = remove_stopwords(word_tokens(F.col("html"), html=True))
-    return pages.select("page_id", text.alias("text"), join_tokens(toks).alias("processed_text"))
+    stripped = pages.select("page_id", lower_html_text(F.col("html")).alias("text"))
+    return stripped.withColumn("processed_text", join_tokens(remove_stopwords(word_runs("text"))))
 
 
 def document_chunks(spark: SparkSession, sf_dir: str, mode: str = "tfidf",
@@ -66,5 +73,5 @@ def suspicious_weights(spark: SparkSession, sf_dir: str, ngram_range=(1, 2)) ->
     """V5/V6: L2-normalised TF-IDF of every document under the source IDF:
     ``suspicious_id, term, w``."""
     corpus = corpus_from_tables(spark, sf_dir, with_truth=False)
-    sus_w, _ = corpus_weights(corpus, ngram_range)
+    sus_w, _ = corpus_weights(corpus, ngram_range, prep={"stem": False})
     return sus_w.withColumnRenamed("id", "suspicious_id")

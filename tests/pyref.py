@@ -67,3 +67,126 @@ def chunks(text: str, k: int, mode: str = "tfidf") -> list[str]:
     if not out and text.strip():
         out = [text]
     return out
+
+
+# The suffix rules of the 1980 algorithm, in its order.
+STEP2_RULES = (
+    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"),
+    ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
+    ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"),
+    ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
+    ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"),
+)
+STEP3_RULES = (
+    ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"),
+    ("ful", ""), ("ness", ""),
+)
+STEP4_SUFFIXES = (
+    "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent",
+    "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize",
+)
+
+
+def _is_consonant(word: str, i: int) -> bool:
+    if word[i] != "y":
+        return word[i] not in "aeiou"
+    # a run of y alternates; its first one is a consonant at the start or after a vowel
+    j = i
+    while j > 0 and word[j - 1] == "y":
+        j -= 1
+    first = j == 0 or word[j - 1] in "aeiou"
+    return first == ((i - j) % 2 == 0)
+
+
+def _measure(stem: str) -> int:
+    """m in [C](VC)^m[V]."""
+    m, prev_vowel, consonant = 0, False, False
+    for i, ch in enumerate(stem):
+        # y is a consonant at the start and after a vowel
+        consonant = (i == 0 or not consonant) if ch == "y" else ch not in "aeiou"
+        if prev_vowel and consonant:
+            m += 1
+        prev_vowel = not consonant
+    return m
+
+
+def _has_vowel(stem: str) -> bool:
+    return any(not _is_consonant(stem, i) for i in range(len(stem)))
+
+
+def _double_consonant(word: str) -> bool:
+    return len(word) >= 2 and word[-1] == word[-2] and _is_consonant(word, len(word) - 1)
+
+
+def _cvc(word: str) -> bool:
+    if len(word) < 3:
+        return False
+    n = len(word)
+    return (_is_consonant(word, n - 3) and not _is_consonant(word, n - 2)
+            and _is_consonant(word, n - 1) and word[-1] not in "wxy")
+
+
+def _replace(word: str, suffix: str, repl: str, min_m: int) -> str | None:
+    if word.endswith(suffix):
+        stem = word[: len(word) - len(suffix)]
+        return stem + repl if _measure(stem) > min_m else word
+    return None
+
+
+def porter_stem(word: str) -> str:
+    """Stem one lower-case token."""
+    if len(word) <= 2:
+        return word
+    w = word
+    # step 1a
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith("ies"):
+        w = w[:-2]
+    elif w.endswith("ss"):
+        pass
+    elif w.endswith("s"):
+        w = w[:-1]
+    # step 1b
+    extra = False
+    if w.endswith("eed"):
+        if _measure(w[:-3]) > 0:
+            w = w[:-1]
+    elif w.endswith("ed") and _has_vowel(w[:-2]):
+        w, extra = w[:-2], True
+    elif w.endswith("ing") and _has_vowel(w[:-3]):
+        w, extra = w[:-3], True
+    if extra:
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif _double_consonant(w) and w[-1] not in "lsz":
+            w = w[:-1]
+        elif _measure(w) == 1 and _cvc(w):
+            w += "e"
+    # step 1c
+    if w.endswith("y") and _has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    # step 2, 3
+    for rules in (STEP2_RULES, STEP3_RULES):
+        for suffix, repl in rules:
+            out = _replace(w, suffix, repl, 0)
+            if out is not None:
+                w = out
+                break
+    # step 4
+    for suffix in STEP4_SUFFIXES:
+        if w.endswith(suffix):
+            stem = w[: len(w) - len(suffix)]
+            if _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t"))):
+                w = stem
+            break
+    # step 5a
+    if w.endswith("e"):
+        stem = w[:-1]
+        m = _measure(stem)
+        if m > 1 or (m == 1 and not _cvc(stem)):
+            w = stem
+    # step 5b
+    if _measure(w) > 1 and _double_consonant(w) and w.endswith("l"):
+        w = w[:-1]
+    return w

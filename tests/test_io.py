@@ -3,8 +3,6 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators.stemming import porter_stem, stem_token_arrays
-from palimpsest.operators.prepare import prepare_documents
 from palimpsest.plans.corpus import detect_reuse
 from palimpsest.plans.jobs import run_corpus_job, run_pair_job
 from palimpsest.sources.corpus import load_corpus
@@ -93,28 +91,6 @@ def test_pair_jobs(spark, corpus_root, tmp_path):
         assert os.listdir(tmp_path / mode / "chunk_similarities")
 
 
-@pytest.mark.parametrize("word,stem", [
-    ("caresses", "caress"), ("ponies", "poni"), ("ties", "ti"), ("cats", "cat"), ("feed", "feed"),
-    ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"),
-    ("conflated", "conflat"), ("troubled", "troubl"), ("sized", "size"), ("hopping", "hop"),
-    ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("sky", "sky"),
-    ("relational", "relat"), ("conditional", "condit"), ("rational", "ration"),
-    ("generalizations", "gener"), ("oscillators", "oscil"), ("is", "is"),
-])
-def test_porter(word, stem):
-    assert porter_stem(word) == stem
-
-
-def test_stem_token_arrays(spark):
-    df = spark.createDataFrame([(1, ["running", "cats", "run"]), (2, []), (3, ["ponies"])],
-                               "id int, tokens array<string>")
-    got = {r.id: r.tokens for r in stem_token_arrays(df, key="id").collect()}
-    assert got == {1: ["run", "cat", "run"], 2: [], 3: ["poni"]}
-    stemmed = prepare_documents(spark.createDataFrame([("a", "Running cats")], "id string, raw_text string"),
-                                stem=True)
-    assert stemmed.first().processed_text == "run cat"
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("s1", "source", SRC["source-document00001"]), ("s2", "source", SRC["source-document00002"])]
     rows += [(f"u{i}", "suspicious", t) for i, (t, _) in enumerate(

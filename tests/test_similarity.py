@@ -43,7 +43,7 @@ def _expected(src, sus, threshold):
 def test_detect_reuse_matches_brute_force(spark, strategy):
     src, sus = _docs(12, 1), _docs(15, 2) + ["", "a the"]
     sus[3] = src[4]  # a verbatim copy
-    res = detect_reuse(_corpus(spark, src, sus), threshold=0.3, strategy=strategy).collect()
+    res = detect_reuse(_corpus(spark, src, sus), threshold=0.3, strategy=strategy, prep={"stem": False}).collect()
     got = {(r.suspicious_id, r.source_id): r.similarity_score for r in res}
     exp = _expected(src, sus, 0.3)
     assert got.keys() == exp.keys()
@@ -123,7 +123,7 @@ def test_passage_containment_brute_force(spark):
 
 def test_corpus_counts(spark):
     corpus = _corpus(spark, ["alpha beta"], ["alpha beta", "zeta"])
-    res = detect_reuse(corpus)
+    res = detect_reuse(corpus, prep={"stem": False})
     c = corpus_counts(corpus, res).first()
     assert (c.documents, c.source_documents, c.suspicious_documents, c.matches) == (3, 1, 2, 1)
 
@@ -168,7 +168,7 @@ def test_flagship_plan_moves_no_text(spark):
     then by id); no exchange carries a text, and every join is a broadcast."""
     src, sus = _docs(10, 5), _docs(30, 6)
     corpus = _corpus(spark, src, sus).repartition(2 * spark.sparkContext.defaultParallelism).checkpoint()
-    plan = _executed_plan(detect_reuse(corpus))
+    plan = _executed_plan(detect_reuse(corpus, prep={"stem": False}))
     final = plan.split("== Initial Plan ==")[0]
     assert "SortMergeJoin" not in final
     details = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", plan)
