@@ -10,8 +10,9 @@ Fit, on a bounded sample of distinct vectors (``sample_rows``, drawn by hash):
    how its neighbours are spread over the parts.
 
 Every row goes to its most probable part. A query goes to its ``probes`` most probable
-parts and is compared with all of their rows, in blocks, in double precision; the best per block
-are merged. ``probes`` isn't guessed: the exact neighbours of a bounded set of queries
+parts and is compared with all of their rows, in blocks, in double precision. Its first part comes first:
+the last of its best rows there is a bound below which rows of the other parts can't be among the best, so
+they hand on little. ``probes`` isn't guessed: the exact neighbours of a bounded set of queries
 (``measured_queries``) over all rows show in which of a query's parts they lie, and the fewest probes
 that reach ``recall`` of them are taken. Vectors without structure need many.
 
@@ -27,6 +28,7 @@ is not a number counts as minus infinity; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,12 +199,15 @@ def _nearest(k: int):
         if queries.num_rows and rows.num_rows:
             q, x = matrix(queries.column("vec")), matrix(rows.column("vec"))
             own, rid, ident = numpy_of(queries, "rid"), numpy_of(rows, "rid"), numpy_of(rows, "id")
+            least = numpy_of(queries, "least")
             with np.errstate(over="ignore", invalid="ignore"):
                 rounding = 8 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(x, axis=1).max() * np.linalg.norm(q, axis=1)
                 for i, j in strips(len(q), len(x)):
                     s = np.nan_to_num(q[i:j] @ x.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                     s[own[i:j, None] == rid[None, :]] = -np.inf
-                    near = [at_least(row, k + 1, e) for row, e in zip(s, np.nan_to_num(rounding[i:j], nan=np.inf, posinf=np.inf))]
+                    slack = np.nan_to_num(rounding[i:j], nan=np.inf, posinf=np.inf)
+                    near = [u[at_least(row[u], k + 1, e)] for row, e, b in zip(s, slack, least[i:j])
+                            for u in [np.flatnonzero(row >= b - e) if b > -np.inf else np.arange(len(row))]]
                     a = np.repeat(np.arange(i, j), [len(c) for c in near])
                     b = np.concatenate(near)
                     a, b = a[own[a] != rid[b]], b[own[a] != rid[b]]
@@ -228,7 +233,7 @@ def probes_for(base: DataFrame, router: Router, dim: int, k: int, recall: float,
     if router.parts == 1:
         return 1, 1.0
     asked = base.where(F.col("query") & (F.col("dim") == dim)).orderBy(F.xxhash64("rid")).limit(measured_queries)
-    asked = written(asked.select("rid", "vec", "dim"))
+    asked = written(asked.select("rid", "vec", "dim", F.lit(-math.inf).alias("least")))
     truth = best(in_blocks(base.where(F.col("dim") == dim).select("rid", "id", "vec", "dim"), asked, ["dim"], block, _nearest(k), FOUND), ["q_rid"], k)
     rows = truth.select("q_rid", "rid").join(base.select("rid", "vec"), "rid").select("q_rid", "vec").collect()  # measured_queries * k at most
     if not rows:
@@ -259,7 +264,15 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", v
     vec = base.schema["vec"].dataType.simpleString()
     routed = written(map_batches(base, _route(router, dim, probes), f"rid long, id long, vec {vec}, dim int, query boolean, parts array<int>"))
     index = routed.select("rid", "id", "vec", "dim", F.col("parts")[0].alias("part"))
-    asked = routed.where("query").select("rid", "vec", "dim", F.explode("parts").alias("part"))
-    found = best(in_blocks(index, asked, ["dim", "part"], block, _nearest(k), FOUND), ["q_rid"], k)
+    asked = routed.where("query").select("rid", "vec", "dim", F.posexplode("parts").alias("probe", "part"))
+    asked = asked.withColumn("least", F.lit(-math.inf))
+    found = best(in_blocks(index, asked.where("probe = 0").drop("probe"), ["dim", "part"], block, _nearest(k), FOUND), ["q_rid"], k)
+    if probes > 1:
+        first = written(found.drop("rank"))
+        bound = first.groupBy(F.col("q_rid").alias("rid")).agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n"))
+        bound = bound.where(F.col("n") == k).drop("n")
+        others = asked.where("probe > 0").drop("probe").join(bound, "rid", "left").withColumn(
+            "least", F.coalesce("bound", "least")).drop("bound")
+        found = best(first.unionByName(in_blocks(index, others, ["dim", "part"], block, _nearest(k), FOUND)), ["q_rid"], k)
     names = routed.where("query").select(F.col("rid").alias("q_rid"), F.col("id").alias("query_id"))
     return names.join(found, "q_rid").select("query_id", "rank", F.col("id").alias("vec_id"), "score")
