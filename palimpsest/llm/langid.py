@@ -9,8 +9,8 @@ language with the highest posterior under equal priors is predicted.
 Probabilities are learned by expectation maximisation: the words of labelled rows are counted
 per language, forward-backward passes over the distinct words give expected
 piece counts, summed by Spark, and a backing-off to the pooled counts
-smooths them. At most about ``sample_rows`` labelled rows per language are used for
-that (drawn by a hash of the key); every text is scored whole.
+smooths them. At most ``sample_rows`` distinct labelled rows per language are used for
+that (drawn by a hash of key and text); every text is scored whole.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; a
 null key or label is not learned from; no labelled row at all makes every text ``und``; rows
@@ -25,10 +25,10 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_batches, materialised, record_batch, slices, spread
+from palimpsest.llm.common import map_batches, materialised, record_batch, slices, spread, without
 
 MARK = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -135,18 +135,21 @@ def fit(train: DataFrame, vocab_path: str, sample_rows: int = 500, steps: int =
         key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and the table of piece probabilities (pieces x languages, a zero row last)."""
     spark = train.sparkSession
-    rows = train.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = train.where(F.col(key).isNotNull() & F.col(lang).isNotNull() & F.col(text).isNotNull())
     # one number per language
     size = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang).alias("lang")).agg(
         F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(size)
     if not langs:
         return [], np.zeros((1, 0))
-    keep = F.lit(False)
+    # drawn by key and text, so that a repeated key is many draws; a repeated row is one
+    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    share = F.lit(0.0)
     for name, n in size.items():
-        share = min(1.0, sample_rows / n)
-        keep = keep | ((F.col(lang) == name) & (F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 20)) < share * (1 << 20)))
-    sample = rows.where(keep).select(F.col(lang).alias("lang"), F.col(text).alias("t"))
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, 2 * sample_rows / n))).otherwise(share)
+    drawn = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < share * (1 << 20)).groupBy("lang", "h").agg(F.first("t").alias("t"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    sample = spread(drawn.withColumn("order", order).where(F.col("order") <= sample_rows).select("lang", "t"))
     words = materialised(map_batches(sample, _word_rows, "lang string, word string").groupBy("lang", "word").agg(
         F.count(F.lit(1)).alias("n")))
     n_pieces = len(vocabulary(vocab_path)) + 1
@@ -218,26 +221,14 @@ def predict(docs: DataFrame, vocab_path: str, model: tuple[list[str], np.ndarray
         .withColumnRenamed("k", key)
 
 
-def _keep(path: str, langs: list[str], theta, text: str, least: float):
-    predict_batches = _predict(path, langs, theta)
+def keep_known(docs: DataFrame, vocab_path: str, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of ``docs``, whole, that have a language: all but those predicted ``und``.
 
-    def run(batches):
-        for batch in batches:
-            at = pa.array(range(batch.num_rows), pa.int64())
-            scored = predict_batches([record_batch({"k": at, "t": batch.column(text)})])
-            kept = [k for part in scored for k, name, score in zip(
-                *(part.column(c).to_pylist() for c in ("k", "lang_pred", "score"))) if name != "und" and score >= least]
-            yield batch.take(pa.array(kept, pa.int64()))
-
-    return run
-
-
-def keep_known(docs: DataFrame, vocab_path: str, model: tuple[list[str], np.ndarray], text: str = "text",
-               least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, whole, whose language is known with a score of at least ``least``."""
-    langs, table = model
-    theta = docs.sparkSession.sparkContext.broadcast(table)
-    return map_batches(docs, _keep(vocab_path, langs, theta, text, least), docs.schema)
+    Only a digest of the text and the prediction come back from Python; the texts without a language, by
+    their digests, are taken from ``docs`` where they are."""
+    digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    unknown = predict(docs.select(digest.alias("k"), F.col(text).alias("t")), vocab_path, model, "k", "t").where("lang_pred = 'und'")
+    return without(docs, unknown.select("k").distinct(), {"k": digest})
 
 
 def held_out(key: Column) -> Column:

@@ -218,29 +218,34 @@ def search_in(codes, group, max_bits, lo, hi):
     return i + first, j + first
 
 
-def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
-                  max_bits: int = 2) -> DataFrame:
-    """``key, fingerprint, component_id, text_hash`` for every row of ``docs``; the last is
-    Spark's ``xxhash64`` of the text, which tells rows of one key apart."""
+def _classes(docs: DataFrame, key: str, text: str, shingle: int, max_bits: int) -> DataFrame:
+    """``k, fp, text_hash`` of every row and ``first``, its class's first row as ``(null key?, k, text_hash)``."""
     prints = materialised(fingerprints(docs, key, text, shingle))
-    nodes = materialised(prints.groupBy("fp").agg(F.min("k").alias("least")))
+    nodes = materialised(prints.groupBy("fp").agg(F.min(F.struct(F.col("k").isNull().alias("no_key"), "k", "text_hash")).alias("least")))
     members = _members(nodes, max_bits + 1)
     sorted_ = members.withColumn("rank", gray_rank(F.col("fp"))).repartition("mask", "value").sortWithinPartitions(
         "mask", "value", "rank").select("mask", "value", "fp")
     roots = connected_components(map_batches(sorted_, _links(max_bits), "a long, b long"))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.join(of_root, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+    of_root = linked.groupBy("root").agg(F.min("least").alias("first"))
+    return prints.join(linked.join(of_root, "root").select("fp", "first"), "fp")
+
+
+def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
+                  max_bits: int = 2) -> DataFrame:
+    """``key, fingerprint, component_id, text_hash`` for every row of ``docs``; the last is
+    Spark's ``xxhash64`` of the text, which tells rows of one key apart."""
+    return _classes(docs, key, text, shingle, max_bits).select(
+        F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.k").alias("component_id"),
         "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 3,
                      max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs``, whole, that stay: of each class the one whose key is the class id."""
-    gone = simhash_dedup(docs, key, text, shingle, max_bits).select(
-        F.col(key).alias("k"), "text_hash", "component_id").where(~F.col("k").eqNullSafe(F.col("component_id")))
+    """The rows of ``docs``, whole, that stay: of each class the one with the smallest key (null
+    keys last) and, among rows of that key, the smallest text hash. Rows equal in key and text are one."""
+    gone = _classes(docs, key, text, shingle, max_bits).where(
+        ~(F.col("k").eqNullSafe(F.col("first.k")) & (F.col("text_hash") == F.col("first.text_hash")))).select("k", "text_hash")
     return without(docs, gone.distinct(), {
         "k": F.col(key), "text_hash": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})

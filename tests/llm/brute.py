@@ -67,6 +67,18 @@ def simhash(pairs):
     return [(k, f"{f:016x}", least.get(r)) for (k, _), f, r in zip(pairs, fps, roots)]
 
 
+def first_of_classes(pairs):
+    """The rows that stay of each class: smallest key, null keys last, then smallest text hash."""
+    def order(pair):
+        k, t = pair
+        h = xxhash.xxh64_intdigest((t or "").encode(), seed=42)
+        return k is None, k or 0, h - (1 << 64) if h >> 63 else h
+    first = {}
+    for r, pair in zip(classes([fingerprint(t) for _, t in pairs]), pairs):
+        first[r] = min(first.get(r, pair), pair, key=order)
+    return {(k, t or "") for k, t in first.values()}
+
+
 def repeats(pairs, width=100):
     """Per row (in order of key and text) its bytes, a mask of removed ones."""
     order = sorted(range(len(pairs)), key=lambda i: (KEY(pairs[i][0]), (pairs[i][1] or "").encode()))

@@ -52,7 +52,21 @@ def test_simhash(awkward):
 def test_drop_near_copies(awkward):
     got = simhash.drop_near_copies(awkward)
     assert got.columns == awkward.columns
-    assert collected(got, "doc_id") == Counter((k,) for k, _, c in brute.simhash(awkward_texts()) if k == c)
+    stay = brute.first_of_classes(awkward_texts())
+    assert collected(got, "doc_id", "text") == Counter((k, t) for k, t in awkward_texts() if (k, t or "") in stay)
+
+
+def test_one_near_copy_stays_whatever_the_keys(make):
+    """Null keys, and near copies under one key."""
+    base = " ".join(f"w{i}" for i in range(400))
+    near = [base + f" tail{i}" for i in range(6)]
+    prints = {brute.fingerprint(t) for t in near}
+    assert all(any((a ^ b).bit_count() <= 2 for b in prints if b != a) or len(prints) == 1 for a in prints)
+    for keys in ([None] * 6, [5] * 6, [None, 5, 5, 6, None, 9]):
+        pairs = list(zip(keys, near))
+        stay = brute.first_of_classes(pairs)
+        got = collected(simhash.drop_near_copies(make(pairs)), "doc_id", "text")
+        assert got == Counter(stay) and len(stay) == len(set(brute.classes([brute.fingerprint(t) for t in near])))
 
 
 @pytest.mark.parametrize("group", [4096, 8])

@@ -52,13 +52,27 @@ def test_languages(spark, awkward, empty):
     assert got.count() == len(awkward_texts())
     und = {r.doc_id for r in got.where("lang_pred = 'und'").collect()}
     assert und == {5, 6, 7, 19}
-    kept = langid.keep_known(awkward, PIECES, model, least=0.0)
+    kept = langid.keep_known(awkward, PIECES, model)
     assert kept.columns == awkward.columns and kept.count() == len(awkward_texts()) - 4
     assert langid.predict(empty, PIECES, model).count() == 0
     nothing = langid.fit(empty, PIECES)
+    assert langid.keep_known(empty, PIECES, model).count() == 0
     assert nothing[0] == [] and {r.lang_pred for r in langid.predict(awkward, PIECES, nothing).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded(make, monkeypatch):
+    """Null and repeated keys neither crowd the sample nor escape its bound."""
+    taken, as_it_is = [], langid.map_batches
+    monkeypatch.setattr(langid, "map_batches", lambda df, fn, schema: taken.append(df) or as_it_is(df, fn, schema))
+    docs = make([(None, f"null {i}", "en") for i in range(300)] + [(7, f"seven words {i}", "en") for i in range(300)]
+                + [(8, "same row", "de")] * 200 + [(1000 + i, f"eigen {i}", "de") for i in range(40)])
+    langs, _ = langid.fit(docs, PIECES, sample_rows=20, steps=1)
+    rows = taken[0].collect()
+    assert langs == ["de", "en"] and all(sum(r.lang == x for r in rows) <= 20 for x in langs)
+    assert len({(r.lang, r.t) for r in rows}) == len(rows) and sum(r.lang == "en" for r in rows) == 20
+    assert not any(r.t.startswith("null") for r in rows)
+
+
 # ------------------------------------------------------------------ toxicity
 
 def test_toxicity_learns_subwords(spark, make):
