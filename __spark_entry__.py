@@ -31,7 +31,9 @@ from palimpsest.sources.tables import (SOURCE_ID_FORMAT, SUSPICIOUS_ID_FORMAT, c
 try:  # the training-data operators and their pipeline are optional
     import corpus_pipeline
     from palimpsest.llm import registry as LLM
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "palimpsest.llm", "public_tokenizers"):
+        raise
     corpus_pipeline = LLM = None
 
 DECIMALS = 6

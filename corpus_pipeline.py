@@ -17,7 +17,7 @@ from palimpsest.llm.simhash import drop_near_copies
 
 
 def known_language(spark, docs, sf_dir):
-    """Documents whose language is known (learned from the labelled rows of ``docs``)."""
+    """Documents that have a language (learned from the labelled rows of ``docs``); null texts and texts without a letter go."""
     return langid.keep_known(docs, public_tokenizers.path(q_langid.VOCABULARY), q_langid.model_for(docs))
 
 
