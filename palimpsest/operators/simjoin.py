@@ -84,42 +84,44 @@ def prefix_filtered_pairs(sus_w: DataFrame, src_w: DataFrame, *, sus_key: str, s
     hot prefix whose L2 norm stays below ``threshold`` is left out of the
     index. A pair sharing no indexed term has cosine <= that norm <
     threshold (Cauchy-Schwarz), so candidates are the pairs sharing an
-    indexed term; a candidate whose indexed partial sum plus the unindexed
-    norm cannot reach the threshold is pruned; the rest is verified by adding
-    the exact contribution of the unindexed terms. Hot terms therefore never
-    meet hot terms in a join, which is what makes the plain product
-    quadratic at scale. Same output as ``cosine_pairs(..., threshold)``.
+    indexed term. What is left of a pair is bounded by the unindexed norm of the
+    source times the norm of the suspicious unit over terms left out anywhere; a
+    candidate that cannot reach the threshold with that is pruned. The rest is
+    verified in its own row: either side's unindexed terms are packed into one map per
+    unit, and the two maps are zipped. Hot terms therefore never meet hot terms in a
+    join, which is what makes the plain product quadratic at scale, and a candidate
+    is one row throughout. Same output as ``cosine_pairs(..., threshold)``.
     """
     t = float(threshold)
-    src_df = src_w.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("_df"))
+    # numbered terms: joins compare one long, and a unit's vector packs into a map
+    terms, _ = broadcast_if_bounded(src_w.groupBy(*group, "term").agg(F.count(F.lit(1)).alias("_df"))
+                                    .withColumn("_id", F.monotonically_increasing_id()), max_broadcast_rows)
+    src = src_w.join(terms, [*group, "term"]).select(*group, src_key, F.col("_id").alias("term"), "w_src", "_df")
+    sus = reused(sus_w.join(terms, [*group, "term"]).select(*group, sus_key, F.col("_id").alias("term"), "w_sus"))
     hot_first = Window.partitionBy(*group, src_key).orderBy(F.col("_df").desc(), F.col("term")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (src_w.join(src_df, [*group, "term"])
-              .withColumn("_cum", F.sqrt(F.sum(F.col("w_src") * F.col("w_src")).over(hot_first)))
-              .withColumn("_indexed", F.col("_cum") >= F.lit(t - _BOUND_SLACK)))
-    ranked = reused(ranked.select(*group, src_key, "term", "w_src", "_cum", "_indexed"))
-    indexed = ranked.filter("_indexed").select(*group, src_key, "term", "w_src")
-    unindexed = ranked.filter(~F.col("_indexed")).select(*group, src_key, "term", "w_src")
-    u_norm = (ranked.groupBy(*group, src_key)
-              .agg(F.coalesce(F.max(F.when(~F.col("_indexed"), F.col("_cum"))), F.lit(0.0))
-                   .alias("_u_norm")))
-    u_norm, _ = broadcast_if_bounded(u_norm, max_broadcast_rows)
+    ranked = src.withColumn("_cum", F.sqrt(F.sum(F.col("w_src") * F.col("w_src")).over(hot_first)))
+    ranked = reused(ranked.select(*group, src_key, "term", "w_src", "_cum", (F.col("_cum") >= t - _BOUND_SLACK).alias("_indexed")))
+    rest = ~F.col("_indexed")
+    src_rest, _ = broadcast_if_bounded(ranked.groupBy(*group, src_key).agg(
+        F.coalesce(F.max(F.when(rest, F.col("_cum"))), F.lit(0.0)).alias("_u_norm"),
+        F.map_from_entries(F.collect_list(F.when(rest, F.struct("term", "w_src")))).alias("_u")), max_broadcast_rows)
+    hot, _ = broadcast_if_bounded(ranked.where(rest).select(*group, "term").distinct(), max_broadcast_rows)
+    sus_rest = sus.join(hot, [*group, "term"], "left_semi").groupBy(*group, sus_key).agg(
+        F.sqrt(F.sum(F.col("w_sus") * F.col("w_sus"))).alias("_h_norm"),
+        F.map_from_entries(F.collect_list(F.struct("term", "w_sus"))).alias("_h"))
 
-    partial = (salted_term_join(sus_w, indexed, group, sus_key, src_key, rows_per_salt)
+    indexed = ranked.filter("_indexed").select(*group, src_key, "term", "w_src")
+    partial = (salted_term_join(sus, indexed, group, sus_key, src_key, rows_per_salt)
                .groupBy(*group, sus_key, src_key)
                .agg(F.sum(F.col("w_sus") * F.col("w_src")).alias("_partial")))
-    candidates = (partial.join(u_norm, [*group, src_key])
-                  .filter(F.col("_partial") + F.col("_u_norm") >= F.lit(t - _BOUND_SLACK)))
-    candidates = reused(candidates.select(*group, sus_key, src_key, "_partial"))
-
-    rest = (candidates.select(*group, sus_key, src_key)
-            .join(unindexed, [*group, src_key])
-            .join(sus_w, [*group, sus_key, "term"])
-            .groupBy(*group, sus_key, src_key)
-            .agg(F.sum(F.col("w_sus") * F.col("w_src")).alias("_rest")))
-    return (candidates.join(rest, [*group, sus_key, src_key], "left")
-            .select(*group, sus_key, src_key,
-                    (F.col("_partial") + F.coalesce(F.col("_rest"), F.lit(0.0))).alias("similarity"))
+    candidates = (partial.join(src_rest, [*group, src_key])
+                  .filter(F.col("_partial") + F.col("_u_norm") >= F.lit(t - _BOUND_SLACK))
+                  .join(sus_rest, [*group, sus_key], "left")
+                  .filter(F.col("_partial") + F.col("_u_norm") * F.coalesce("_h_norm", F.lit(0.0)) >= F.lit(t - _BOUND_SLACK)))
+    shared = F.map_values(F.map_zip_with("_u", "_h", lambda _, x, y: F.coalesce(x * y, F.lit(0.0))))
+    more = F.coalesce(F.aggregate(shared, F.lit(0.0), lambda total, x: total + x), F.lit(0.0))
+    return (candidates.select(*group, sus_key, src_key, (F.col("_partial") + more).alias("similarity"))
             .filter(F.col("similarity") >= F.lit(t)))
 
 
@@ -152,7 +154,7 @@ def cosine_pairs(sus_w: DataFrame, src_w: DataFrame, *, sus_key: str, src_key: s
     if strategy == "broadcast":
         joined = sus.join(F.broadcast(src), [*group, "term"])
     elif strategy == "shuffle":
-        joined = salted_term_join(sus, src, group, sus_key, src_key, rows_per_salt)
+        joined = salted_term_join(reused(sus), reused(src), group, sus_key, src_key, rows_per_salt)
     elif strategy == "auto":
         src, small = broadcast_if_bounded(src, max_broadcast_rows)
         if not small and threshold is not None:
@@ -160,7 +162,7 @@ def cosine_pairs(sus_w: DataFrame, src_w: DataFrame, *, sus_key: str, src_key: s
                                          threshold=threshold, rows_per_salt=rows_per_salt,
                                          max_broadcast_rows=max_broadcast_rows)
         joined = (sus.join(src, [*group, "term"]) if small
-                  else salted_term_join(sus, src, group, sus_key, src_key, rows_per_salt))
+                  else salted_term_join(reused(sus), src, group, sus_key, src_key, rows_per_salt))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     pairs = (joined.groupBy(*group, sus_key, src_key)

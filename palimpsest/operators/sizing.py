@@ -8,8 +8,9 @@ later join read the same materialised rows (checkpointed, see ``reused``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.session import broadcast_byte_limit, broadcast_row_limit, ensure_checkpoint_dir, text_partitions
 
@@ -27,22 +28,39 @@ def reused(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: its strings' bytes and eight for every other value (nested columns
+    as JSON text, which is more than they take)."""
+    total = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + 16 + F.coalesce(F.octet_length(column), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
+        else:
+            total = total + 8
+    return total
+
+
 def measured(df: DataFrame) -> tuple[DataFrame, int, int]:
-    """Materialise ``df`` (see ``reused``) and return it with its rows and its bytes
-    (of the rows as JSON text, which is more than they take as a broadcast)."""
+    """Materialise ``df`` (see ``reused``) and return it with its rows and about its bytes."""
     df = reused(df)
-    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(row)))).first()
+    n, size = df.agg(F.count(F.lit(1)), F.sum(row_bytes(df))).first()
     return df, n, size or 0
 
 
+def bounded(spark: SparkSession, rows: int, size: int, max_rows: int | None = None) -> bool:
+    """Whether so many rows and bytes may be broadcast."""
+    limit = broadcast_row_limit(spark) if max_rows is None else max_rows
+    return rows <= limit and size <= broadcast_byte_limit(spark)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
     """Return ``(broadcast(df), True)`` when ``df`` is within both limits,
     else ``(df, False)``. ``df`` comes back materialised either way."""
-    spark = df.sparkSession
-    limit = broadcast_row_limit(spark) if max_rows is None else max_rows
     df, n, size = measured(df)
-    if n <= limit and size <= broadcast_byte_limit(spark):
+    if bounded(df.sparkSession, n, size, max_rows):
         return F.broadcast(df), True
     return df, False
 

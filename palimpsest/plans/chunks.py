@@ -1,10 +1,10 @@
 """Chunk mode (C3/C8): chunk-level TF-IDF comparison of document pairs.
 
 Input is a ``pairs(suspicious_id, source_id)`` frame plus the documents, so
-any number of pairs run as one job. Each document is chunked and tokenised
-once (however many pairs it is in), then its chunk postings are joined to
-its pairs: the IDF is fitted per pair on both sides' valid chunks, as the
-reference fits one vectorizer per compared pair.
+any number of pairs run as one job. Each document is chunked, tokenised and counted
+once (however many pairs it is in); its packed term vectors are joined to
+its pairs, where the IDF is fitted on both sides' valid chunks (see
+``operators.pairvectors``), as the reference fits one vectorizer per compared pair.
 
 Per suspicious chunk the best source chunk is kept (top-1, ties to the lower
 source index, no overlap -> similarity 0 with the first valid source
@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.sentences import explode_chunks, with_chunks
 from palimpsest.functions.text import MINIMAL_STOPWORDS, preview, remove_stopwords, word_tokens
-from palimpsest.operators.bestmatch import best_matches, pair_summary
-from palimpsest.operators.simjoin import cosine_pairs
+from palimpsest.operators.bestmatch import pair_summary
+from palimpsest.operators.pairvectors import PAIR, document_vectors, pair_best_matches, with_source
 from palimpsest.operators.sizing import reused
 from palimpsest.operators.stemming import stem_token_arrays
-from palimpsest.operators.vectorize import fit_idf, term_counts, tfidf_weights
 from palimpsest.plans.corpus import with_terms
 from palimpsest.session import text_partitions
 
-PAIR = ["suspicious_id", "source_id"]
+#: Best-match rows of one source that may meet its texts in one task.
+ROWS_PER_SALT = 100_000
 
 
 def document_chunk_units(documents: DataFrame, *, key: str = "id", text: str = "raw_text",
@@ -72,43 +72,15 @@ def compare_chunked(documents: DataFrame, pairs: DataFrame, threshold: float = 0
     chunks = reused(document_chunk_units(docs, key=key, text=text, chunk_size=chunk_size,
                                          html=html, stopwords=stopwords, stem=stem))
 
-    # Everything below is keyed by pair first (term counts, per-pair IDF, the
-    # L2 window, the cosine join, the top-1): one hash partitioning by pair
-    # serves all of it. A pair holds two documents' chunks, so no pair key
-    # can be much larger than its two documents.
-    units = (_pair_units(pairs, chunks, "sus", key)
-             .unionByName(_pair_units(pairs, chunks, "src", key))
-             .repartition(text_partitions(spark), *PAIR))
-    unit_keys = ["side", "chunk_idx"]
-    tf = term_counts(with_terms(units, ngram_range), [*PAIR, *unit_keys], F.col("terms"))
-    idf = fit_idf(tf, units.select(*PAIR, *unit_keys), PAIR)
-    w = reused(tfidf_weights(tf, idf, unit_keys, PAIR))
-
-    def side_w(side: str, idx: str) -> DataFrame:
-        return (w.filter(F.col("side") == side)
-                .select(*PAIR, F.col("chunk_idx").alias(idx), "term", "w"))
-
-    sims = cosine_pairs(side_w("sus", "suspicious_chunk_idx"), side_w("src", "source_chunk_idx"),
-                        sus_key="suspicious_chunk_idx", src_key="source_chunk_idx", group=PAIR)
-
-    def side_units(side: str, idx: str) -> DataFrame:
-        return (units.filter(F.col("side") == side)
-                .select(*PAIR, F.col("chunk_idx").alias(idx)))
-
-    best = best_matches(sims, side_units("sus", "suspicious_chunk_idx"),
-                        side_units("src", "source_chunk_idx"), group=PAIR,
-                        sus_idx="suspicious_chunk_idx", src_idx="source_chunk_idx")
+    units = with_terms(chunks.filter("valid"), ngram_range).select(key, "chunk_idx", "terms")
+    vectors = reused(document_vectors(units, key=key))
+    best = reused(pair_best_matches(vectors, pairs, key))
     texts = chunks.select(key, "chunk_idx", "chunk_text")
-    matches = (best
-               .join(texts.select(F.col(key).alias("suspicious_id"),
-                                  F.col("chunk_idx").alias("suspicious_chunk_idx"),
-                                  F.col("chunk_text").alias("suspicious_chunk_text")),
-                     ["suspicious_id", "suspicious_chunk_idx"])
-               .join(texts.select(F.col(key).alias("source_id"),
-                                  F.col("chunk_idx").alias("source_chunk_idx"),
-                                  F.col("chunk_text").alias("source_chunk_text")),
-                     ["source_id", "source_chunk_idx"])
-               .withColumn("is_flagged", F.col("similarity") >= F.lit(float(threshold))))
+    matches = best.join(texts.select(F.col(key).alias("suspicious_id"), F.col("chunk_idx").alias("suspicious_chunk_idx"),
+                                     F.col("chunk_text").alias("suspicious_chunk_text")), ["suspicious_id", "suspicious_chunk_idx"])
+    source_texts = texts.select(F.col(key).alias("source_id"), F.col("chunk_idx").alias("source_chunk_idx"), F.col("chunk_text").alias("source_chunk_text"))
+    matches = with_source(matches, source_texts, ROWS_PER_SALT, ("source_chunk_idx",))
+    matches = matches.withColumn("is_flagged", F.col("similarity") >= F.lit(float(threshold)))
     summary = pair_summary(best, pairs, group=PAIR, threshold=threshold)
     return matches, summary
 

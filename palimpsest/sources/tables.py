@@ -10,11 +10,14 @@ that holds a benchmark passage verbatim reused it).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.functions.text import WS_RUN
-from palimpsest.operators.sizing import broadcast_if_bounded, ensure_parallel, reused
+from palimpsest.operators.sizing import bounded, broadcast_if_bounded, ensure_parallel, reused, row_bytes
 from palimpsest.schemas import ANNOTATION_TYPE, METADATA_TYPE
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -34,66 +37,122 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str = "doc_id",
-                        doc_text: str = "text", passage_key: str = "item_id",
-                        passage_text: str = "text") -> DataFrame:
-    """Every (document, passage) where the document contains the passage verbatim.
-
-    Output ``(doc_key, passage_key, offset, length)``: ``offset`` is the 0-based
-    character position of the first occurrence.
-
-    Exact without a nested loop. Split the passage at whitespace runs; a
-    piece that is neither the first nor the last is bounded by whitespace
-    inside the passage, so every document containing the passage has it as
-    a whole whitespace-separated token. All those pieces must occur, and the
-    one in the fewest documents is the passage's anchor, equi-joined with the
-    documents' distinct tokens. Passages of one or two pieces have no such
-    piece: their longest piece lies inside a token, so it is looked up in the
-    distinct tokens of all documents by its first characters (an equi-join
-    with the tokens' character n-grams), and the tokens found lead to the documents.
-    Every candidate is verified with ``contains``. A blank passage is in no document.
-    """
-    pieces = F.filter(F.split(F.coalesce(F.col(passage_text), F.lit("")), WS_RUN), lambda x: x != "")
-    parts = F.split(F.coalesce(F.col(passage_text), F.lit("")), WS_RUN)
+def _words_in_tokens(vocabulary: DataFrame, words: DataFrame, side: str, at_end: bool) -> DataFrame:
+    """``side, token, word``: the distinct tokens that end (``at_end``) or begin with each distinct
+    ``word``, by an equi-join of their endings or beginnings of the lengths that occur."""
+    words = words.distinct()
+    lengths = [r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()]  # one number per word length
+    cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("token"))
+    ends = vocabulary.select("token", F.explode_outer(cuts).alias("n")).where(F.col("n").isNotNull())
+    word = F.right("token", F.col("n")) if at_end else F.left("token", F.col("n"))
+    return ends.select(F.lit(side).alias("side"), "token", word.alias("word")).join(words, "word").select("side", "token", "word")
+
+
+def _contained(docs: DataFrame, passages: DataFrame, doc_key: str, doc_text: str, passage_key: str,
+               passage_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(sure, open, texts)``: pairs ``(_dk, _pk)`` that hold, pairs still to verify, and the passages
+    ``(_pk, _pt)`` (see ``passage_documents``)."""
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(passage_text), F.lit(""))
+    parts = F.split(text, WS_RUN)
+    pieces = F.filter(parts, lambda x: x != "")
     longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("l"), x.alias("x"))))["x"]
+    kind = F.when(F.size(parts) >= 3, "inner").when(F.size(pieces) == 2, "pair").when(F.size(parts) == 1, "word").otherwise("edge")
     p = reused(passages.select(
-        F.col(passage_key).alias("_pk"), F.col(passage_text).alias("_pt"),
+        F.col(passage_key).alias("_pk"), F.col(passage_text).alias("_pt"), kind.alias("kind"), F.size(parts).alias("n_parts"),
         F.when(F.size(parts) >= 3, F.array_distinct(F.slice(parts, 2, F.size(parts) - 2))).alias("inner"),
+        F.get(parts, 0).alias("first"), F.regexp_extract(text, f"({WS_RUN})", 1).alias("gap"), F.get(parts, 1).alias("second"),
         longest.alias("long")).where(F.col("long").isNotNull()))
+    sizes = {r["kind"]: r for r in p.groupBy("kind").agg(F.sum("n_parts").alias("n"), F.sum(row_bytes(p)).alias("size")).collect()}  # four at most
+    # what is taken from the passages has no more rows than they have words, and no more bytes
+    small = bounded(spark, sum(r["n"] for r in sizes.values()), sum(r["size"] for r in sizes.values()))
+    few = F.broadcast if small else (lambda df: df)
     d = ensure_parallel(docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt")), "_dk")
-    tokens = F.split(F.coalesce(F.col("_dt"), F.lit("")), WS_RUN)
-    keyed = (d.select("_dk", F.explode_outer(F.array_distinct(tokens)).alias("anchor"))
-             .filter(F.col("anchor").isNotNull()))
-
-    inner, _ = broadcast_if_bounded(p.where("inner IS NOT NULL").select(
-        "_pk", F.size("inner").alias("n"), F.explode("inner").alias("anchor")))
-    wanted, _ = broadcast_if_bounded(inner.select("anchor").distinct())
-    freq = keyed.join(wanted, "anchor").groupBy("anchor").agg(F.count(F.lit(1)).alias("df"))
-    anchors, _ = broadcast_if_bounded(
-        inner.join(freq, "anchor").groupBy("_pk", "n").agg(
-            F.count(F.lit(1)).alias("found"), F.min(F.struct("df", "anchor")).alias("rarest"))
-        .where("found = n").select("_pk", F.col("rarest.anchor").alias("anchor")))
-    candidates = keyed.join(anchors, "anchor").select("_dk", "_pk")
-
-    short = p.where("inner IS NULL").select("_pk", "long")
-    if not short.isEmpty():
-        gram = short.select("_pk", "long", F.substring("long", 1, _GRAM).alias("gram"))
+    whole = F.coalesce(F.col("_dt"), F.lit(""))
+    split = F.split(whole, WS_RUN)
+    keyed = (d.select("_dk", F.explode_outer(F.array_distinct(split)).alias("token"))
+             .filter(F.col("token").isNotNull()))
+    none = spark.createDataFrame([], T.StructType([d.schema["_dk"], p.schema["_pk"]]))
+    sure, open_ = [none], [none]
+    if sizes.keys() - {"inner"}:
+        vocabulary = reused(keyed.select("token").distinct())
+
+    if "inner" in sizes:
+        inner = p.where("kind = 'inner'").select("_pk", F.size("inner").alias("n"), F.explode("inner").alias("token"))
+        freq = keyed.join(few(inner.select("token").distinct()), "token").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+        anchors = (inner.join(freq, "token").groupBy("_pk", "n").agg(
+            F.count(F.lit(1)).alias("found"), F.min(F.struct("df", "token")).alias("rarest"))
+            .where("found = n").select("_pk", F.col("rarest.token").alias("token")))
+        open_.append(keyed.join(few(reused(anchors)), "token").select("_dk", "_pk"))
+
+    if "pair" in sizes:
+        pairs = p.where("kind = 'pair'").select("_pk", "first", "gap", "second")
+        sides, light = broadcast_if_bounded(
+            _words_in_tokens(vocabulary, pairs.select(F.col("first").alias("word")), "left", True).unionByName(
+                _words_in_tokens(vocabulary, pairs.select(F.col("second").alias("word")), "right", False)))
+        hint = F.broadcast if light else (lambda df: df)
+        left = hint(sides.where("side = 'left'").select(F.col("token").alias("left"), F.col("word").alias("first")))
+        right = hint(sides.where("side = 'right'").select(F.col("token").alias("right"), F.col("word").alias("second")))
+        arrays = d.select("_dk", split.alias("t"), F.regexp_extract_all(whole, F.lit(f"({WS_RUN})"), 1).alias("gaps"))
+        beside = arrays.select("_dk", F.explode_outer(F.arrays_zip(
+            F.col("t").alias("left"), F.col("gaps").alias("gap"), F.slice("t", 2, F.size("t")).alias("right"))).alias("x"))
+        beside = beside.select("_dk", "x.left", "x.gap", "x.right").where(F.col("right").isNotNull())
+        sure.append(beside.join(left, "left").join(right, "right").join(few(pairs), ["first", "gap", "second"]).select("_dk", "_pk"))
+
+    if sizes.keys() & {"word", "edge"}:
+        short = p.where("kind IN ('word', 'edge')").select("_pk", "kind", "long", F.substring("long", 1, _GRAM).alias("gram"))
         size = F.explode(F.sequence(F.lit(1), F.lit(_GRAM))).alias("g")
-        vocabulary = keyed.select("anchor").distinct().select("anchor", size).where(F.length("anchor") >= F.col("g"))
-        grams = vocabulary.select("anchor", F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("anchor") - F.col("g") + 1),
-            lambda i: F.substring("anchor", i, F.col("g"))))).alias("gram"))
-        holds, _ = broadcast_if_bounded(grams.join(gram, "gram").where(F.contains("anchor", "long"))
-                                        .select("anchor", "_pk").distinct())
-        candidates = candidates.unionByName(keyed.join(holds, "anchor").select("_dk", "_pk"))
-
-    candidates, _ = broadcast_if_bounded(candidates.distinct())
-    texts, _ = broadcast_if_bounded(p.select("_pk", "_pt"))
-    return (d.join(candidates, "_dk").join(texts, "_pk")
-            .filter(F.contains("_dt", "_pt"))
-            .select(F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key),
-                    (F.expr("instr(_dt, _pt)") - 1).cast("int").alias("offset"),
-                    F.length("_pt").cast("int").alias("length")))
+        grams = vocabulary.select("token", size).where(F.length("token") >= F.col("g")).select("token", F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length("token") - F.col("g") + 1), lambda i: F.substring("token", i, F.col("g"))))).alias("gram"))
+        holds, _ = broadcast_if_bounded(grams.join(few(short), "gram").where(F.contains("token", "long"))
+                                        .select("token", "_pk", "kind").distinct())
+        found = keyed.join(holds, "token")
+        sure.append(found.where("kind = 'word'").select("_dk", "_pk"))
+        open_.append(found.where("kind = 'edge'").select("_dk", "_pk"))
+    return reduce(DataFrame.unionByName, sure), reduce(DataFrame.unionByName, open_), few(p.select("_pk", "_pt"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, doc_key: str, doc_text: str) -> DataFrame:
+    """The pairs that hold, with both texts (a repeated key names several texts)."""
+    pairs, _ = broadcast_if_bounded(pairs.distinct())
+    return docs.select(F.col(doc_key).alias("_dk"), F.col(doc_text).alias("_dt")).join(pairs, "_dk").join(
+        texts, "_pk").where(F.contains("_dt", "_pt"))
+
+
+def passage_documents(docs: DataFrame, passages: DataFrame, *, doc_key: str = "doc_id", doc_text: str = "text",
+                      passage_key: str = "item_id", passage_text: str = "text") -> DataFrame:
+    """Every distinct ``(doc_key, passage_key)`` where the document contains the passage verbatim.
+
+    Exact without a nested loop, by the shape of the passage when split at whitespace runs:
+
+    * A piece that is neither the first nor the last is bounded by whitespace inside the passage, so every
+      document containing the passage has it as a whole token. All those pieces must occur, and the one in the
+      fewest documents is the passage's anchor, equi-joined with the documents' distinct tokens; the
+      candidates are verified with ``contains``.
+    * Two words: the document has two adjacent tokens, with the same whitespace between them, of which the
+      first ends with the first word and the second begins with the second. Which distinct tokens end or begin with
+      which words is worked out once over the vocabulary; adjacent tokens then lead to pairs of words and these,
+      by equality, to passages. Nothing is left to verify.
+    * One word: it lies inside a token, and is looked up in the distinct tokens by its first characters
+      (an equi-join with the tokens' character n-grams). With whitespace at an edge, the
+      documents of those tokens are candidates to verify.
+
+    A blank passage is in no document.
+    """
+    sure, open_, texts = _contained(docs, passages, doc_key, doc_text, passage_key, passage_text)
+    held = _verified(docs, open_, texts, doc_key, doc_text).select("_dk", "_pk")
+    return sure.unionByName(held).distinct().select(F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key))
+
+
+def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str = "doc_id",
+                        doc_text: str = "text", passage_key: str = "item_id",
+                        passage_text: str = "text") -> DataFrame:
+    """``passage_documents`` with places: ``(doc_key, passage_key, offset, length)``, ``offset``
+    the 0-based character position of the first occurrence."""
+    sure, open_, texts = _contained(docs, passages, doc_key, doc_text, passage_key, passage_text)
+    return _verified(docs, sure.unionByName(open_), texts, doc_key, doc_text).select(
+        F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key),
+        (F.expr("instr(_dt, _pt)") - 1).cast("int").alias("offset"), F.length("_pt").cast("int").alias("length"))
 
 
 def truth_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +176,7 @@ def phrase_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(
             " ", F.get("w", i - 1), F.get("w", i)))).alias("phrase")).distinct()
     phrases = reused(pairs.select(F.md5("phrase").alias("item_id"), F.col("phrase").alias("text")))
-    hits = passage_containment(read_table(spark, sf_dir, "documents"), phrases)
+    hits = passage_documents(read_table(spark, sf_dir, "documents"), phrases)
     counts = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
     return phrases.join(counts, "item_id", "left").select(
         F.col("text").alias("phrase"), F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"))

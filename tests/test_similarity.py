@@ -9,7 +9,7 @@ from palimpsest.operators.bestmatch import best_matches
 from palimpsest.operators.simjoin import cosine_pairs
 from palimpsest.operators.truth import attach_truth, detection_metrics
 from palimpsest.plans.corpus import corpus_counts, detect_reuse
-from palimpsest.sources.tables import passage_containment
+from palimpsest.sources.tables import passage_containment, passage_documents
 
 from tests import pyref
 
@@ -121,6 +121,33 @@ def test_passage_containment_brute_force(spark):
     assert got == exp
 
 
+def test_containment_of_short_passages(spark):
+    """One and two words, odd whitespace and parts of tokens, on generated texts, against ``in``."""
+    rnd = random.Random(11)
+    words, gaps = ["a", "ab", "ba", "the", "hethe", "é", "b.", "(the"], [" ", "  ", "\n", " \t"]
+    text = lambda n: "".join(rnd.choice(words) + rnd.choice(gaps) for _ in range(n))
+    docs = [text(rnd.randint(0, 12)).strip(rnd.choice([" ", "\n", "x"])) for _ in range(60)] + [None, "", "  "]
+    passages = sorted({text(n)[rnd.randint(0, 2):][:-1] for n in (1, 2, 2, 2, 3, 4) for _ in range(25)} | {"", " ", "a ", " a", "the a", "e\n"})
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    p = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    exp = {(i, j) for i, dt in enumerate(docs) for j, pt in enumerate(passages) if pt.strip() and pt in (dt or "")}
+    got = [(r.doc_id, r.item_id) for r in passage_documents(d, p).collect()]
+    assert len(got) == len(set(got)) and set(got) == exp and len(exp) > 200
+    places = {(r.doc_id, r.item_id): r.offset for r in passage_containment(d, p).collect()}
+    assert places == {(i, j): docs[i].find(passages[j]) for i, j in exp}
+    assert passage_documents(d, p.limit(0)).count() == 0 and passage_documents(d.limit(0), p).count() == 0
+
+
+def test_two_word_passages_need_no_text(spark):
+    """Pairs of words are found by equality: their plan has neither ``contains`` nor a nested loop."""
+    d = spark.createDataFrame([(1, "of the people")], "doc_id long, text string")
+    p = spark.createDataFrame([(1, "of the")], "item_id long, text string")
+    from palimpsest.sources.tables import _contained
+    sure, _, _ = _contained(d, p, "doc_id", "text", "item_id", "text")
+    plan = sure._jdf.queryExecution().toString()
+    assert "Contains" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan and sure.count() == 1
+
+
 def test_corpus_counts(spark):
     corpus = _corpus(spark, ["alpha beta"], ["alpha beta", "zeta"])
     res = detect_reuse(corpus, prep={"stem": False})
