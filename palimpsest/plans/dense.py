@@ -23,7 +23,7 @@ PAIR = ["suspicious_id", "source_id"]
 
 def compare_dense(documents: DataFrame, pairs: DataFrame, threshold: float = 0.8,
                   chunk_size: int = 1, *, key: str = "id", text: str = "raw_text",
-                  embedder_factory=HashingEmbedder, block_rows: int = 1024):
+                  embedder_factory=HashingEmbedder, block_rows: int = 4096):
     """C4 over many pairs. Returns ``(matches, summary)`` like chunk mode;
     ``matches`` carries full chunk texts and ``is_flagged`` (>= threshold)."""
     pairs = reused(pairs.select(*PAIR).distinct())
@@ -66,7 +66,7 @@ def dense_report(matches: DataFrame) -> DataFrame:
 
 
 def vector_nearest(vectors: DataFrame, *, id_col: str = "vec_id", group_col: str = "label",
-                   vec: str = "embedding", threshold: float = 0.8, block_rows: int = 1024) -> DataFrame:
+                   vec: str = "embedding", threshold: float = 0.8, block_rows: int = 4096) -> DataFrame:
     """Top-1 over precomputed vectors: for every vector the most similar
     other vector of the same group (ties to the lower id), flagged at
     ``threshold``. Output ``group_col, suspicious_vec_id, source_vec_id,

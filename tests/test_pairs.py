@@ -93,3 +93,40 @@ def test_compare_dense_runs_and_flags_copies(spark):
     rows = matches.orderBy("suspicious_chunk_idx").collect()
     assert rows[0].similarity == pytest.approx(1.0) and rows[0].is_flagged
     assert summary.first().compared_chunks == len(rows)
+
+
+def _nearest_by_numpy(x, labels):
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sims = np.round(unit @ unit.T, 10)
+    sims[np.arange(len(x)), np.arange(len(x))] = -np.inf
+    sims[labels[:, None] != labels[None, :]] = -np.inf
+    best = np.argmax(sims, axis=1)
+    return {i: (int(j), pytest.approx(sims[i, j], abs=1e-8)) for i, j in enumerate(best) if np.isfinite(sims[i, j])}
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_dense_top1_with_pruned_cells(spark, clustered):
+    """Large groups: the same answer, and on clustered vectors from few of the cells."""
+    rng = np.random.default_rng(7)
+    n = 2400
+    centres = rng.standard_normal((40, 24))
+    x = (centres[rng.integers(40, size=n)] + 0.15 * rng.standard_normal((n, 24)) if clustered else rng.standard_normal((n, 24)))
+    x[100:400] = x[100]  # copies tie: the lowest index wins
+    x[500:520] = 0
+    labels = np.where(np.arange(n) % 10 == 9, 1, 0)  # one large group and a small one
+    df = spark.createDataFrame([(int(g), i, v.tolist()) for i, (g, v) in enumerate(zip(labels, x))], "g int, i int, v array<double>").repartition(4)
+    report = {}
+    got = dense_top1(df, df.withColumnRenamed("i", "j"), group=["g"], sus_idx="i", src_idx="j", vec="v", block_rows=128, exclude_self=True, report=report)
+    got = {r.i: (r.j, r.similarity) for r in got.collect()}
+    assert got == _nearest_by_numpy(x, labels)
+    assert report["cells"] > 0
+    if clustered:
+        assert report["cells_searched"] < 0.6 * report["cells"], report
+
+
+def test_dense_top1_of_zero_vectors_and_nothing(spark):
+    df = spark.createDataFrame([(0, i, [0.0, 0.0]) for i in range(50)], "g int, i int, v array<double>")
+    got = dense_top1(df, df.withColumnRenamed("i", "j"), group=["g"], sus_idx="i", src_idx="j", vec="v", block_rows=8, exclude_self=True)
+    assert {r.i: (r.j, r.similarity) for r in got.collect()} == {i: (0 if i else 1, 0.0) for i in range(50)}
+    none = df.limit(0)
+    assert dense_top1(none, none.withColumnRenamed("i", "j"), group=["g"], sus_idx="i", src_idx="j", vec="v").collect() == []
