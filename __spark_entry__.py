@@ -190,6 +190,16 @@ def q_phrase_document_counts(spark, sf_dir):
     return phrase_document_counts(spark, sf_dir)
 
 
+def q_abbreviations(spark, sf_dir):
+    """Words of the documents that have a full stop, with counts and abbreviation scores."""
+    return _round(TQ.abbreviation_words(spark, sf_dir), "score")
+
+
+def q_sentence_chunks_learned(spark, sf_dir):
+    """T12 + T13: five-sentence chunks, sentences split with abbreviations learned from the documents."""
+    return TQ.learned_chunks(spark, sf_dir)
+
+
 def q_trigram_tf(spark, sf_dir):
     """T15 + V2: three-word term counts per document."""
     return TQ.document_term_counts(spark, sf_dir, (3, 3))
@@ -270,6 +280,8 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "doc_similarity_join_salted": q_doc_similarity_join_salted,
         "doc_similarity_join_prefix": q_doc_similarity_join_prefix,
         "phrase_document_counts": q_phrase_document_counts,
+        "abbreviations": q_abbreviations,
+        "sentence_chunks_learned": q_sentence_chunks_learned,
         "trigram_tf": q_trigram_tf,
         "blank_documents": q_blank_documents,
         "metrics_lines": q_metrics_lines,
@@ -409,6 +421,8 @@ def _own_oracle_sql() -> dict[str, str]:
         "stemmed_chunk_match": _sql_chunk_best_match(stem=True),
         "token_stems": O.token_stems_sql(),
         "phrase_document_counts": _SQL_PHRASES,
+        "abbreviations": "WITH " + O.abbreviation_ctes() + " SELECT * REPLACE (" + _r("score", "score").replace(" AS", " + 0.0 AS") + ") FROM scored WHERE n_stop > 0",
+        "sentence_chunks_learned": O.learned_chunks_sql(),
         "trigram_tf": _sql_trigram_tf(),
         "metrics_lines": _sql_metrics_lines(),
         "blank_documents": ("SELECT source, sum((trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) = '')::BIGINT)::BIGINT "

@@ -12,6 +12,7 @@ from html.entities import html5
 
 from palimpsest.functions.text import (DIGIT_RUN, MINIMAL_STOPWORDS, NON_WORD_NON_SPACE,
                                        STRIP_EDGES, WS, WS_RUN)
+from palimpsest.operators.abbreviations import CLOSING, OPENING, P_ABBREVIATION, THRESHOLD
 from palimpsest.operators.stemming import STEP2_RULES, STEP3_RULES, STEP4_SUFFIXES
 from palimpsest.sources.tables import REFERENCE_FORMAT, SOURCE_ID_FORMAT, SUSPICIOUS_ID_FORMAT
 
@@ -138,6 +139,41 @@ def chunks_sql(sent: str, k: int, whole: str) -> str:
             f"WHEN {strip_sql(whole)} <> '' THEN [{whole}] ELSE [] END")
 
 
+def abbreviation_ctes() -> str:
+    """CTEs ``tok`` (tokens of ``documents`` in place) and ``scored`` (words and their counts, score and kinds)."""
+    opening, closing = q(OPENING)[1:-1], q(CLOSING)[1:-1]
+    core = lambda t: f"regexp_replace({t}, '^{opening}+|{closing}+$', '', 'g')"
+    return f"""
+toks AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {q(WS_RUN)}), lambda x: x <> '') AS t FROM documents),
+tok AS (SELECT *, {core('t')} AS c, regexp_replace(lower({core('t')}), '\\.$', '') AS word,
+               lag(t) OVER w AS before, lead(t) OVER w AS after
+        FROM (SELECT doc_id, unnest(t) AS t, generate_subscripts(t, 1) AS pos FROM toks) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+counted AS (SELECT word, count(*) AS n, count(*) FILTER (WHERE suffix(c, '.')) AS n_stop, count(*) FILTER (WHERE regexp_matches(c, '^\\p{{Ll}}')) AS n_lower,
+                   count(*) FILTER (WHERE regexp_matches(c, '^\\p{{Lu}}') AND before IS NOT NULL
+                                    AND NOT regexp_matches(before, '[.!?:;…]{closing}*$')) AS n_upper_inside
+            FROM tok WHERE regexp_matches(word, '\\p{{L}}') GROUP BY word),
+total AS (SELECT greatest(least(sum(n_stop) / sum(n), 1 - 1e-9), 1e-9) AS p FROM counted),
+scored AS (SELECT *, score >= {THRESHOLD} AND n_stop > 0 AS is_abbreviation, n_lower > 0 AND n_upper_inside = 0 AS is_starter FROM (
+  SELECT word, n, n_stop, n_lower, n_upper_inside,
+         2 * (n_stop * ln({P_ABBREVIATION}) + (n - n_stop) * ln(1 - {P_ABBREVIATION}) - n_stop * ln(p) - (n - n_stop) * ln(1 - p))
+           * exp(-l) * (length(word) - l + 1) * pow(l, n_stop - n) AS score
+  FROM (SELECT *, length(replace(word, '.', ''))::DOUBLE AS l FROM counted), total))"""
+
+
+def learned_chunks_sql(k: int = 5) -> str:
+    """T12 + T13 over ``documents``."""
+    opening, closing = q(OPENING)[1:-1], q(CLOSING)[1:-1]
+    core = f"regexp_replace(after, '^{opening}+|{closing}+$', '', 'g')"
+    return "WITH " + abbreviation_ctes() + f""",
+marked AS (SELECT k.doc_id, k.pos, k.t,
+    regexp_matches(k.c, '[!?]$') OR (suffix(k.c, '.') AND (NOT coalesce(a.is_abbreviation, false) OR
+       (coalesce(s.is_starter, false) AND regexp_matches({core}, '^\\p{{Lu}}')))) AS ends
+  FROM tok k LEFT JOIN scored a ON a.word = k.word LEFT JOIN scored s ON s.word = regexp_replace(lower({core}), '\\.$', '')),
+numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM marked),
+chunked AS (SELECT doc_id, (s // {k})::INT AS chunk_idx, string_agg(t, ' ' ORDER BY pos) AS chunk_text FROM numbered GROUP BY doc_id, s // {k})
+SELECT doc_id, chunk_idx, chunk_text FROM chunked"""
+
+
 def corpus_ctes(threshold: float = 0.3, stem: bool = False) -> str:
     """CTEs: src/sus docs, TF-IDF weights (IDF on sources), matched pairs,
     derived truth and truth-annotated matches ``matches``."""

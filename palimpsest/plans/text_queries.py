@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from palimpsest.functions.sentences import explode_chunks, with_chunks
 from palimpsest.functions.text import (join_tokens, lower_html_text, preview, remove_stopwords,
                                        word_runs, word_tokens)
-from palimpsest.operators.sizing import ensure_parallel
+from palimpsest.operators.abbreviations import learned_sentences, scored_words, word_counts
+from palimpsest.operators.sizing import ensure_parallel, reused
 from palimpsest.plans.corpus import corpus_weights, with_terms
 from palimpsest.operators.stemming import stem_words
 from palimpsest.operators.vectorize import fit_idf, term_counts
@@ -54,6 +55,20 @@ def document_chunks(spark: SparkSession, sf_dir: str, mode: str = "tfidf",
             .withColumn("chunk_preview", preview(F.col("chunk_text"), style)))
 
 
+def abbreviation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T12 over ``documents``: every word with a full stop somewhere, its counts and score."""
+    docs = ensure_parallel(read_table(spark, sf_dir, "documents"), "doc_id")
+    return scored_words(word_counts(docs)).where("n_stop > 0")
+
+
+def learned_chunks(spark: SparkSession, sf_dir: str, chunk_size: int = 5) -> DataFrame:
+    """T12 + T13 over ``documents``: chunks of sentences split with learned abbreviations."""
+    docs = ensure_parallel(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    split = learned_sentences(docs, reused(scored_words(word_counts(docs))))
+    chunks = with_chunks(split, "text", "dense", chunk_size, sentence_fn=lambda _: F.col("sentences")).drop("text", "sentences")
+    return explode_chunks(chunks)
+
+
 def document_term_counts(spark: SparkSession, sf_dir: str, ngram_range=(1, 2)) -> DataFrame:
     """V1/V2 over ``documents``: ``doc_id, term, tf``."""
     docs = read_table(spark, sf_dir, "documents").repartition("doc_id")

@@ -13,7 +13,7 @@ list of sampled paths.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,12 +79,34 @@ def sample_cap(listing: DataFrame, n: int | None, *, part: str = "part", key: st
     """At most ``n`` rows, filled part by part (parts in name order) and
     in a seeded hash order inside a part - deterministic, unlike a random
     pick, so recomputation after a lost executor selects the same rows. The
-    hash is ``md5('<seed>|<key>')``, which plain SQL engines compute alike."""
+    hash is ``md5('<seed>|<key>')``, which plain SQL engines compute alike.
+
+    Nothing is sorted as a whole: running totals of the parts' counts name the part that overflows, running totals of its
+    counts by the first digits of the hash the digits that do, and only rows with those are ranked."""
     if n is None:
         return listing
-    hashed = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    order = [F.col(part), hashed, F.col(key)]
-    return listing.orderBy(*order).limit(int(n))
+    hashed = F.coalesce(F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string"))), F.lit(""))
+    rows = listing.withColumn("_h", hashed).withColumn("_d", F.left("_h", F.lit(3)))
+    whole, left = F.lit(False), int(n)
+
+    def overflow(df: DataFrame, by: str) -> tuple[Column, Column | None, int]:
+        """What fits whole, the value that overflows, and the room left for it."""
+        room, fits = left, F.lit(False)
+        counts = df.groupBy(by).count().collect()  # a row per part, or per three digits
+        for value, count in sorted(((r[by], r["count"]) for r in counts), key=lambda x: (x[0] is not None, x[0])):
+            if count > room:
+                return fits, F.col(by).eqNullSafe(F.lit(value)), room
+            fits, room = (F.col(by).isNull() if value is None else F.col(by).isNull() | (F.col(by) <= value)), room - count
+        return fits, None, room
+
+    fits, over, left = overflow(rows, part)
+    whole = whole | fits
+    if over is None:
+        return rows.where(whole).drop("_h", "_d")
+    fits, digits, left = overflow(rows.where(over), "_d")
+    order = Window.partitionBy(part).orderBy("_h", F.col(key))
+    ranked = rows.where(over & digits).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= left).drop("_r")
+    return rows.where(whole | (over & fits)).unionByName(ranked).drop("_h", "_d")
 
 
 def read_sidecars(spark: SparkSession, root: str, side: str) -> DataFrame:
