@@ -158,6 +158,12 @@ def q_hashed_embedding_match(spark, sf_dir):
     return _round(DN.dense_report(matches), "similarity")
 
 
+def q_lsa_chunk_match(spark, sf_dir):
+    """C4 over the truth pairs with the learned embedder (latent semantic analysis of the sources)."""
+    matches, _ = DN.compare_lsa(corpus_from_tables(spark, sf_dir, with_truth=False), _pairs(spark, sf_dir))
+    return _round(DN.dense_report(matches), "similarity")
+
+
 def q_stemmed_similarity_join(spark, sf_dir):
     """C2 with Porter stemming of the vocabulary."""
     truth = truth_from_tables(spark, sf_dir)
@@ -273,6 +279,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dense_best_match": q_dense_best_match,
         "dense_summary": q_dense_summary,
         "hashed_embedding_match": q_hashed_embedding_match,
+        "lsa_chunk_match": q_lsa_chunk_match,
         "stemmed_similarity_join": q_stemmed_similarity_join,
         "stemmed_chunk_match": q_stemmed_chunk_match,
         "token_stems": q_token_stems,

@@ -44,18 +44,21 @@ class HashingEmbedder:
     would only rescale it, which cosine ignores, and integers keep every dot
     product and norm exact (so any engine that computes md5 reproduces it).
 
+    ``max_tokens`` keeps the first so many tokens of a text only, as encoders with a
+    limited input do (the reference's takes 512); by default whole texts are embedded.
+
     Any object with ``embed(list[str]) -> np.ndarray[(n, dim)]`` and a
     ``dim`` attribute can replace it (e.g. an ONNX sentence encoder).
     """
 
-    def __init__(self, dim: int = 256):
-        self.dim = dim
+    def __init__(self, dim: int = 256, max_tokens: int | None = None):
+        self.dim, self.max_tokens = dim, max_tokens
 
     def embed(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
         cache: dict[str, tuple[int, float]] = {}
         for row, text in enumerate(texts):
-            for tok in _TOKEN.findall((text or "").lower()):
+            for tok in _TOKEN.findall((text or "").lower())[:self.max_tokens]:
                 hit = cache.get(tok)
                 if hit is None:
                     h = hashlib.md5(tok.encode("utf-8")).hexdigest()
