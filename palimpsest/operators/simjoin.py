@@ -29,7 +29,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.operators.sizing import broadcast_if_bounded, reused
+from palimpsest.operators.sizing import bounded, broadcast_if_bounded, measured, reused
 
 
 def _salts(postings: DataFrame, group: list[str], rows_per_salt: int, name: str) -> DataFrame:
@@ -101,12 +101,14 @@ def prefix_filtered_pairs(sus_w: DataFrame, src_w: DataFrame, *, sus_key: str, s
     hot_first = Window.partitionBy(*group, src_key).orderBy(F.col("_df").desc(), F.col("term")) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = src.withColumn("_cum", F.sqrt(F.sum(F.col("w_src") * F.col("w_src")).over(hot_first)))
-    ranked = reused(ranked.select(*group, src_key, "term", "w_src", "_cum", (F.col("_cum") >= t - _BOUND_SLACK).alias("_indexed")))
+    ranked, n, size = measured(ranked.select(*group, src_key, "term", "w_src", "_cum", (F.col("_cum") >= t - _BOUND_SLACK).alias("_indexed")))
+    # what is made of it below takes no more
+    few = F.broadcast if bounded(sus.sparkSession, n, size, max_broadcast_rows) else (lambda df: df)
     rest = ~F.col("_indexed")
-    src_rest, _ = broadcast_if_bounded(ranked.groupBy(*group, src_key).agg(
+    src_rest = few(ranked.groupBy(*group, src_key).agg(
         F.coalesce(F.max(F.when(rest, F.col("_cum"))), F.lit(0.0)).alias("_u_norm"),
-        F.map_from_entries(F.collect_list(F.when(rest, F.struct("term", "w_src")))).alias("_u")), max_broadcast_rows)
-    hot, _ = broadcast_if_bounded(ranked.where(rest).select(*group, "term").distinct(), max_broadcast_rows)
+        F.map_from_entries(F.collect_list(F.when(rest, F.struct("term", "w_src")))).alias("_u")))
+    hot = few(ranked.where(rest).select(*group, "term").distinct())
     sus_rest = sus.join(hot, [*group, "term"], "left_semi").groupBy(*group, sus_key).agg(
         F.sqrt(F.sum(F.col("w_sus") * F.col("w_sus"))).alias("_h_norm"),
         F.map_from_entries(F.collect_list(F.struct("term", "w_sus"))).alias("_h"))

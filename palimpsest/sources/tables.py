@@ -37,7 +37,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _words_in_tokens(vocabulary: DataFrame, words: DataFrame, side: str, at_end: bool) -> DataFrame:
+def _words_in_tokens(vocabulary: DataFrame, words: DataFrame, side: str, at_end: bool, few) -> DataFrame:
     """``side, token, word``: the distinct tokens that end (``at_end``) or begin with each distinct
     ``word``, by an equi-join of their endings or beginnings of the lengths that occur."""
     words = words.distinct()
@@ -45,13 +45,13 @@ def _words_in_tokens(vocabulary: DataFrame, words: DataFrame, side: str, at_end:
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("token"))
     ends = vocabulary.select("token", F.explode_outer(cuts).alias("n")).where(F.col("n").isNotNull())
     word = F.right("token", F.col("n")) if at_end else F.left("token", F.col("n"))
-    return ends.select(F.lit(side).alias("side"), "token", word.alias("word")).join(words, "word").select("side", "token", "word")
+    return ends.select(F.lit(side).alias("side"), "token", word.alias("word")).join(few(words), "word").select("side", "token", "word")
 
 
 def _contained(docs: DataFrame, passages: DataFrame, doc_key: str, doc_text: str, passage_key: str,
-               passage_text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(sure, open, texts)``: pairs ``(_dk, _pk)`` that hold, pairs still to verify, and the passages
-    ``(_pk, _pt)`` (see ``passage_documents``)."""
+               passage_text: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """``(sure, open, texts)``: pairs ``(_dk, _pk)`` that hold, pairs still to verify (None if no passage needs it), and the
+    passages ``(_pk, _pt)`` (see ``passage_documents``)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(passage_text), F.lit(""))
     parts = F.split(text, WS_RUN)
@@ -73,7 +73,7 @@ def _contained(docs: DataFrame, passages: DataFrame, doc_key: str, doc_text: str
     keyed = (d.select("_dk", F.explode_outer(F.array_distinct(split)).alias("token"))
              .filter(F.col("token").isNotNull()))
     none = spark.createDataFrame([], T.StructType([d.schema["_dk"], p.schema["_pk"]]))
-    sure, open_ = [none], [none]
+    sure, open_ = [none], []
     if sizes.keys() - {"inner"}:
         vocabulary = reused(keyed.select("token").distinct())
 
@@ -88,8 +88,8 @@ def _contained(docs: DataFrame, passages: DataFrame, doc_key: str, doc_text: str
     if "pair" in sizes:
         pairs = p.where("kind = 'pair'").select("_pk", "first", "gap", "second")
         sides, light = broadcast_if_bounded(
-            _words_in_tokens(vocabulary, pairs.select(F.col("first").alias("word")), "left", True).unionByName(
-                _words_in_tokens(vocabulary, pairs.select(F.col("second").alias("word")), "right", False)))
+            _words_in_tokens(vocabulary, pairs.select(F.col("first").alias("word")), "left", True, few).unionByName(
+                _words_in_tokens(vocabulary, pairs.select(F.col("second").alias("word")), "right", False, few)))
         hint = F.broadcast if light else (lambda df: df)
         left = hint(sides.where("side = 'left'").select(F.col("token").alias("left"), F.col("word").alias("first")))
         right = hint(sides.where("side = 'right'").select(F.col("token").alias("right"), F.col("word").alias("second")))
@@ -109,7 +109,7 @@ def _contained(docs: DataFrame, passages: DataFrame, doc_key: str, doc_text: str
         found = keyed.join(holds, "token")
         sure.append(found.where("kind = 'word'").select("_dk", "_pk"))
         open_.append(found.where("kind = 'edge'").select("_dk", "_pk"))
-    return reduce(DataFrame.unionByName, sure), reduce(DataFrame.unionByName, open_), few(p.select("_pk", "_pt"))
+    return reduce(DataFrame.unionByName, sure), reduce(DataFrame.unionByName, open_) if open_ else None, few(p.select("_pk", "_pt"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, texts: DataFrame, doc_key: str, doc_text: str) -> DataFrame:
@@ -140,8 +140,9 @@ def passage_documents(docs: DataFrame, passages: DataFrame, *, doc_key: str = "d
     A blank passage is in no document.
     """
     sure, open_, texts = _contained(docs, passages, doc_key, doc_text, passage_key, passage_text)
-    held = _verified(docs, open_, texts, doc_key, doc_text).select("_dk", "_pk")
-    return sure.unionByName(held).distinct().select(F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key))
+    if open_ is not None:
+        sure = sure.unionByName(_verified(docs, open_, texts, doc_key, doc_text).select("_dk", "_pk"))
+    return sure.distinct().select(F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key))
 
 
 def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str = "doc_id",
@@ -150,7 +151,7 @@ def passage_containment(docs: DataFrame, passages: DataFrame, *, doc_key: str =
     """``passage_documents`` with places: ``(doc_key, passage_key, offset, length)``, ``offset``
     the 0-based character position of the first occurrence."""
     sure, open_, texts = _contained(docs, passages, doc_key, doc_text, passage_key, passage_text)
-    return _verified(docs, sure.unionByName(open_), texts, doc_key, doc_text).select(
+    return _verified(docs, sure if open_ is None else sure.unionByName(open_), texts, doc_key, doc_text).select(
         F.col("_dk").alias(doc_key), F.col("_pk").alias(passage_key),
         (F.expr("instr(_dt, _pt)") - 1).cast("int").alias("offset"), F.length("_pt").cast("int").alias("length"))
 
@@ -175,7 +176,7 @@ def phrase_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = read_table(spark, sf_dir, "benchmark").select(words.alias("w")).where(F.size("w") > 1).select(
         F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(
             " ", F.get("w", i - 1), F.get("w", i)))).alias("phrase")).distinct()
-    phrases = reused(pairs.select(F.md5("phrase").alias("item_id"), F.col("phrase").alias("text")))
+    phrases = reused(pairs.select(F.monotonically_increasing_id().alias("item_id"), F.col("phrase").alias("text")))
     hits = passage_documents(read_table(spark, sf_dir, "documents"), phrases)
     counts = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
     return phrases.join(counts, "item_id", "left").select(
