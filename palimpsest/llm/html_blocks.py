@@ -8,12 +8,17 @@ from html.parser import HTMLParser
 
 #: Elements whose borders do not end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
-                   "samp small span strike strong sub sup time tt u var wbr".split())
+                   "samp small span strike strong sub sup time tt u var wbr "
+                   # formulas
+                   "annotation annotation-xml math merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot "
+                   "mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is not shown.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object textarea select option "
-                   "canvas audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg iframe object textarea select option "
+                   "canvas audio video annotation annotation-xml".split())
+#: Elements that can stand in a head; any other ends it, as text does.
+HEAD_PARTS = frozenset("base head link meta noscript script style template title".split())
 #: Elements that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
                    "main nav ol p pre section table ul".split())
@@ -28,6 +33,7 @@ class _Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, str, frozenset]] = []
         self.open: list[tuple[str, tuple]] = []
+        self.open_of: Counter = Counter()
         self.blocks_open: list[str] = [""]
         self.around: Counter = Counter()
         self.around_set: frozenset | None = None
@@ -46,7 +52,14 @@ class _Blocks(HTMLParser):
             self.text = []
         self.linked = 0
 
+    def end_head(self):
+        """A head whose end tag is left out ends at what cannot stand in it."""
+        if self.open and self.open[-1][0] == "head":
+            self.close("head")
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD_PARTS:
+            self.end_head()
         if tag == "br":
             self.text.append(" ")
             return
@@ -65,6 +78,7 @@ class _Blocks(HTMLParser):
             if name in ("class", "id", "role") and value:
                 marks += tuple(f"c:{w}" for w in re.split(r"[^a-z]+", value.lower()) if w)
         self.open.append((tag, marks))
+        self.open_of[tag] += 1
         if marks:
             self.blocks_open.append(tag)
             self.around.update(marks)
@@ -75,24 +89,21 @@ class _Blocks(HTMLParser):
     def close(self, tag, reach=None):
         """End the innermost open ``tag`` and what is open inside it; with ``reach``
         only among that many innermost block elements."""
-        seen = 0
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                for gone, marks in self.open[i:]:
-                    self.hidden -= gone in HIDDEN
-                    self.link -= gone == "a"
-                    if marks:
-                        self.blocks_open.pop()
-                        self.around_set = None
-                        for m in marks:
-                            self.around[m] -= 1
-                            if not self.around[m]:
-                                del self.around[m]
-                del self.open[i:]
-                return
-            seen += name not in INLINE
-            if reach is not None and seen >= reach:
+        if not self.open_of[tag] or (reach is not None and tag not in self.blocks_open[-reach:]):
+            return
+        while True:  # what is walked over is taken out, so no element is met twice
+            gone, marks = self.open.pop()
+            self.open_of[gone] -= 1
+            self.hidden -= gone in HIDDEN
+            self.link -= gone == "a"
+            if marks:
+                self.blocks_open.pop()
+                self.around_set = None
+                for m in marks:
+                    self.around[m] -= 1
+                    if not self.around[m]:
+                        del self.around[m]
+            if gone == tag:
                 return
 
     def handle_endtag(self, tag):
@@ -108,6 +119,8 @@ class _Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not self.hidden:
             self.text.append(data)
             if self.link:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import map_batches, record_batch, slices, spread
+from palimpsest.llm.common import map_batches, materialised, record_batch, slices, spread
 
 WORD = re.compile(r"[^\W_]+")
 SEGMENT, DIM, BUCKETS, GRAMS = 8, 4, 1 << 18, (3, 4, 5)
@@ -89,7 +89,7 @@ def _segments(batches):
                     doc.append(d)
                     label.append(y)
                     words.append(" ".join(found[i:i + SEGMENT]))
-            yield record_batch({"doc": pa.array(doc, pa.int64()), "label": pa.array(label, pa.int32()),
+            yield record_batch({"doc": pa.array(doc, part.schema.field("doc").type), "label": pa.array(label, pa.int32()),
                                 "words": pa.array(words, pa.string())})
 
 
@@ -132,6 +132,7 @@ def train(docs: np.ndarray, labels: np.ndarray, segments: list[str], warm: int =
           rate: float = 0.1, decay: float = 1e-5, min_docs: int = 6) -> Model:
     """Adam on the whole sample, first on all segments, then on each document's most
     toxic segment (chosen anew at every step) and, by a part, all segments of clean documents."""
+    docs = np.unique(docs, return_inverse=True)[1]  # keys of any type
     bags, rng = _Bags(segments, docs, min_docs), np.random.default_rng(7)
     emb = rng.normal(0, 0.1, (len(bags.used), DIM))
     soft, bias = rng.normal(0, 0.1, (2, DIM)), np.zeros(2)
@@ -205,8 +206,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, max_segment
         chosen = chosen | ((F.col("label") == y) & (drawn < min(1.0, sample_rows / n) * (1 << 30)))
     few = F.broadcast(known.where(chosen))  # about 2 x sample_rows ids
     sample = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(few, "doc").select(
-        F.col("doc").cast("long").alias("doc"), "label", "t")
-    seg = map_batches(sample, _segments, "doc long, label int, words string")
+        "doc", "label", "t")
+    kind = sample.schema["doc"].dataType.simpleString()
+    seg = materialised(map_batches(sample, _segments, f"doc {kind}, label int, words string"))  # read three times
     # long documents give way first: the highest bound of a document's segments that keeps either label
     # within max_segments, but a segment of every document
     sizes = seg.groupBy("label", "doc").agg(F.count(F.lit(1)).alias("n")).collect()  # about 2 x sample_rows
@@ -215,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 1000, max_segment
         return None
     long = [(r["doc"], bound[r["label"]]) for r in sizes if r["n"] > bound[r["label"]]]
     if long:
-        over = F.broadcast(docs.sparkSession.createDataFrame(long, "doc long, bound long"))
+        over = F.broadcast(docs.sparkSession.createDataFrame(long, f"doc {kind}, bound long"))
         order = Window.partitionBy("doc").orderBy(F.xxhash64("doc", "words"), "words")
         cut = seg.join(over, "doc").distinct().withColumn("at", F.row_number().over(order)).where(
             F.col("at") <= F.col("bound")).select("doc", "label", "words")

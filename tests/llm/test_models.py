@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -107,6 +108,20 @@ def test_toxicity(spark, awkward, empty):
     assert {r.score for r in toxicity.score(awkward, None).collect()} == {0.0}
 
 
+def test_toxicity_of_string_keys(spark, make):
+    """Keys that are no numbers, repeated and null ones."""
+    bad, good = "you are a stupid idiot and a fool ", "the quiet garden has a small pond "
+    rows = [(f"d{i}" if i % 9 else "same", (bad if i % 2 else good) * 3) for i in range(120)] + [(None, bad), (None, None)]
+    docs = spark.createDataFrame(rows, "name string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(120)] + [("same", 1), (None, 1), ("d1", None)],
+                                   "name string, toxic int")
+    model = toxicity.fit(docs, labels, key="name")
+    got = toxicity.score(docs, model, key="name").collect()
+    assert len(got) == len(rows)
+    assert {r.predicted for r in got if r.name and r.name != "same" and int(r.name[1:]) % 2} == {1}
+    assert {r.predicted for r in got if r.name and r.name != "same" and int(r.name[1:]) % 2 == 0} == {0}
+
+
 def test_toxicity_sample_keeps_every_document(spark, make, monkeypatch):
     """Long documents and repeated rows do not displace others."""
     rng = random.Random(6)
@@ -147,6 +162,22 @@ def test_blocks():
     leaf_blocks("</p></div>" * 1000 + "<" * 1000 + "&#99999999999;&bogus; <![CDATA[x]]> <!bad")
 
 
+def test_left_out_tags():
+    """Heads without an end, formulas, and end tags of what is not open."""
+    texts = lambda page: [b[0] for b in leaf_blocks(page)]
+    assert texts("<html><head><title>t</title><meta charset=x><p>One.</p><p>Two.</p>") == ["One.", "Two."]
+    assert texts("<head><script>a<b</script> <noscript><p>n</p></noscript> Bare text<p>One.") == ["Bare text", "One."]
+    assert texts("<head><title>t</title></head><body><p>One.</p></body>") == ["One."]
+    assert texts("<p>Area <math><semantics><mrow><mi>a</mi><mo>·</mo><mi>b</mi></mrow>"
+                 "<annotation>a \\cdot b</annotation></semantics></math> holds.</p>") == ["Area a·b holds."]
+    assert texts("<ul><li>a<ul><li>b</ul><li>c</ul>") == ["a", "b", "c"]
+    assert texts("<p>a<div>b</i></b>c</p>d</div>e") == ["a", "bc", "d", "e"]
+    start = time.perf_counter()
+    assert len(leaf_blocks("<div>x" * 40_000 + "</i></p>y" * 40_000)) == 80_000
+    assert len(leaf_blocks("<p>" + "<i>" * 20_000 + "<div>x</div>" * 20_000)) == 20_000
+    assert time.perf_counter() - start < 20
+
+
 def test_page_text(spark, empty):
     pages = read(spark, SF, "pages")
     model = page_text.fit(pages)

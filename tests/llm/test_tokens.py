@@ -132,6 +132,21 @@ def test_samples(awkward):
     assert Counter((r.doc_id, r.draw, r.ids_crc32) for r in again) == Counter((r.doc_id, r.draw, r.ids_crc32) for r in rows)
 
 
+def test_decode(spark, awkward, empty):
+    """What is encoded comes back, for drawn segmentations and for the library's own."""
+    drawn = sampling.sample_segmentations(awkward, PIECES, k=1, with_ids=True).select("doc_id", "ids")
+    got = Counter((r.doc_id, r.text) for r in sampling.decode_ids(drawn, PIECES).collect())
+    assert got == Counter((k, (t or "").replace("▁", " ")) for k, t in awkward_texts())
+    lib = token_counts.load_model(PIECES)
+    plain = [(str(i), lib.encode(t), t) for i, t in enumerate(["the cat", "漢字 x1", "a\nb", ""])]
+    odd = [(None, None, None), ("e", [], ""), ("u", [lib.unk_id(), -1, None, 10**9, 2**40], "\ufffd" * 5), ("c", [1, 2], ""),
+           ("b", [lib.piece_to_id("<0xE6>")], "\ufffd"), ("b", [lib.piece_to_id("<0x41>")], "A")]
+    table = spark.createDataFrame(plain + odd + odd[:1], "name string, codes array<long>, text string")
+    got = sampling.decode_ids(table, PIECES, "name", "codes").collect()
+    assert Counter((r.name, r.text) for r in got) == Counter((n, t) for n, _, t in plain + odd + odd[:1])
+    assert sampling.decode_ids(table.limit(0), PIECES, "name", "codes").count() == 0
+
+
 def test_empty(empty):
     assert packing.pack(empty, BPE).count() == 0
     assert token_counts.token_counts(empty, PIECES).count() == 0
