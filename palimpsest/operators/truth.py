@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.sizing import broadcast_if_bounded, reused
@@ -53,6 +53,35 @@ def attach_truth(matches: DataFrame, truth: DataFrame, match: str = "contains",
             .drop("refs", "_hit"))
 
 
+def loaded_truth(truth: DataFrame, sources: DataFrame, match: str = "contains", id_col: str = "id") -> DataFrame:
+    """The truth cases whose source is among the loaded ``sources`` (``restrict_to_loaded_sources``), so that what a
+    sample left out does not count as missed.
+
+    ``exact``: the reference with ``.txt`` removed is a loaded id, one equi-join over distinct references.
+    ``contains``: a loaded id occurs in the reference. Every substring of a reference of the length of some loaded id is
+    looked up, so the join is an equi-join too; references are file names, and the lengths in use are few."""
+    ids = sources.where(F.col(id_col).isNotNull() & (F.col(id_col).cast("string") != "")).select(
+        F.col(id_col).cast("string").alias("_id")).distinct()
+    refs = truth.where(F.col("source_reference").isNotNull()).select("source_reference").distinct()
+    if match == "exact":
+        keyed = refs.select("source_reference", F.replace("source_reference", F.lit(".txt"), F.lit("")).alias("_id"))
+    elif match == "contains":
+        lengths = sorted(r["n"] for r in ids.select(F.char_length("_id").alias("n")).distinct().collect())
+        whole = F.char_length("source_reference")
+
+        def substrings(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(whole - n + 1, F.lit(1)))
+            return F.when(whole >= n, F.transform(starts, lambda i: F.substring("source_reference", i, F.lit(n)))).otherwise(none)
+
+        none = F.array().cast("array<string>")
+        keyed = refs.select("source_reference", F.explode_outer(
+            F.array_distinct(F.concat(none, *[substrings(n) for n in lengths]))).alias("_id"))
+    else:
+        raise ValueError(f"unknown match mode {match!r}")
+    found, _ = broadcast_if_bounded(keyed.join(ids, "_id", "left_semi").select("source_reference").distinct())
+    return truth.join(found, "source_reference", "left_semi").select(*truth.columns)
+
+
 def detection_metrics(results: DataFrame, truth: DataFrame) -> DataFrame:
     """One row of precision, recall, F1 and counts.
 

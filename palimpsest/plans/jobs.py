@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.operators.truth import detection_metrics, truth_cases
+from palimpsest.operators.truth import detection_metrics, loaded_truth, truth_cases
 from palimpsest.plans.chunks import chunk_report, compare_chunked, flagged_chunks
 from palimpsest.plans.corpus import corpus_counts, detect_reuse
 from palimpsest.plans.dense import compare_dense, dense_report
@@ -23,9 +23,11 @@ from palimpsest.sources.corpus import load_corpus
 def run_corpus_job(spark: SparkSession, corpus_root: str, output_dir: str, *,
                    max_src: int | None = None, max_sus: int | None = None,
                    threshold: float = 0.3, ngram_range=(1, 2), prep: dict | None = None,
-                   seed: int = 42) -> dict[str, DataFrame]:
+                   seed: int = 42, restrict_to_loaded_sources: bool = False) -> dict[str, DataFrame]:
     """Corpus -> processed corpus (K1) -> matches (K2) -> metrics (K3).
 
+    With ``restrict_to_loaded_sources`` only truth cases of loaded sources count (B5).
+
     Returns the written tables re-read as DataFrames plus the corpus counts (A7)."""
     corpus = load_corpus(spark, corpus_root, max_src=max_src, max_sus=max_sus, seed=seed,
                          prep=prep)
@@ -39,7 +41,10 @@ def run_corpus_job(spark: SparkSession, corpus_root: str, output_dir: str, *,
         "suspicious_id string, source_id string, similarity_score double, "
         "ground_truth boolean, source_reference string").csv(matches_path)
 
-    metrics = detection_metrics(matches, truth_cases(corpus))
+    truth = truth_cases(corpus)
+    if restrict_to_loaded_sources:
+        truth = loaded_truth(truth, corpus.where("type = 'source'"))
+    metrics = detection_metrics(matches, truth)
     sinks.write_metrics(metrics, os.path.join(output_dir, "evaluation_metrics"))
     return {"corpus": corpus, "matches": matches, "metrics": metrics,
             "counts": corpus_counts(corpus, matches)}

@@ -3,7 +3,7 @@
     <root>/external-detection-corpus/source-document/part*/<id>.txt  (+ <id>.xml)
     <root>/external-detection-corpus/suspicious-document/part*/<id>.txt  (+ <id>.xml)
 
-Text files are read by the ``binaryFile`` source (executors read the files;
+``load_corpus`` reads it by the data source of ``sources.labelled`` or, with ``reader='jvm'``, as follows. Text files are read by the ``binaryFile`` source (executors read the files;
 content is decoded on the JVM) and truth sidecars by the built-in XML source
 with ``rowTag=feature``, which yields every ``feature`` element at any depth.
 Sidecar rows are folded into one metadata struct per file with aggregates;
@@ -13,6 +13,8 @@ list of sampled paths.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,14 +177,28 @@ def read_sidecars(spark: SparkSession, root: str, side: str) -> DataFrame:
 
 def load_corpus(spark: SparkSession, root: str, *, max_src: int | None = None,
                 max_sus: int | None = None, seed: int = 42, prepare: bool = True,
-                prep: dict | None = None) -> DataFrame:
+                prep: dict | None = None, reader: str = "source") -> DataFrame:
     """The labelled corpus as one documents frame
     ``id, type, raw_text, [processed_text, tokens,] metadata, has_plagiarism``.
 
     Every document is loaded unless a caller asks for a sample of a side
     (``max_src``, ``max_sus``), which is drawn from the file listing and joined to the
     contents. ``has_plagiarism`` is set on suspicious rows only.
+
+    ``reader='source'`` is the data source of ``sources.labelled``, a partition per part folder; ``'jvm'`` reads through
+    Spark's file and XML sources, for file systems that only Hadoop's clients open.
     """
+    if reader == "source":
+        from palimpsest.sources.labelled import read_labelled, sample_bounds
+
+        bounds = sample_bounds(spark, root, {"source": max_src, "suspicious": max_sus}, seed)
+        docs = read_labelled(spark, root, bounds=json.dumps(bounds), seed=str(seed))
+        docs = docs.select("id", "type", "raw_text", "metadata",
+                           F.when(F.col("type") == "suspicious", F.col("metadata.plagiarism").isNotNull())
+                           .alias("has_plagiarism"))
+        return prepare_documents(docs, **(prep or {})) if prepare else docs
+    if reader != "jvm":
+        raise ValueError(f"unknown reader {reader!r}")
     sides = []
     for side, cap in (("source", max_src), ("suspicious", max_sus)):
         listing = sample_cap(list_text_files(spark, root, side), cap, seed=seed)

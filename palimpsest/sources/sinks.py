@@ -3,8 +3,11 @@ task or a lost executor cannot leave partial output behind."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+REPORT_BUCKETS = 64
 
 
 def write_corpus(documents: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -41,9 +44,37 @@ def write_metrics(metrics: DataFrame, path: str) -> None:
         .write.mode("overwrite").text(path)
 
 
-def write_chunk_report(report: DataFrame, path: str) -> None:
-    """K4: per-chunk best matches (with previews) as CSV."""
-    report.write.mode("overwrite").option("header", True).csv(path)
+def report_bucket(buckets: int = REPORT_BUCKETS) -> Column:
+    """The bucket that a pair's rows are in."""
+    return F.pmod(F.xxhash64(F.col("suspicious_id").cast("string"), F.col("source_id").cast("string")),
+                  F.lit(buckets)).cast("int")
+
+
+def write_chunk_report(report: DataFrame, path: str, buckets: int = REPORT_BUCKETS, max_rows: int = 1_000_000) -> None:
+    """K4: per-chunk best matches (with previews) as CSV, in ``buckets`` folders by pair, files of at most ``max_rows`` rows.
+
+    Rows are dealt by ranges of (bucket, pair, chunk), so a task writes neighbouring buckets, a pair's rows lie
+    together and in order, and a pair with very many chunks is shared by several tasks. Null ids are values like others."""
+    order = ["bucket", "suspicious_id", "source_id", *[c for c in report.columns if c == "suspicious_chunk_idx"]]
+    rows = report.withColumn("bucket", report_bucket(buckets))
+    (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("overwrite").option("header", True).option("maxRecordsPerFile", max_rows).partitionBy("bucket").csv(path))
+
+
+def read_chunk_report(spark: SparkSession, path: str, pairs: list[tuple] | None = None, schema: str | T.StructType | None = None,
+                      buckets: int = REPORT_BUCKETS) -> DataFrame:
+    """The chunk report of some (suspicious, source) pairs, opening their buckets only, or of all."""
+    reader = spark.read.option("header", True)
+    if schema is None:
+        rows = reader.csv(path)
+    else:
+        fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        rows = reader.schema(T.StructType([*fields.fields, T.StructField("bucket", T.IntegerType())])).csv(path)
+    if pairs is not None:
+        wanted = spark.createDataFrame(pairs, "suspicious_id string, source_id string")
+        used = [r["b"] for r in wanted.select(report_bucket(buckets).alias("b")).distinct().collect()]
+        rows = rows.where(F.col("bucket").isin(used)).join(F.broadcast(wanted.distinct()), ["suspicious_id", "source_id"], "left_semi")
+    return rows.drop("bucket")
 
 
 def write_flagged_report(flagged: DataFrame, summary: DataFrame, path: str,

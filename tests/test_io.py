@@ -3,9 +3,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.operators.truth import loaded_truth
 from palimpsest.plans.corpus import detect_reuse
 from palimpsest.plans.jobs import run_corpus_job, run_pair_job
 from palimpsest.sources.corpus import load_corpus
+from palimpsest.sources.sinks import read_chunk_report, write_chunk_report
 from palimpsest.streaming.incremental import SourceIndex, start_detection_stream
 
 BASE = "external-detection-corpus"
@@ -48,8 +50,9 @@ def corpus_root(tmp_path_factory):
     return str(root)
 
 
-def test_load_corpus(spark, corpus_root):
-    df = load_corpus(spark, corpus_root, max_src=None, max_sus=None)
+@pytest.mark.parametrize("reader", ["source", "jvm"])
+def test_load_corpus(spark, corpus_root, reader):
+    df = load_corpus(spark, corpus_root, max_src=None, max_sus=None, reader=reader)
     rows = {r.id: r for r in df.collect()}
     assert set(rows) == set(SRC) | set(SUS)
     d1 = rows["suspicious-document00001"]
@@ -64,7 +67,7 @@ def test_load_corpus(spark, corpus_root):
     d5 = rows["suspicious-document00005"]
     assert d5.metadata.language == "unknown" and not d5.has_plagiarism
     assert rows["source-document00001"].has_plagiarism is None
-    capped = load_corpus(spark, corpus_root, max_src=1, max_sus=2, prepare=False)
+    capped = load_corpus(spark, corpus_root, max_src=1, max_sus=2, prepare=False, reader=reader)
     counts = {r.type: r["count"] for r in capped.groupBy("type").count().collect()}
     assert counts == {"source": 1, "suspicious": 2}
 
@@ -80,6 +83,42 @@ def test_corpus_job_writes_outputs(spark, corpus_root, tmp_path):
     assert out["counts"].first().documents == 8
 
 
+def test_truth_of_loaded_sources(spark):
+    rows = [("u1", "a-1.txt"), ("u1", "part3/a-12.txt"), ("u2", "b.txt"), ("u2", None), ("u3", ""), ("u3", "a-1.txt"), ("u4", "漢b😀")]
+    truth = spark.createDataFrame([(s, i, r) for i, (s, r) in enumerate(rows)], "suspicious_id string, ordinal int, source_reference string")
+    for ids in (["a-1"], ["b", "zz"], [], [None, ""], ["a-12", "😀"], ["much longer than any reference"]):
+        sources = spark.createDataFrame([(i,) for i in ids], "id string")
+        for match, hit in (("contains", lambda r, i: i in r), ("exact", lambda r, i: r.replace(".txt", "") == i)):
+            want = sorted((s, n) for n, (s, r) in enumerate(rows) if r is not None and any(i and hit(r, i) for i in ids))
+            got = loaded_truth(truth, sources, match)
+            assert got.columns == truth.columns and sorted((r.suspicious_id, r.ordinal) for r in got.collect()) == want
+
+
+def test_metrics_of_a_sample_can_leave_unloaded_sources_out(spark, corpus_root, tmp_path):
+    out = [run_corpus_job(spark, corpus_root, str(tmp_path / str(r)), max_src=0, restrict_to_loaded_sources=r)["metrics"].first()
+           for r in (False, True)]
+    assert [m.false_negatives for m in out] == [1, 0]
+
+
+def test_chunk_report_by_pair(spark, tmp_path):
+    """A pair is read from its bucket alone; a hot pair is in several files; nothing is lost."""
+    rows = [("hot", "s", i, f"a, \"b\" {i}") for i in range(3000)] + [(f"u{i % 40}", f"s{i % 7}", i, "x") for i in range(400)]
+    rows += [(None, "s1", 0, "null id")]
+    fields = "suspicious_id string, source_id string, suspicious_chunk_idx int, suspicious_chunk_text string"
+    path = str(tmp_path / "report")
+    write_chunk_report(spark.createDataFrame(rows, fields), path, buckets=16, max_rows=500)
+    everything = read_chunk_report(spark, path, schema=fields, buckets=16)
+    assert sorted(map(tuple, everything.collect()), key=str) == sorted(rows, key=str)
+    one = read_chunk_report(spark, path, [("hot", "s")], fields, 16)
+    assert sorted(r.suspicious_chunk_idx for r in one.collect()) == list(range(3000))
+    files = {r[0] for r in one.select(F.input_file_name()).distinct().collect()}
+    assert len(files) >= 6 and len({os.path.dirname(f) for f in files}) == 1
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert all(sum(1 for _ in open(f.removeprefix("file://"))) <= 501 for f in files)
+    write_chunk_report(spark.createDataFrame([], fields), path)
+
+
 def test_pair_jobs(spark, corpus_root, tmp_path):
     docs = load_corpus(spark, corpus_root, max_src=None, max_sus=None, prepare=False)
     pairs = spark.createDataFrame([("suspicious-document00001", "source-document00001")],
