@@ -2,22 +2,22 @@
 
 Every document becomes a vector of transformed statistics. For each (language,
 source) cell a minimum-covariance-determinant estimate is fitted by concentration
-steps: distances under the current centre and covariance, the half of the cell
-(``SUPPORT``) with the least distances, centre and covariance of that half, and
-so on from a coordinate-wise median / interquartile start. A document far from
-its cell in Mahalanobis distance is rejected.
+steps: distances under the current centre and covariance, the three quarters of the cell
+(``SUPPORT``) with the least distances, centre and covariance of those, and
+so on (``STEPS`` times) from a coordinate-wise median / interquartile start; so up to a quarter of
+a cell may be outliers. ``FLOORS`` are added to the standard deviations (as variances): many cells have no scatter
+at all in some statistic, where any other value would be infinitely far. A document is rejected if its squared
+Mahalanobis distance from its cell exceeds ``CHI2_CUT``, the chi-square value that one in 10,000 exceeds.
 
 Defined cases: a null text has no words (base rule fails); null ``lang`` or
-``source`` are cells of their own; cells of fewer than ``MIN_CELL`` usable
-documents are pooled per language, then altogether; documents that fail the base
+``source`` are cells of their own; documents of a cell of fewer than ``MIN_CELL`` usable ones are judged by the
+estimate over all usable documents of their language or, if these are too few, over all; documents that fail the base
 rules take no part in the estimates; rows repeated stay separate rows; an empty
 table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +27,8 @@ from palimpsest.operators.sizing import broadcast_if_bounded
 #: Features of the vector, with the least standard deviation a cell is given in each.
 FLOORS = {"f_len": 0.12, "f_sym": 0.2, "f_rep": 0.14, "f_dup": 0.16, "f_cap": 0.25}
 SUPPORT, STEPS, MIN_CELL = 0.75, 3, 60
-#: Median of chi-square with 5 degrees of freedom, and the squared
-#: distance that about two in 10^6 vectors of a normal cell would exceed.
-CHI2_MEDIAN, CHI2_CUT = 4.3515, 34.0
+#: Median of chi-square with 5 degrees of freedom, and the value that one in 10,000 exceeds.
+CHI2_MEDIAN, CHI2_CUT = 4.3515, 25.745
 
 
 def _repeat_words(words: Column) -> Column:
@@ -84,14 +83,18 @@ def feature_columns() -> dict[str, Column]:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows with the cell that they are judged in."""
+    """Rows with the cell that they are judged in and the ``parts`` that they help to estimate: their own cell, and
+    their language or all documents where smaller cells are judged by those."""
     ok = F.sum(F.when(~F.col("base_failed"), 1).otherwise(0))
-    sizes = rows.groupBy("lang", "source").agg(ok.alias("n"))
-    small = sizes.where(F.col("n") < MIN_CELL).groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    named = sizes.alias("s").join(small.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang")), "left").select(
+    sizes = materialised(rows.groupBy("lang", "source").agg(ok.alias("n")))
+    langs = materialised(sizes.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.max(F.col("n") < MIN_CELL).alias("has_small")))
+    some_rare = not langs.where(F.col("n_lang") < MIN_CELL).isEmpty()
+    own, of_lang = F.to_json(F.struct(F.lit(2), F.col("s.lang"), F.col("s.source"))), F.to_json(F.struct(F.lit(1), F.col("s.lang")))
+    big, common = F.col("n") >= MIN_CELL, F.col("n_lang") >= MIN_CELL
+    parts = [F.when(big, own), F.when(common & F.col("has_small"), of_lang), *([F.lit("{}")] if some_rare else [])]
+    named = sizes.alias("s").join(langs.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang"))).select(
         F.col("s.lang").alias("c_lang"), F.col("s.source").alias("c_source"),
-        F.when(F.col("n") >= MIN_CELL, F.to_json(F.struct(F.lit(2), F.col("s.lang"), F.col("s.source"))))
-        .when(F.col("n_lang") >= MIN_CELL, F.to_json(F.struct(F.lit(1), F.col("s.lang")))).otherwise("{}").alias("cell"))
+        F.when(big, own).when(common, of_lang).otherwise("{}").alias("cell"), F.array_compact(F.array(*parts)).alias("parts"))
     named, _ = broadcast_if_bounded(named)
     return rows.join(named, F.col("lang").eqNullSafe(F.col("c_lang"))
                      & F.col("source").eqNullSafe(F.col("c_source"))).drop("c_lang", "c_source")
@@ -151,7 +154,8 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     for name, value in feature_columns().items():
         rows = rows.withColumn(name, value)
     rows = materialised(_cells(materialised(rows)))
-    usable = rows.where(~F.col("base_failed")).select("cell", *FLOORS)
+    usable = rows.where(~F.col("base_failed") & (F.size("parts") > 0)).select(F.explode("parts").alias("cell"), *FLOORS)
+    rows = rows.drop("parts")
     est = _start(usable)
     for _ in range(STEPS):
         near = _with_distance(usable, est)
@@ -160,7 +164,7 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         est = _moments(near.join(cut, "cell").where("d2 <= cut"))
     near = _with_distance(rows, est)
     # consistency: the median distance of a normal cell is known
-    mid, _ = broadcast_if_bounded(near.where(~F.col("base_failed")).groupBy("cell").agg(
+    mid, _ = broadcast_if_bounded(_with_distance(usable, est).groupBy("cell").agg(
         F.percentile_approx("d2", 0.5, 10000).alias("mid")))
     scale = F.greatest(F.col("mid") / CHI2_MEDIAN, F.lit(1.0))
     judged = near.join(mid, "cell", "left").withColumn("outlier_d2", F.col("d2") / scale)

@@ -260,3 +260,36 @@ def test_distance_is_mahalanobis(spark, seed):
     cov = np.cov(x.T, bias=True) + np.diag([f ** 2 for f in quality.FLOORS.values()])
     centred = got[list(quality.FLOORS)].to_numpy() - x.mean(0)
     assert np.allclose(got["d2"], np.einsum("ij,jk,ik->i", centred, np.linalg.inv(cov), centred))
+
+
+def test_quality_verdicts_of_large_and_small_cells(spark):
+    """Distances and verdicts against the concentration steps in numpy: cells of their own, of their language, of all."""
+    docs = read(spark, SF, "documents").withColumn("source", F.when(F.col("doc_id") % 50 == 0, "rare").otherwise("main"))
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 97 == 0, None).otherwise(F.col("lang")))
+    rows = quality.quality_rules(docs).toPandas()
+    usable = rows[~rows.base_failed]
+    rank = lambda d, p: np.sort(d)[math.ceil(p * len(d)) - 1]
+    floors = np.diag([f ** 2 for f in quality.FLOORS.values()])
+
+    def estimate(part):
+        x = part[list(quality.FLOORS)].to_numpy()
+        low, mid, high = (np.array([rank(c, p) for c in x.T]) for p in (0.25, 0.5, 0.75))
+        centre, cov = mid, np.diag(((high - low) / 1.349) ** 2)
+        far = lambda y: np.einsum("ij,jk,ik->i", y - centre, np.linalg.inv(cov + floors), y - centre)
+        for _ in range(quality.STEPS):
+            d = far(x)
+            near = x[d <= rank(d, quality.SUPPORT) + 1e-12]
+            centre, cov = near.mean(0), np.cov(near.T, bias=True)
+        scale = max(1.0, rank(far(x), 0.5) / quality.CHI2_MEDIAN)
+        return lambda y: far(y) / scale
+
+    used = Counter()
+    for (lang, source), cell in rows.groupby(["lang", "source"], dropna=False):
+        same_lang = usable[usable.lang.isna()] if lang is None or lang != lang else usable[usable.lang == lang]
+        own = same_lang[same_lang.source.isna()] if source is None or source != source else same_lang[same_lang.source == source]
+        level, part = next((i, p) for i, p in enumerate([own, same_lang, usable]) if len(p) >= quality.MIN_CELL or i == 2)
+        used[level] += 1
+        want = estimate(part)(cell[list(quality.FLOORS)].to_numpy())
+        assert np.allclose(cell.outlier_d2.astype(float), want, rtol=1e-6, atol=1e-9)
+        assert (cell.kept == (~cell.base_failed & (want <= quality.CHI2_CUT))).all()
+    assert set(used) == {0, 1, 2}
