@@ -176,6 +176,11 @@ def q_stemmed_chunk_match(spark, sf_dir):
     return _round(CH.chunk_report(matches), "similarity")
 
 
+def q_word_tokens_split(spark, sf_dir):
+    """T5 with the word tokenizer's contraction and punctuation splits over documents."""
+    return TQ.word_token_splits(spark, sf_dir)
+
+
 def q_token_stems(spark, sf_dir):
     """Every distinct token of the documents and its stem."""
     return TQ.token_stems(spark, sf_dir)
@@ -283,6 +288,7 @@ def _own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stemmed_similarity_join": q_stemmed_similarity_join,
         "stemmed_chunk_match": q_stemmed_chunk_match,
         "token_stems": q_token_stems,
+        "word_tokens_split": q_word_tokens_split,
         "sampled_corpus": q_sampled_corpus,
         "doc_similarity_join_salted": q_doc_similarity_join_salted,
         "doc_similarity_join_prefix": q_doc_similarity_join_prefix,
@@ -427,6 +433,7 @@ def _own_oracle_sql() -> dict[str, str]:
         "stemmed_similarity_join": _sql_doc_similarity_join(stem=True),
         "stemmed_chunk_match": _sql_chunk_best_match(stem=True),
         "token_stems": O.token_stems_sql(),
+        "word_tokens_split": O.word_tokens_split_sql(),
         "phrase_document_counts": _SQL_PHRASES,
         "abbreviations": "WITH " + O.abbreviation_ctes() + " SELECT * REPLACE (" + _r("score", "score").replace(" AS", " + 0.0 AS") + ") FROM scored WHERE n_stop > 0",
         "sentence_chunks_learned": O.learned_chunks_sql(),

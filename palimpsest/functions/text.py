@@ -30,6 +30,17 @@ DIGIT_RUN = r"\p{Nd}+"
 # A maximal run of word characters that are not decimal digits: exactly the
 # tokens left by punctuation -> space, digit runs -> space, whitespace split.
 WORD_RUN = r"[\p{L}\p{Nl}\p{No}_]+"
+# Pieces of the word tokenizer: words with apostrophes and full stops inside, dots in a row, dashes, and
+# any other character by itself.
+_WORD = r"[\p{L}\p{N}_]"
+WORD_PIECES = rf"{_WORD}++(?:['.]{_WORD}++)*+|\.\.\.|--|[^\p{{L}}\p{{N}}_{WS}]"
+# Clitics split from the end of a word, and words that are two (as the Penn Treebank splits them).
+CLITICS = ("s", "m", "d", "ll", "re", "ve")
+CONTRACTIONS = (("can", "not"), ("d", "'ye"), ("gim", "me"), ("gon", "na"), ("got", "ta"), ("lem", "me"), ("more", "'n"),
+                ("wan", "na"))
+# The places inside a piece (pieces stand between single spaces) where it is split, as one alternation.
+WORD_SPLITS = "|".join((r"(?<=[^ ])(?=n't(?: |\z))", rf"(?<=[^ ])(?='(?:{'|'.join(CLITICS)})(?: |\z))",
+                        *(rf"(?<=(?:^| ){a})(?={b}(?: |\z))" for a, b in CONTRACTIONS)))
 # Leading or trailing whitespace (Python str.strip()).
 STRIP_EDGES = rf"^[{WS}]+|[{WS}]+\z"
 
@@ -146,6 +157,14 @@ def tokenize(normalized: Column | str) -> Column:
     return F.filter(F.split(_col(normalized), WS_RUN), lambda x: x != F.lit(""))
 
 
+def split_words(text: Column | str) -> Column:
+    """T5 with the word tokenizer's splits: the tokens of a lower-cased text, punctuation included.
+
+    ``don't`` gives ``do n't``, ``it's`` gives ``it 's``, ``cannot`` gives ``can not``. Null and blank texts have none."""
+    pieces = F.array_join(F.regexp_extract_all(F.coalesce(_col(text), F.lit("")), F.lit(WORD_PIECES), 0), " ")
+    return F.filter(F.split(F.regexp_replace(pieces, WORD_SPLITS, " "), " "), lambda x: x != F.lit(""))
+
+
 def remove_stopwords(tokens: Column | str, stopwords=MINIMAL_STOPWORDS) -> Column:
     """Drop tokens found in the stop-word list."""
     stop = F.array(*[F.lit(w) for w in stopwords])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from html.entities import html5
 
-from palimpsest.functions.text import (DIGIT_RUN, MINIMAL_STOPWORDS, NON_WORD_NON_SPACE,
+from palimpsest.functions.text import (CLITICS, CONTRACTIONS, DIGIT_RUN, MINIMAL_STOPWORDS, NON_WORD_NON_SPACE,
                                        STRIP_EDGES, WS, WS_RUN)
 from palimpsest.operators.abbreviations import CLOSING, OPENING, P_ABBREVIATION, THRESHOLD
 from palimpsest.operators.stemming import STEP2_RULES, STEP3_RULES, STEP4_SUFFIXES
@@ -58,6 +58,21 @@ def tokens_sql(t: str, html: bool = True) -> str:
     return f"list_filter({split}, lambda x: NOT list_contains({stop}, x))"
 
 
+def word_tokens_split_sql() -> str:
+    """T5 with the word tokenizer's splits, a piece at a time."""
+    word = r"[\p{L}\p{N}_]"
+    piece = rf"{word}+(?:['.]{word}+)*|\.\.\.|--|[^\p{{L}}\p{{N}}_{WS}]"
+    two = " ".join(f"WHEN {q(a + b)} THEN {q(a + ' ' + b)}" for a, b in CONTRACTIONS)
+    clitic, apart = "'(" + "|".join(CLITICS) + ")$", r" '\1"
+    not_ = "n't"
+    split = (f"CASE WHEN list_contains([{', '.join(q(a + b) for a, b in CONTRACTIONS)}], p) THEN CASE p {two} END "
+             f"WHEN length(p) > 3 AND suffix(p, {q(not_)}) THEN left(p, length(p) - 3) || ' ' || {q(not_)} "
+             f"WHEN regexp_matches(p, {q('.' + clitic)}) THEN regexp_replace(p, {q(clitic)}, {q(apart)}) ELSE p END")
+    pieces = f"regexp_extract_all(lower(coalesce(text, '')), {q(piece)})"
+    return (f"SELECT doc_id, CASE tokens WHEN '' THEN 0 ELSE len(string_split(tokens, ' ')) END::BIGINT AS n_tokens, tokens FROM "
+            f"(SELECT doc_id, array_to_string(list_transform({pieces}, lambda p: {split}), ' ') AS tokens FROM documents)")
+
+
 def stem_ctes(words: str, out: str = "stems") -> str:
     """CTEs from ``words`` (a query of distinct ``tok``) to ``out(tok, stem)``: the 1980 Porter
     algorithm, a step a CTE, on the word ``w`` and its vowels and consonants ``s``."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.sentences import explode_chunks, with_chunks
 from palimpsest.functions.text import (join_tokens, lower_html_text, preview, remove_stopwords,
-                                       word_runs, word_tokens)
+                                       split_words, word_runs, word_tokens)
 from palimpsest.operators.abbreviations import learned_sentences, scored_words, word_counts
 from palimpsest.operators.sizing import ensure_parallel, reused
 from palimpsest.plans.corpus import corpus_weights, with_terms
@@ -26,6 +26,13 @@ def prepared_documents(spark: SparkSession, sf_dir: str, html: bool = True) -> D
                     join_tokens("tokens").alias("processed_text")))
 
 
+def word_token_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T5 with the word tokenizer's splits over ``documents``: ``doc_id, n_tokens, tokens``."""
+    docs = ensure_parallel(read_table(spark, sf_dir, "documents"), "doc_id")
+    return (docs.select("doc_id", split_words(F.lower("text")).alias("tok"))
+            .select("doc_id", F.size("tok").cast("long").alias("n_tokens"), join_tokens("tok").alias("tokens")))
+
+
 def token_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T7 over ``documents``: ``token, stem`` of every distinct token."""
     docs = ensure_parallel(read_table(spark, sf_dir, "documents"), "doc_id")

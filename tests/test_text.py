@@ -1,9 +1,12 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as TX
 from palimpsest.functions.ngrams import parse_ngram_range, vectorizer_tokens, word_ngrams
 from palimpsest.functions.sentences import explode_chunks, with_chunks
+from palimpsest.functions.text import CLITICS, CONTRACTIONS, split_words
 
 from tests import pyref
 
@@ -107,3 +110,24 @@ def test_pluggable_sentence_fn(spark):
     df = spark.createDataFrame([("a b|c d|e",)], "text string")
     out = with_chunks(df, "text", "tfidf", 2, sentence_fn=lambda c: F.split(c, "[|]")).first().chunks
     assert out == ["a b c d", "e"]
+
+
+def test_split_words(spark):
+    """Pieces, then the splits of a piece, stated one by one."""
+    def split(text):
+        out = []
+        for p in re.findall(r"\w+(?:['.]\w+)*|\.\.\.|--|[^\w\s]", (text or "").lower()):
+            halves = next(((a, b) for a, b in CONTRACTIONS if a + b == p), None)
+            tail = next((t for t in ["n't", *("'" + c for c in CLITICS)] if p.endswith(t) and p != t), None)
+            out += halves or ([p[: -len(tail)], tail] if tail else [p])
+        return out
+
+    assert split("I can't, and you cannot -- it's 'fine' ... U.S. won't.") == [
+        "i", "ca", "n't", ",", "and", "you", "can", "not", "--", "it", "'s", "'", "fine", "'", "...", "u.s", ".", "wo", "n't", "."]
+    texts = [None, "", " \n ", "'s n't 'tis", "it's's cannot's d'ye more'n gonna", "o'clock rock'n'roll they've I'd we'll x'm",
+             "a.b.c e.g. 3.14 1,000 -- --- .... ?!", "straße's Émile'd 漢字'll 😀's", "ab" * 40_000 + "n't", "a." * 40_000 + "'s",
+             "cannot" * 3, " can not\tcannot\x0bgimme", "'" * 5, "can't've"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.tok for r in df.select("i", split_words(F.lower("text")).alias("tok")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == split(t), t
