@@ -1,4 +1,7 @@
-"""Connected components of a graph given as an edge table."""
+"""Connected components of a graph given as an edge table.
+
+Defined cases: an edge with a null end, or from a node to itself, links nothing and names no node; repeated edges count
+once, in either direction; no edges give no rows; other columns are not read."""
 
 from __future__ import annotations
 

@@ -35,7 +35,7 @@ from palimpsest.operators.sizing import broadcast_if_bounded
 
 #: Fixed value: how byte-level BPE splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Texts of more characters go to ``tokenizers``, whose pattern engine has no step limit.
+#: Texts with a longer run of white space go to ``tokenizers``, whose pattern engine has no step limit.
 MAX_FAST_RUN = 100_000
 _ENCODERS: dict = {}
 
