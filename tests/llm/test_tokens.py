@@ -114,6 +114,24 @@ def test_sampling_law(text):
         assert abs(estimate[c] - p) < 0.05 * p + 0.01
 
 
+@pytest.mark.parametrize("alpha", [0.6, 6.0, 9.0])
+@pytest.mark.parametrize("text", ["the cats", "a\nb cd", "ab漢 x"])
+def test_sampling_gives_all(text, alpha):
+    """A ``k`` beyond the number of segmentations gives each of them once, also those rarer than any tail."""
+    vocab = sampling.vocabulary(PIECES, alpha)
+    law = all_segmentations(text, vocab)
+    draws, = sampling.sample_rows([text], [7], vocab, len(law) + 5, 1)
+    assert Counter(tuple(d[0].tolist()) for d in draws) == Counter(law.keys())
+    assert [d[2] for d in draws] == sorted((d[2] for d in draws), reverse=True)
+    assert alpha < 1 or min(d[1] for d in draws) < sampling.TAIL
+
+
+def test_sampling_law_behind_the_tail(monkeypatch):
+    """The law holds where choices wait together and are opened later."""
+    monkeypatch.setattr(sampling, "TAIL", -0.5)
+    test_sampling_law("the cat")
+
+
 def test_samples(awkward):
     rows = sampling.sample_segmentations(awkward, PIECES, k=3, with_ids=True).collect()
     vocab = sampling.vocabulary(PIECES, 0.6)
