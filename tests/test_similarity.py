@@ -148,6 +148,29 @@ def test_two_word_passages_need_no_text(spark):
     assert "Contains" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan and sure.count() == 1
 
 
+def test_two_word_passages_are_looked_up_in_place(spark, monkeypatch):
+    """Neither tokens nor pairs of them move or are joined, only pairs that hold do; more passages go by joins, with the same rows."""
+    from palimpsest.sources import tables
+    rnd = random.Random(5)
+    words, gaps = ["a", "aa", "ba", "ab", "é\U00010400", "a.b"], [" ", "  ", "\u00a0", "\x1c", "\u2003\n"]
+    text = lambda n: "".join(rnd.choice(words) + rnd.choice(gaps) for _ in range(n))
+    docs = [("d%d" % (i % 40), text(rnd.randint(0, 9)).strip(rnd.choice(["a", " "]))) for i in range(80)] + [("n", None), (None, "a a")]
+    passages = [(i, rnd.choice(words) + rnd.choice(gaps) + rnd.choice(words)) for i in range(60)] + [(None, "a a"), (70, "a a"), (71, "a a")]
+    d = spark.createDataFrame(docs, "doc_id string, text string")
+    p = spark.createDataFrame(passages, "item_id int, text string")
+    exp = {(i, j) for i, dt in docs for j, pt in passages if pt in (dt or "")}
+    sure, open_, _ = tables._contained(d, p, "doc_id", "text", "item_id", "text")
+    plan = sure._jdf.queryExecution().toString()
+    assert open_ is None and "Join" not in plan and "Generate" not in plan
+    for limit in (tables._MAX_LOOKED_UP, 0):
+        monkeypatch.setattr(tables, "_MAX_LOOKED_UP", limit)
+        got = [tuple(r) for r in passage_documents(d, p).collect()]
+        assert len(got) == len(set(got)) and set(got) == exp and len(exp) > 50
+    monkeypatch.setattr(tables, "_MAX_KEPT", 2)
+    kept = tables._Kept(len)
+    assert [kept[x] for x in ("a", "bb", "ccc", "bb", "a")] == [1, 2, 3, 2, 1] and len(kept) <= 2
+
+
 def test_corpus_counts(spark):
     corpus = _corpus(spark, ["alpha beta"], ["alpha beta", "zeta"])
     res = detect_reuse(corpus, prep={"stem": False})
