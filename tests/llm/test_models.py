@@ -41,6 +41,33 @@ def test_forward_sums_all_segmentations():
         assert np.isfinite(got).all()
 
 
+def test_forward_looks_pieces_up_together():
+    """No lookup per substring of a word: the pieces are read once, and the sums are those of plain lookups."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    rng = random.Random(3)
+    pieces = {"▁", "a", "b", "▁ab", "abcde", "bab", "ñ", "\U00010400a"} | {"".join(rng.choices("ab", k=rng.randint(2, 16))) for _ in range(60)}
+    vocab = Counted((x, i + 1) for i, x in enumerate(sorted(pieces)))
+    theta = np.vstack([np.random.default_rng(1).random((len(vocab) + 1, 3)) / 50, np.zeros((1, 3))])
+
+    def plain(w, col):
+        alpha = [1.0]
+        for j in range(1, len(w) + 1):
+            rows = [(i, vocab[w[i:j]] if w[i:j] in vocab else 0) for i in range(max(0, j - langid.MAX_PIECE), j) if w[i:j] in vocab or j - i == 1]
+            alpha.append(sum(alpha[i] * theta[r, col] for i, r in rows))
+        return math.log(alpha[-1])
+
+    for m in (1, 5, 16, 17, 33):
+        words = ["▁" + "".join(rng.choices("aaabbbcdeñ\U00010400", k=m - 1)) for _ in range(50)]
+        assert np.allclose(langid.forward(words, vocab, theta), [[plain(w, c) for c in range(3)] for w in words])
+    assert vocab.asked == 0
+
+
 def test_languages(spark, awkward, empty):
     rows = q_langid.query(spark, SF).join(read(spark, SF, "documents").select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) == 1000
